@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, line_dedup, sharding
+from . import conversations, decontamination, fingerprints, line_dedup, ngram_join, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_formatting": conversations.op9_chat_formatting,
+    "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_ngram_jaccard": ngram_join.ORACLE_SQL,
+    "op7_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op9_chat_formatting": conversations.ORACLE_SQL,
 }
