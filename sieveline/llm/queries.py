@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontamination, fingerprints, line_dedup, ngram_join, sharding, token_counts
+from . import conversations, decontamination, fingerprints, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
