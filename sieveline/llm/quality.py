@@ -26,19 +26,24 @@ SAMPLE = 6000
 SAMPLE_BYTES = 65_536
 BITS = 12
 KEEP_FROM = 0.5
+#: Added to the number of words, so that a few words alone can't make a large share.
+PRIOR_WORDS = 10
+#: A labeller is better than chance: in the good class it says bad at most so often, in the bad class at least so often.
+WRONG, RIGHT = 0.01, 0.1
+#: And as each looks for one fault only, it says good of a bad text that has another fault at least so often.
+BLIND = 0.5
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Each labeller's measure is a share; at the first value or less it says good, at the second or more it says bad.
 LABELLERS = {
     "capitals": (0.20, 0.50), "symbols": (0.010, 0.035), "stutter": (0.05, 0.15), "bars": (0.04, 0.15),
-    "shouting": (0.05, 0.30), "junk_ends": (0.08, 0.30), "no_letters": (0.10, 0.25), "one_word": (0.15, 0.40),
+    "shouting": (0.05, 0.30), "junk_ends": (0.08, 0.30), "no_letters": (0.10, 0.25), "runs": (0.02, 0.10),
 }
 
-UPPER, LETTER, SYMBOL, BANG, BAR = (np.zeros(256, np.int64) for _ in range(5))
+UPPER, LETTER, SYMBOL, BANG = (np.zeros(256, np.uint8) for _ in range(4))
 UPPER[65:91] = 1
 LETTER[65:91] = LETTER[97:123] = 1
 SYMBOL[list(b"#%&$*@^~=<>{}[]\\_+|")] = 1
 BANG[ord("!")] = 1
-BAR[ord("|")] = 1
 #: Word shapes: capitals as A, other letters and all bytes of non-ASCII ones as a, digits as 9, the rest as it is.
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[65:91], SHAPE[97:123], SHAPE[48:58], SHAPE[128:] = ord("A"), ord("a"), ord("9"), ord("a")
@@ -47,7 +52,7 @@ JUNK = (SYMBOL > 0) | (BANG > 0)
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums over the rows that offsets cut."""
-    total = np.r_[0, np.cumsum(values)]
+    total = np.r_[0, np.cumsum(values, dtype=np.int64)]
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
@@ -57,21 +62,18 @@ def measures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = kn.word_spans(data, offsets)
     hashes = kn.span_hashes(kn.LOWER[data], starts, ends)
     n = np.diff(first)
-    size, count = np.maximum(1, np.diff(offsets)), np.maximum(1, n)
+    size, count = np.diff(offsets) + 50, n + PRIOR_WORDS
     same = np.r_[False, hashes[1:] == hashes[:-1]]
     same[first[:-1][n > 0]] = False
-    total = np.concatenate([np.zeros((1, 2), np.int64), np.stack([np.cumsum(LETTER[data] | (data >= 128)), np.cumsum(BANG[data])], axis=1)])
-    in_words = total[ends] - total[starts]
-    order = np.lexsort((hashes, np.repeat(np.arange(len(n)), n)))
-    top = np.zeros(len(n))
-    if len(hashes):
-        doc, h = np.repeat(np.arange(len(n)), n)[order], hashes[order]
-        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-        np.maximum.at(top, doc[at], np.diff(np.r_[at, len(h)]))
+    letters = np.r_[0, np.cumsum(LETTER[data] | (data >= 128), dtype=np.int32)]
+    bangs = np.r_[0, np.cumsum(BANG[data], dtype=np.int32)]
+    upper = np.add.reduceat(np.r_[UPPER[data], 0], offsets[:-1], dtype=np.int64) * (offsets[1:] > offsets[:-1])
+    latin = np.add.reduceat(np.r_[LETTER[data], 0], offsets[:-1], dtype=np.int64) * (offsets[1:] > offsets[:-1])
+    signs = np.add.reduceat(np.r_[SYMBOL[data], 0], offsets[:-1], dtype=np.int64) * (offsets[1:] > offsets[:-1])
+    again = same & np.r_[False, same[:-1]]
     shares = [
-        sums(UPPER[data], offsets) / np.maximum(1, sums(LETTER[data], offsets)), sums(SYMBOL[data], offsets) / size, sums(same, first) / count,
-        sums((ends - starts == 1) & (data[starts] == ord("|")), first) / count, sums(in_words[:, 1] >= 2, first) / count, sums(JUNK[data[ends - 1]], first) / count,
-        sums(in_words[:, 0] == 0, first) / count, np.where(n >= 20, top / count, 0.1),
+        upper / (latin + 20), signs / size, sums(same, first) / count, sums((ends - starts == 1) & (data[starts] == ord("|")), first) / count,
+        sums(bangs[ends] - bangs[starts] >= 2, first) / count, sums(JUNK[data[ends - 1]], first) / count, sums(letters[ends] == letters[starts], first) / count, sums(again, first) / count,
     ]
     return np.stack(shares, axis=1), n
 
@@ -107,7 +109,8 @@ def features(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of bad for every pattern (rows of votes), and P(vote | class) by labeller, class and vote."""
     m = patterns.shape[1]
-    theta = np.tile(np.array([[0.2, 0.7, 0.1], [0.3, 0.3, 0.4]]), (m, 1, 1))  # good class, bad class
+    start = np.array([[0.15, 0.84, 0.01], [0.3, 0.4, 0.3]])  # votes of the good and of the bad class
+    theta = np.tile(start, (m, 1, 1))
     prior = np.array([0.8, 0.2])
     onehot = np.eye(3)[patterns]
     post = np.zeros(len(patterns))
@@ -121,7 +124,11 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
         post = both[:, 1]
         weight = both * counts[:, None]
         prior = (weight.sum(axis=0) + 1) / (counts.sum() + 2)
-        theta = np.einsum("pc,pmv->mcv", weight, onehot) + np.array([[0.2, 0.7, 0.1], [0.3, 0.3, 0.4]])
+        theta = np.einsum("pc,pmv->mcv", weight, onehot) + start
+        theta /= theta.sum(axis=2, keepdims=True)
+        theta[:, 0, BAD] = np.minimum(theta[:, 0, BAD], WRONG)
+        theta[:, 1, BAD] = np.maximum(theta[:, 1, BAD], RIGHT)
+        theta[:, 1, GOOD] = np.maximum(theta[:, 1, GOOD], BLIND)
         theta /= theta.sum(axis=2, keepdims=True)
     return post, theta
 

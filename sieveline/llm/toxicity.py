@@ -4,7 +4,7 @@ Labels are of documents; tokens are labelled from them. A word of a toxic traini
 much likelier in toxic than in clean training documents (log odds ratio LIFT at least, and Z standard errors from 0).
 The field has two labels; its features are the hashed word, without signs at its ends, and its neighbours. It is trained
 on at most SAMPLE documents of either label. For a text, forward-backward gives every word's probability of being toxic;
-the document's score is a logistic function, fitted on the same documents, of the log of the sum of -log(1 - p). Runs of
+the document's score is a logistic function, fitted on the same documents, of the log of the sum of the words' odds. Runs of
 words with p of a half or more are the offending spans.
 
 Both passes of forward-backward work on all texts of a batch as one chain that starts anew with each text: products of
@@ -30,10 +30,14 @@ U = np.uint64
 SAMPLE = 1500
 #: Longer texts aren't drawn into the sample, which bounds the driver's memory; they are scored like all others.
 SAMPLE_BYTES = 65_536
-BITS = 18
-LIFT, Z, LEAST = 2.0, 2.2, 2
+#: Size of the table, in bits, in which the features that have a weight are looked up.
+BITS = 22
+LIFT, Z, LEAST = 2.5, 2.6, 2
 THRESHOLD = 0.7
 ROUNDS = 50
+ODDS = 0.05
+#: Penalties on the squared weights of a word and of its neighbours, in training.
+PENALTY = (0.02, 2.0)
 SIGN = np.zeros(256, bool)
 SIGN[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = True
 
@@ -53,13 +57,13 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return kn.span_hashes(kn.LOWER[data], s, e), first, s, e, offsets
 
 
-def buckets(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Feature buckets of every word (rows): the word, the one before it, the one after it."""
+def features(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashed features of every word (rows): the word, the one before it, the one after it."""
     before, after = np.r_[U(0), hashes[:-1]], np.r_[hashes[1:], U(0)]
     full = first[:-1][np.diff(first) > 0]
     before[full] = U(0)
     after[first[1:][np.diff(first) > 0] - 1] = U(0)
-    return np.stack([(kn.mix(h + U(i)) >> U(64 - BITS)).astype(np.int32) for i, h in enumerate((hashes, before, after))])
+    return np.stack([kn.mix(h + U(i)) for i, h in enumerate((hashes, before, after))])
 
 
 def chain(step: np.ndarray) -> np.ndarray:
@@ -91,17 +95,34 @@ def chain(step: np.ndarray) -> np.ndarray:
 
 
 class Field:
-    """Weights of a chain of two labels: by feature bucket, the four transitions (from, to) and the two starts."""
+    """Weights of a chain of two labels: by hashed feature, the four transitions (from, to) and the two starts."""
 
     def __init__(self):
-        self.w, self.bias, self.jump, self.start = np.zeros(1 << BITS), -2.0, np.zeros((2, 2)), np.zeros(2)
-
-    def marginals(self, feats: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(toxic) of every word, and P(label before, label) of it, [2, 2, n]."""
-        n = feats.shape[1]
+        self.keys, self.w, self.table = np.zeros(0, U), np.zeros(1), np.zeros(1 << BITS, np.int32)
+        self.bias, self.jump, self.start = -2.0, np.zeros((2, 2)), np.zeros(2)
+
+    def put(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        """Features with their weights. Of those that share a place in the table, the one of the largest weight stays."""
+        order = np.argsort(np.abs(weights), kind="stable")
+        self.keys, self.w = np.r_[U(0), keys[order]], np.r_[0.0, weights[order]]
+        self.table[:] = 0
+        self.table[(self.keys[1:] >> U(64 - BITS)).astype(np.int64)] = np.arange(1, len(self.keys), dtype=np.int32)
+
+    def emission(self, feats: np.ndarray) -> np.ndarray:
+        total = np.zeros(feats.shape[1])
+        for f in feats:
+            at = self.table[(f >> U(64 - BITS)).astype(np.int64)]
+            hit = np.flatnonzero(at)
+            hit = hit[self.keys[at[hit]] == f[hit]]
+            total[hit] += self.w[at[hit]]
+        return total
+
+    def marginals(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(toxic) of every word, and P(label before, label) of it, [2, 2, n], from the sums of its features' weights."""
+        n = len(emission)
         if not n:
             return np.zeros(0), np.zeros((2, 2, 0))
-        psi = np.exp(np.clip(self.w[feats].sum(axis=0) + self.bias, -30, 30))
+        psi = np.exp(np.clip(emission + self.bias, -30, 30))
         begins = np.zeros(n, bool)
         begins[first[:-1][np.diff(first) > 0]] = True
         ends = np.r_[begins[1:], True]
@@ -133,22 +154,24 @@ def train_field(feats: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Fie
     starts = np.array([(1 - y[begins]).sum(), y[begins].sum()])
     used, back = np.unique(feats, return_inverse=True)
     back = back.reshape(feats.shape)
-    dense = np.zeros(len(used))
+    dense, penalty = np.zeros(len(used)), np.full(len(used), PENALTY[1])
+    penalty[back[0]] = PENALTY[0]
     state = [np.zeros(len(used) + 7), np.zeros(len(used) + 7)]
     scale = max(1.0, y.sum())
     for t in range(1, ROUNDS + 1):
-        p, pair = f.marginals(feats, first)
+        p, pair = f.marginals(dense[back].sum(axis=0), first)
         d = y - p
         g = np.concatenate([
-            sum(np.bincount(b, d, len(used)) for b in back) - 0.02 * dense, [d.sum()], (seen - pair.sum(axis=2)).ravel(), starts - np.array([(1 - p[begins]).sum(), p[begins].sum()])
+            sum(np.bincount(b, d, len(used)) for b in back) - penalty * dense, [d.sum()], (seen - pair.sum(axis=2)).ravel(), starts - np.array([(1 - p[begins]).sum(), p[begins].sum()])
         ]) / scale
         state[0], state[1] = 0.9 * state[0] + 0.1 * g, 0.99 * state[1] + 0.01 * g * g
         step = 0.3 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-6)
         dense += step[: len(used)]
-        f.w[used] = dense
         f.bias += step[len(used)]
         f.jump += step[len(used) + 1 : len(used) + 5].reshape(2, 2)
         f.start += step[len(used) + 5 :]
+    heavy = np.abs(dense) > 0.02
+    f.put(used[heavy], dense[heavy])
     return f
 
 
@@ -166,10 +189,22 @@ def token_labels(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np
     return (marks[back] & (toxic[doc] > 0)).astype(np.int64)
 
 
+def apart(hashes: np.ndarray, first: np.ndarray, values: int = 12) -> np.ndarray:
+    """Which documents stay if of near copies, that have half of their minimum hashes in common, only one does."""
+    seen, keep = set(), []
+    for a, b in zip(first[:-1], first[1:]):
+        s = kn.shingles(hashes[a:b], 3)
+        sketch = {(j, int(kn.mix(s ^ U(0x9E37 * (j + 1))).min())) for j in range(values)} if len(s) else set()
+        keep.append(2 * len(sketch & seen) < values)
+        seen |= sketch
+    return np.array(keep, bool)
+
+
 def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each text the log of the sum of -log(1 - p) over its words."""
-    total = np.r_[0, np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-12)))]
-    return np.log(np.maximum(total[first[1:]] - total[first[:-1]], 0) + 1e-6)
+    """For each text the log of the sum of the odds p / (1 - p) of its words, those under ODDS left out."""
+    odds = p / np.maximum(1 - p, 1e-6)
+    total = np.r_[0, np.cumsum(np.where(odds >= ODDS, odds, 0))]
+    return np.log(np.maximum(total[first[1:]] - total[first[:-1]], 0) + ODDS)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -185,13 +220,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
+    """A trained field, without its table, and the logistic function of documents."""
+
     def __init__(self, field: Field, slope: float, intercept: float):
-        self.bucket, self.slope, self.intercept = np.flatnonzero(field.w), slope, intercept
-        self.weight, self.rest = field.w[self.bucket].astype(np.float32), (field.bias, field.jump, field.start)
+        self.keys, self.weights, self.slope, self.intercept = field.keys[1:], field.w[1:], slope, intercept
+        self.rest = (field.bias, field.jump, field.start)
 
     def field(self) -> Field:
         f = Field()
-        f.w[self.bucket] = self.weight
+        f.put(self.keys, self.weights)
         f.bias, f.jump, f.start = self.rest
         return f
 
@@ -215,9 +252,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     if not 0 < toxic.sum() < len(toxic):
         return None
     hashes, first, *_ = tokens(pa.array([r.text for r in rows], pa.string()))
-    feats, y = buckets(hashes, first), token_labels(hashes, first, toxic)
+    keep = apart(hashes, first)
+    rows, toxic = [r for r, k in zip(rows, keep) if k], toxic[keep]
+    hashes, first, *_ = tokens(pa.array([r.text for r in rows], pa.string()))
+    if not 0 < toxic.sum() < len(toxic):
+        return None
+    feats, y = features(hashes, first), token_labels(hashes, first, toxic)
     field = train_field(feats, first, y)
-    p, _ = field.marginals(feats, first)
+    p, _ = field.marginals(field.emission(feats), first)
     return Model(field, *logistic(evidence(p, first), toxic))
 
 
@@ -234,7 +276,7 @@ def tagger(model: Model):
             for batch in kn.slices(whole, 1):
                 col = batch.column(1)
                 hashes, first, s, e, offsets = tokens(col)
-                p, _ = field.marginals(buckets(hashes, first), first)
+                p, _ = field.marginals(field.emission(features(hashes, first)), first)
                 score = 1 / (1 + np.exp(-(model.slope * evidence(p, first) + model.intercept)))
                 data, _ = kn.utf8(col)
                 point = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
