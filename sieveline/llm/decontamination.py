@@ -6,7 +6,7 @@ elements that a document may lack at the wanted containment, so that a document
 sketch at least, however long that document is: the search misses nothing. Documents that hold a sketch element are
 verified: the share of the item's distinct shingles that the document holds is counted exactly.
 
-Edge cases: null, empty and blank items are contained nowhere; null and empty documents contain nothing. Items of fewer
+Edge cases: items without an item_id are left out; null, empty and blank items are contained nowhere; null and empty documents contain nothing. Items of fewer
 than k words are looked for as runs of that many words. Rows that repeat an item_id, or a doc_id, are taken together as
 the union of their sets. Extra columns are ignored; empty tables give an empty result.
 """
@@ -31,7 +31,7 @@ def runs(ws: Column, width: int) -> Column:
 
 def item_sets(items: DataFrame, k: int) -> DataFrame:
     """(item_id, width, h): the distinct shingles of every item."""
-    cut = items.select("item_id", words(lower_ascii(text_or_empty())).alias("ws")).where(F.size("ws") > 0)
+    cut = items.where("item_id IS NOT NULL").select("item_id", words(lower_ascii(text_or_empty())).alias("ws")).where(F.size("ws") > 0)
     width = F.least(F.size("ws"), F.lit(k))
     hashes = F.coalesce(*(F.when(width == w, runs(F.col("ws"), w)) for w in range(1, k + 1)))
     return cut.select("item_id", width.alias("width"), F.explode(hashes).alias("h")).distinct()
@@ -51,6 +51,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, tn: int = 80, td: i
     """(doc_id, item_id, n_item, n_found, containment) of all pairs with n_found / n_item >= tn / td."""
     spark = docs.sparkSession
     prepare(spark)
+    docs = docs.select("doc_id", "text")
     scratch = Scratch(spark, "decontamination")
     sets = item_sets(items, k)
     sizes = sets.groupBy("item_id").agg(F.count("*").alias("n"))
