@@ -1,18 +1,19 @@
 """Jaccard join of documents on word n-grams: size-banded tiles, bitmap bounds, exact intersection.
 
 A document's set holds the hashes of its distinct runs of k words. Documents of equal sets form a class, which is
-compared once. Sizes are cut into bands; the tile of a band is where a set of that band meets any set of the same or of
-a larger size that could still be similar enough. Within a tile the hash range is cut into D + 1 + E parts, where D is
-the largest symmetric difference that the tile's similar pairs can have: such a pair agrees on E + 1 parts at least, so
-that classes which share no part need never be looked at. A part that is empty says little; documents with no more than
-E empty parts leave those out, which loses no pair, as two that agree on empty parts alone both have more than E. A pair
-that shares a part is kept if 256-bit bitmaps allow enough overlap: every bit of one that the other lacks is an element
+compared once. All hashes have one order: those that the corpus holds often come last, by their count, the rest come
+first, by value. Two sets of n and m elements whose Jaccard index is t or more have one of the first n - ceil(t n) + 1
+elements of the one and the first m - ceil(t m) + 1 of the other in common, whatever the order is; an order that puts
+frequent elements last makes sure that a passage which many documents share brings no pairs together. Sizes are cut into
+bands. A tile is where sets that begin with a common element meet: those of a band, and those of a larger band that
+could still be similar enough to one of it. Classes that meet in no tile need never be looked at, and no pair is lost.
+A pair that meets is kept if 256-bit bitmaps allow enough overlap: every bit of one that the other lacks is an element
 that it lacks. What is left is decided by intersecting the sorted arrays.
 
-Buckets of up to SMALL classes give all their pairs. Larger ones give a star about their first class, which joins a
-group of near copies at a cost in proportion to its size. If the components then differ within such a bucket, its
-members are dealt anew by the parts of a second hash, and every pair from different components is decided as well. So
-components are exact at any size, while a group's pairs are never all emitted.
+Tiles of up to SMALL classes give all their pairs. Larger ones give a star about their first class, which joins a group
+of near copies at a cost in proportion to its size. If the components then differ within such a tile, every pair of its
+members from different components is decided as well. So components are exact at any size, while a group's pairs are
+never all emitted.
 
 Edge cases: a null, empty or blank text has the empty set and is linked with nothing. A text of fewer than k words has
 one element, the whole sequence. Rows that repeat a doc_id are documents of their own. Extra columns are ignored; an
@@ -35,6 +36,9 @@ from .common import Scratch, prepare, table
 
 U = np.uint64
 SMALL = 16
+#: A shingle is hot if it makes up over a HOT-th of all shingles, so that no more than HOT can be: 4 MB at most, which is
+#: sent to all tasks. What a task meets fewer than LOCAL times it doesn't report; that only moves the order a little.
+HOT, LOCAL = 250_000, 3
 #: Ids of documents to be looked at again are broadcast if there are no more than so many (8 MB), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows of keys that one task compares.
@@ -56,35 +60,24 @@ def band(n: int, tn: int, td: int) -> int:
     return int(np.searchsorted(bands(tn, td), n, "right")) - 1
 
 
-@lru_cache(maxsize=4096)
-def parts(tile: int, tn: int, td: int) -> tuple[int, int]:
-    """Number of parts of the tile, and E of them."""
-    edges = bands(tn, td)
-    low, high = int(edges[tile]), int(edges[tile + 1]) - 1
-    different = (high + high * td // tn) * (td - tn) // (td + tn)
-    spare = 1
-    while True:
-        k = different + 1 + spare
-        empty = k * np.exp(-low / k)
-        if spare >= empty + 4 * np.sqrt(empty) + 0.5 or spare > 4 * different + 8:
-            return k, spare
-        spare += max(1, spare // 4)
-
-
-def part_keys(elements: np.ndarray, tn: int, td: int, salt: int = 0) -> np.ndarray:
-    """The keys of a sorted set of hashes, one for each part of each tile that it belongs to."""
-    n, out = len(elements), []
-    if salt:
-        elements = np.sort(kn.mix(elements ^ U(salt)))
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(kn.mix(elements ^ kn.MIX2), dtype=U)])
-    for tile in range(band(-(-n * tn // td), tn, td), band(n, tn, td) + 1):
-        k, spare = parts(tile, tn, td)
-        part = ((elements >> U(32)) * U(k)) >> U(32)
-        ends = np.searchsorted(part, np.arange(k + 1, dtype=U))
-        keys = kn.mix(kn.mix(sums[ends[1:]] - sums[ends[:-1]] + U(tile * int(kn.BASE) % 2**64)) + np.arange(k, dtype=U))
-        full = ends[1:] > ends[:-1]
-        out.append(keys[full] if k - full.sum() <= spare else keys)
-    return np.concatenate(out)
+def prefix(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """The first `size` of the sorted elements in the order that puts hot ones (sorted, with their counts) last."""
+    for some in (elements[: 2 * size], elements):
+        at = np.minimum(np.searchsorted(hot[0], some), max(0, len(hot[0]) - 1))
+        is_hot = hot[0][at] == some if len(hot[0]) else np.zeros(len(some), bool)
+        cold = some[~is_hot]
+        if len(cold) >= size:
+            return cold[:size]
+    order = np.lexsort((elements[is_hot], hot[1][at[is_hot]]))
+    return np.concatenate([cold, elements[is_hot][order]])[:size]
+
+
+def tile_keys(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], tn: int, td: int) -> np.ndarray:
+    """The keys of a sorted set of hashes: its first elements in each tile that it belongs to."""
+    n = len(elements)
+    least = -(-n * tn // td)
+    first = prefix(elements, hot, n - least + 1)
+    return np.concatenate([kn.mix(first + U(t * int(kn.BASE) % 2**64)) for t in range(band(least, tn, td), band(n, tn, td) + 1)])
 
 
 def bitmap(elements: np.ndarray) -> list[int]:
@@ -111,7 +104,35 @@ SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int
 SIGNATURE_DDL = "doc_id long, n long, cls long, " + ", ".join(f"w{i} long" for i in range(BITMAP)) + ", keys binary"
 
 
-def signatures(k: int, tn: int, td: int):
+def repeated(k: int):
+    """Texts to (h, n): shingles that a task meets LOCAL times or more, with their counts; and (null, all it meets)."""
+
+    def run(batches):
+        held, total = [], 0
+
+        def out():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+
+        size = 0
+        for whole in batches:
+            for batch in kn.slices(whole, 0):
+                words, first = kn.word_hashes(batch.column(0))
+                for a, b in zip(first[:-1], first[1:]):
+                    held.append(kn.shingles(words[a:b], k))
+                    size += len(held[-1])
+                if size >= 1 << 22:
+                    yield out()
+                    held, total, size = [], total + size, 0
+        if held:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + size])], names=["h", "n"])
+
+    return run
+
+
+def signatures(k: int, tn: int, td: int, hot: tuple[np.ndarray, np.ndarray]):
     def run(batches):
         for whole in batches:
             for batch in kn.slices(whole, 1):
@@ -119,7 +140,7 @@ def signatures(k: int, tn: int, td: int):
                 for e in sets(batch.column(1), k):
                     rows[0].append(len(e))
                     rows[1].append(class_of(e))
-                    rows[2].append(part_keys(e, tn, td).tobytes() if len(e) else b"")
+                    rows[2].append(tile_keys(e, hot, tn, td).tobytes() if len(e) else b"")
                     bits.append(bitmap(e))
                 columns = [batch.column(0), rows[0], rows[1], *zip(*bits), rows[2]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(list(c), f.type) for c, f in zip(columns, SIGNATURE)], schema=SIGNATURE)
@@ -164,7 +185,7 @@ def dealt(p: int):
 
 
 def bucket_pairs(batches):
-    """Packed keys and classes of a partition to candidate pairs (a, b, null) and members of large buckets (a, null, key)."""
+    """Packed keys and classes of a partition to candidate pairs (a, b, null) and members of large tiles (a, null, key)."""
     got: dict[int, list] = {}
     for batch in batches:
         for pid, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -227,19 +248,6 @@ def linked(tn: int, td: int):
     return run
 
 
-def again(tn: int, td: int):
-    """Members (key, cls, root, elements) to (key, cls, root), dealt by the parts of a second hash."""
-
-    def run(batches):
-        for batch in batches:
-            for key, cls, root, e in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                keys = kn.mix(part_keys(np.frombuffer(e, U), tn, td, salt=0x5851F42D) + U(key & (2**64 - 1))).view(np.int64)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(n, cls)), pa.array(np.full(n, root))], names=["key", "cls", "root"])
-
-    return run
-
-
 class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int, tn: int, td: int):
         self.spark, self.k, self.tn, self.td = docs.sparkSession, k, tn, td
@@ -273,10 +281,21 @@ class JaccardJoin:
         self.scratch.drop(left, e)
         return out
 
+    def hot(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hot shingles, sorted, and their counts."""
+        counts = self.docs.select("text").mapInArrow(repeated(self.k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        counts = self.scratch.write(counts, "counts")
+        total = counts.where("h IS NULL").agg(F.sum("n").alias("n")).first().n or 0
+        got = counts.where((F.col("h").isNotNull()) & (F.col("n") * HOT >= total)).toPandas()  # HOT rows at most
+        self.scratch.drop(counts)
+        h, n = got["h"].to_numpy(np.int64).view(U), got["n"].to_numpy(np.int64)
+        order = np.argsort(h)
+        return h[order], n[order]
+
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
         k, tn, td, scratch = self.k, self.tn, self.td, self.scratch
-        sig = scratch.write(self.docs.mapInArrow(signatures(k, tn, td), SIGNATURE_DDL), "signatures")
+        sig = scratch.write(self.docs.mapInArrow(signatures(k, tn, td, self.hot()), SIGNATURE_DDL), "signatures")
         size = sig.agg(F.sum(F.length("keys")).alias("s")).first().s or 0
         conf = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         p = max(conf, -(-size // 8 // ROWS_PER_TASK))
@@ -299,19 +318,16 @@ class JaccardJoin:
         )
 
     def rest(self, members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame | None:
-        """Links within large buckets between different components."""
+        """Links within large tiles between different components."""
         marked = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         marked = self.scratch.write(marked, "marked")
         open_keys = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         rows = self.scratch.write(marked.join(open_keys, "key", "left_semi"), "open")
         if rows.isEmpty():
             return None
-        e = self.elements(rows.select("cls").distinct().join(classes.select("cls", "cid"), "cls"))
-        fine = rows.join(e, "cls").select("key", "cls", "root", "elements").mapInArrow(again(self.tn, self.td), "key long, cls long, root long")
-        fine = self.scratch.write(fine.distinct(), "fine")
-        main = fine.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("roots")).where("roots > 1")
-        others = fine.join(main.select("key", "main"), "key").where("root <> main").select("key", F.col("cls").alias("c"), F.col("root").alias("r"))
-        pairs = fine.join(others, "key").where("root <> r").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
+        main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"))
+        others = rows.join(main, "key").where("root <> main").select("key", F.col("cls").alias("c"), F.col("root").alias("r"))
+        pairs = rows.join(others, "key").where("root <> r").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
         return self.decide(pairs, classes)
 
 
