@@ -79,7 +79,7 @@ def hamming_pairs(codes: DataFrame, limit: int, id_col: str = "id", code: str =
     """
     bands = limit + 1
     cuts = [round(i * bits / bands) for i in range(bands + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(code, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits")) for i in range(bands)])
+    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(code, cuts[i]).bitwiseAND(F.lit(-1 if cuts[i + 1] - cuts[i] == 64 else (1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits")) for i in range(bands)])
     keyed = codes.select(F.col(id_col).alias("id"), F.col(code).alias("code"), F.explode(band).alias("k")).select("id", "code", "k.band", "k.bits")
     a, b = keyed.alias("a"), keyed.alias("b")
     hit = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id")))

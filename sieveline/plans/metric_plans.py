@@ -8,6 +8,7 @@ from ..functions import vectors as v
 from ..operators import calibration as cal
 from ..operators import metrics as met
 from ..operators import reporting as rep
+from ..operators import splits as sp
 from ..sources import standins as st
 from . import sql
 
@@ -161,9 +162,9 @@ def temperature(spark, d):
 
 @query("fit2_3_calibration_record")
 def calibration_record(spark, d):
-    """Temperature and threshold fitted on half of the images and applied to the other half."""
-    p = st.predictions(spark, d)
-    val, test = p.where("id % 2 = 0"), p.where("id % 2 = 1")
+    """Temperature and threshold fitted on the larger part of a stratified split and applied to the rest."""
+    p = st.predictions(spark, d).join(sp.stratified(st.images(spark, d).select("id", "y")).select("id", "split"), "id")
+    val, test = p.where("split = 'train'"), p.where("split <> 'train'")
     t = cal.fit_temperature(val, RUN)
     scaled = lambda part: part.join(F.broadcast(t), RUN).withColumn("conf", v.confidence(F.col("z"), F.col("temperature")))
     theta = cal.threshold(scaled(val), RUN, 0.95)
@@ -172,7 +173,7 @@ def calibration_record(spark, d):
     return out.select(*RUN, *r6("temperature", "theta", "ece_before", "ece_after", "coverage", "selective_accuracy", "error_capture", "aurc"))
 
 
-HISTORY = "h AS (SELECT backbone, seed, CAST(id AS INTEGER) AS epoch, conf AS val_macro_f1 FROM m WHERE id < 60)"
+HISTORY = "h AS (SELECT backbone, seed, CAST(id AS INTEGER) AS epoch, conf AS val_macro_f1 FROM m)"
 
 
 @query("win11_best_epoch", W + HISTORY + """, b AS (SELECT *, max(val_macro_f1) OVER (PARTITION BY backbone, seed ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
@@ -181,7 +182,7 @@ HISTORY = "h AS (SELECT backbone, seed, CAST(id AS INTEGER) AS epoch, conf AS va
  ran AS (SELECT s.*, row_number() OVER (PARTITION BY s.backbone, s.seed ORDER BY val_macro_f1 DESC, epoch) AS r, last FROM s JOIN e ON s.backbone = e.backbone AND s.seed = e.seed AND epoch <= last)
  SELECT backbone, seed, epoch AS best_epoch, round(val_macro_f1, 6) AS best, last AS epochs_run FROM ran WHERE r = 1""")
 def best_epoch(spark, d):
-    h = st.predictions(spark, d).where("id < 60").select(*RUN, F.col("id").cast("int").alias("epoch"), F.col("conf").alias("val_macro_f1"))
+    h = st.predictions(spark, d).select(*RUN, F.col("id").cast("int").alias("epoch"), F.col("conf").alias("val_macro_f1"))
     return cal.best_epoch(h, RUN).select(*RUN, "best_epoch", *r6("best"), "epochs_run")
 
 
@@ -204,3 +205,11 @@ def rejection_table(spark, d):
     r = cal.rejection_by_class(p.join(F.broadcast(cal.threshold(p, RUN, 0.95)), RUN), ["backbone"])
     wide = r.groupBy("y").agg(F.max("n").alias("n"), *(F.round(F.max(F.when(F.col("backbone") == b, F.col("rejected"))), 6).alias(f"backbone_{b}") for b in (0, 1)))
     return wide
+
+
+@query("q11_calibration_table")
+def calibration_table(spark, d):
+    """Seed means of the calibration record, and the change of the calibration error."""
+    r = calibration_record(spark, d)
+    change = F.round(F.avg(F.col("ece_after") - F.col("ece_before")), 6).alias("ece_change")
+    return r.groupBy("backbone").agg(F.count("*").alias("seeds"), *(F.round(F.avg(c), 6).alias(c) for c in ("temperature", "ece_before", "ece_after")), change)

@@ -112,10 +112,10 @@ def storable_limit(spark, d):
 NEAR = f"WITH {sql.CODES}, ctr AS (SELECT id, list_transform(c, lambda x: x - list_avg(c)) AS x FROM cf), corr AS (SELECT a, b, dist, list_dot_product(x.x, y.x) / (sqrt(list_dot_product(x.x, x.x)) * sqrt(list_dot_product(y.x, y.x))) AS r FROM hp JOIN ctr x ON x.id = a JOIN ctr y ON y.id = b WHERE dist <= 20)"
 
 
-@query("jn3_fn8_srt1_payload", NEAR + " SELECT a, b, dist, round(r, 6) AS corr FROM corr ORDER BY dist, r DESC, a, b LIMIT 200")
+@query("jn3_fn8_srt1_payload", NEAR + " SELECT a, b, dist, round(r, 6) AS corr FROM corr ORDER BY dist, r DESC, a, b LIMIT 2000")
 def payload(spark, d):
     pairs = sim.hamming_pairs(st.codes(spark, d), 20)
-    return _with_corr(spark, d, pairs).orderBy("dist", F.desc("r"), "a", "b").limit(200).select("a", "b", "dist", F.round("r", 6).alias("corr"))
+    return _with_corr(spark, d, pairs).orderBy("dist", F.desc("r"), "a", "b").limit(2000).select("a", "b", "dist", F.round("r", 6).alias("corr"))
 
 
 def _with_corr(spark, d, pairs):

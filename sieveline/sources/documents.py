@@ -53,10 +53,18 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """Run configurations below a folder, with whether each run has its completion marker."""
     configs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "config.json").json(root, schema=RUN, multiLine=True)
     configs = configs.withColumn("dir", F.regexp_replace(F.input_file_name(), "/[^/]*$", "")).withColumn("region", F.col("cfg.region"))
-    flags = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{config.json,done.flag}").load(root)
-    done = flags.where(F.col("path").endswith("/done.flag")).select(F.regexp_replace("path", "/[^/]*$", "").alias("flag_dir"))
     key = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return configs.join(done.select(key(F.col("flag_dir")).alias("k")).distinct(), key(F.col("dir")) == F.col("k"), "left").withColumn("done", F.col("k").isNotNull()).drop("k")
+    flags = spark.createDataFrame([(p.rsplit("/", 1)[0],) for p in _files(spark, root) if p.endswith("/done.flag")], "flag_dir string")
+    return configs.join(F.broadcast(flags.select(key(F.col("flag_dir")).alias("k")).distinct()), key(F.col("dir")) == F.col("k"), "left").withColumn("done", F.col("k").isNotNull()).drop("k")
+
+
+def _files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of all files below a folder, by Spark's own file system; binaryFile would leave out empty markers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
