@@ -1,14 +1,22 @@
 """Jaccard join of documents on word n-grams: size-banded tiles, bitmap bounds, exact intersection.
 
 A document's set holds the hashes of its distinct runs of k words. Documents of equal sets form a class, which is
-compared once. All hashes have one order: those that the corpus holds often come last, by their count, the rest come
-first, by value. Two sets of n and m elements whose Jaccard index is t or more have one of the first n - ceil(t n) + 1
-elements of the one and the first m - ceil(t m) + 1 of the other in common, whatever the order is; an order that puts
-frequent elements last makes sure that a passage which many documents share brings no pairs together. Sizes are cut into
-bands. A tile is where sets that begin with a common element meet: those of a band, and those of a larger band that
-could still be similar enough to one of it. Classes that meet in no tile need never be looked at, and no pair is lost.
-A pair that meets is kept if 256-bit bitmaps allow enough overlap: every bit of one that the other lacks is an element
-that it lacks. What is left is decided by intersecting the sorted arrays.
+compared once. Sizes are cut into bands; the tile of a band is where sets of that band meet others of the same or a
+larger size that could still be similar enough. Within a tile, sets meet under keys of two kinds, so chosen that no
+similar pair is lost. Hashes that the corpus holds often are hot, and bring no sets together by themselves.
+
+Parts: the range of hashes is cut into D + 1 + E parts, where D is the largest symmetric difference that similar pairs
+of the tile can have. The cold elements of such a pair agree on E + 1 parts at least. A part without cold elements says
+nothing and gives no key; a set with no more than E of those is regular, and meets every set that it is similar to.
+
+Prefixes: two sets that aren't regular meet under single elements. Let all elements have one order, cold ones first, hot
+ones last by their count. A similar pair has one of the first n - ceil(t n) + 1 elements of the one and the first
+m - ceil(t m) + 1 of the other in common. Where parts would hold too few elements to tell sets apart, at low thresholds,
+all sets meet by prefixes only.
+
+Classes that meet in no tile need never be looked at. A pair that meets is kept if 1024-bit bitmaps allow enough
+overlap: every bit of one that the other lacks is an element that it lacks. What is left is decided by intersecting the
+sorted arrays.
 
 Tiles of up to SMALL classes give all their pairs. Larger ones give a star about their first class, which joins a group
 of near copies at a cost in proportion to its size. If the components then differ within such a tile, every pair of its
@@ -43,7 +51,10 @@ HOT, LOCAL = 250_000, 3
 BROADCAST_IDS = 1_000_000
 #: Rows of keys that one task compares.
 ROWS_PER_TASK = 1_500_000
-BITMAP = 4
+#: Words of 64 bits in a bitmap.
+BITMAP = 16
+#: Parts are used where they hold so many elements at least on average; E allows for sets with such a share of cold ones.
+LOAD, COLD = 5, 0.6
 
 
 @lru_cache(maxsize=8)
@@ -60,24 +71,54 @@ def band(n: int, tn: int, td: int) -> int:
     return int(np.searchsorted(bands(tn, td), n, "right")) - 1
 
 
-def prefix(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
-    """The first `size` of the sorted elements in the order that puts hot ones (sorted, with their counts) last."""
-    for some in (elements[: 2 * size], elements):
-        at = np.minimum(np.searchsorted(hot[0], some), max(0, len(hot[0]) - 1))
-        is_hot = hot[0][at] == some if len(hot[0]) else np.zeros(len(some), bool)
-        cold = some[~is_hot]
-        if len(cold) >= size:
-            return cold[:size]
-    order = np.lexsort((elements[is_hot], hot[1][at[is_hot]]))
-    return np.concatenate([cold, elements[is_hot][order]])[:size]
+@lru_cache(maxsize=4096)
+def parts(tile: int, tn: int, td: int) -> tuple[int, int, int]:
+    """The tile's D, its number of parts (0: prefixes only), and E of them."""
+    edges = bands(tn, td)
+    low, high = int(edges[tile]), int(edges[tile + 1]) - 1
+    different = (high + high * td // tn) * (td - tn) // (td + tn)
+    if low < LOAD * (different + 1):
+        return different, 0, 0
+    spare = 1
+    while True:
+        k = different + 1 + spare
+        empty = k * np.exp(-COLD * low / k)
+        if spare >= empty + 3 * np.sqrt(empty):
+            return different, k, spare
+        spare += max(1, spare // 8)
+        if spare > different + 4:
+            return different, 0, 0  # too few elements: prefixes of so small sets are short anyway
 
 
 def tile_keys(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], tn: int, td: int) -> np.ndarray:
-    """The keys of a sorted set of hashes: its first elements in each tile that it belongs to."""
+    """All keys of a sorted set of hashes. hot: sorted hashes and their counts."""
     n = len(elements)
     least = -(-n * tn // td)
-    first = prefix(elements, hot, n - least + 1)
-    return np.concatenate([kn.mix(first + U(t * int(kn.BASE) % 2**64)) for t in range(band(least, tn, td), band(n, tn, td) + 1)])
+    is_hot, rank = np.zeros(n, bool), None
+    if len(hot[0]):
+        rank = np.minimum(np.searchsorted(hot[0], elements), len(hot[0]) - 1)
+        is_hot = hot[0][rank] == elements
+    cold = elements[~is_hot]
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(kn.mix(cold ^ kn.MIX2), dtype=U)])
+    first = cold[: n - least + 1]
+    if len(first) < n - least + 1:
+        last = elements[is_hot][np.lexsort((elements[is_hot], hot[1][rank[is_hot]]))]
+        first = np.concatenate([first, last])[: n - least + 1]
+    out = [np.zeros(0, U)]
+    for tile in range(band(least, tn, td), band(n, tn, td) + 1):
+        different, k, spare = parts(tile, tn, td)
+        if not different:
+            continue  # similar sets of this tile are equal
+        empty = 1
+        if k:
+            ends = np.searchsorted(((cold >> U(32)) * U(k)) >> U(32), np.arange(k + 1, dtype=U))
+            full = ends[1:] > ends[:-1]
+            empty = k - int(full.sum())
+            keys = kn.mix(sums[ends[1:]] - sums[ends[:-1]] + U((tile + 1) * int(kn.BASE) % 2**64)) + np.arange(k, dtype=U)
+            out.append(kn.mix(keys[full]))
+        if empty > spare:
+            out.append(kn.mix(first + U(tile * int(kn.MIX1) % 2**64)))
+    return np.concatenate(out)
 
 
 def bitmap(elements: np.ndarray) -> list[int]:
