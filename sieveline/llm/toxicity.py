@@ -27,9 +27,9 @@ from . import kernels as kn
 from .common import prepare, table
 
 U = np.uint64
-SAMPLE = 1500
+SAMPLE = 1000
 #: Longer texts aren't drawn into the sample, which bounds the driver's memory; they are scored like all others.
-SAMPLE_BYTES = 65_536
+SAMPLE_BYTES = 16_384
 #: Size of the table, in bits, in which the features that have a weight are looked up.
 BITS = 22
 LIFT, Z, LEAST = 2.5, 2.6, 2
