@@ -104,7 +104,7 @@ def test_missing_rows_are_neither_bright_nor_dark(spark):
 
 def test_unknown_names_are_errors(spark):
     df = spark.createDataFrame([("group:0.90", "full"), ("odd", "odd")], "v string, r string")
-    assert df.limit(1).select(nm.canonical_variant(F.col("v")).alias("v")).first().v == "group:0.9"
+    assert df.where("v <> 'odd'").select(nm.canonical_variant(F.col("v")).alias("v")).first().v == "group:0.9"
     for c in (nm.canonical_variant(F.col("v")), bands.region_rows(F.lit(384), F.col("r"))):
         with pytest.raises(Exception, match="unknown"):
             df.where("v = 'odd'").select(c.alias("c")).collect()
