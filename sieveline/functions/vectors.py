@@ -107,3 +107,18 @@ def learning_rate(step: Column, warmup: int, total: int, base: float) -> Column:
     """Linear warm-up, then a half cosine."""
     done = (step - warmup) / F.greatest(F.lit(1), F.lit(total - warmup))
     return F.when(step < warmup, base * (step + 1) / max(1, warmup)).otherwise(0.5 * base * (1 + F.cos(F.lit(3.141592653589793) * done)))
+
+
+def row_profile(gray: Column, width: int) -> Column:
+    """Mean and population deviation of every row of a flat array of gray values."""
+    starts = F.sequence(F.lit(1), F.size(gray), F.lit(width))
+    rows = F.transform(starts, lambda s: F.slice(gray, s, width))
+    mean = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x) / width
+    square = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x) / width
+    return F.transform(rows, lambda r: F.struct(mean(r).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square(r) - mean(r) * mean(r))).alias("std")))
+
+
+def is_gray(r: Column, g: Column, b: Column, tolerance: int = 2) -> Column:
+    """Whether the channels of all pixels differ by no more than the tolerance."""
+    spread = F.zip_with(F.zip_with(r, g, lambda x, y: F.struct(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"))), b, lambda s, z: F.greatest(s["hi"], z) - F.least(s["lo"], z))
+    return F.forall(spread, lambda d: d <= tolerance)

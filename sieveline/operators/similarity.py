@@ -103,3 +103,17 @@ def storable_limit(hist: DataFrame, cap: int = 3_000_000, top: int = 8) -> int:
         if sum(x for d, x in n.items() if d <= t) <= cap:
             best = t
     return best
+
+
+def pairs_above(hist: DataFrame) -> DataFrame:
+    """(bin, n, above): pairs in a bin, and in it or a higher one. A histogram has a row a bin, so one task orders it."""
+    from pyspark.sql.window import Window
+
+    w = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    return hist.select("bin", "n", F.sum("n").over(w).alias("above"))
+
+
+def require_cap(floor: float, taus: list[float]) -> None:
+    """The floor that the pair cap left must not be above the least threshold."""
+    if floor > min(taus):
+        raise AssertionError(f"the pair cap raised the floor to {floor:g}, above {min(taus):g}")

@@ -213,3 +213,33 @@ def calibration_table(spark, d):
     r = calibration_record(spark, d)
     change = F.round(F.avg(F.col("ece_after") - F.col("ece_before")), 6).alias("ece_change")
     return r.groupBy("backbone").agg(F.count("*").alias("seeds"), *(F.round(F.avg(c), 6).alias(c) for c in ("temperature", "ece_before", "ece_after")), change)
+
+
+@query("fn13_row_profile", "SELECT id, CAST(pos AS INTEGER) AS pos, round(list_avg(r), 6) AS mean, round(sqrt(greatest(0, list_avg(list_transform(r, lambda x: x * x)) - list_avg(r) * list_avg(r))), 6) AS std FROM (SELECT vec_id AS id, unnest(range(8)) AS pos, unnest(list_transform(range(8), lambda i: list_transform(embedding[8 * i + 1 : 8 * i + 8], lambda x: CAST(x AS DOUBLE)))) AS r FROM embeddings)")
+def row_profile(spark, d):
+    x = st.images(spark, d).select("id", F.transform("embedding", lambda e: e.cast("double")).alias("x"))
+    p = x.select("id", F.posexplode(v.row_profile(F.col("x"), 8)).alias("pos", "s"))
+    return p.select("id", "pos", F.round("s.mean", 6).alias("mean"), F.round("s.std", 6).alias("std"))
+
+
+@query("fn14_gray_test", "SELECT vec_id AS id, list_max(list_transform(range(1, 17), lambda i: greatest(embedding[i], embedding[i + 16], embedding[i + 32]) - least(embedding[i], embedding[i + 16], embedding[i + 32]))) * 1000 <= 400 AS gray FROM embeddings")
+def gray_test(spark, d):
+    part = lambda i: F.slice(F.transform("embedding", lambda e: e * 1000), 1 + 16 * i, 16)
+    return st.images(spark, d).select("id", v.is_gray(part(0), part(1), part(2), 400).alias("gray"))
+
+
+@query("fn24_learning_rate", "SELECT CAST(s AS INTEGER) AS step, round(CASE WHEN s < 5 THEN 0.001 * (s + 1) / 5 ELSE 0.5 * 0.001 * (1 + cos(pi() * (s - 5) / 45)) END, 9) AS rate FROM (SELECT unnest(range(50)) AS s)")
+def learning_rate(spark, d):
+    s = spark.range(50).select(F.col("id").cast("int").alias("step"))
+    return s.select("step", F.round(v.learning_rate(F.col("step"), 5, 50, 0.001), 9).alias("rate"))
+
+
+@query("srt6_display_order", "SELECT * FROM (VALUES ('random', 0), ('group:0.9', 1), ('group:0.94', 2), ('group:0.98', 3), ('other', 4)) t(variant, place)")
+def display_order(spark, d):
+    names = spark.createDataFrame([(x,) for x in ("other", "group:0.98", "group:0.9", "random", "group:0.94")], "variant string")
+    return names.select("variant", rep.display_rank(F.col("variant")).alias("place")).orderBy("place")
+
+
+@query("srt7_seed_sets", "SELECT DISTINCT CAST(b AS INTEGER) AS backbone, '0,1,2' AS seeds FROM embeddings, (SELECT unnest([0, 1]) AS b)")
+def seed_sets(spark, d):
+    return st.predictions(spark, d).groupBy("backbone").agg(F.array_join(F.array_sort(F.collect_set("seed")), ",").alias("seeds"))

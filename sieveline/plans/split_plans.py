@@ -224,3 +224,26 @@ def audit_summary(spark, d):
     f = st.files(spark, d)
     t = au.duplicate_totals(au.duplicate_groups(f, "sha", "cls"))
     return f.agg(F.count("*").alias("n"), F.count_distinct("cls").alias("classes")).crossJoin(t.select("groups", "extra", "cross_class"))
+
+
+@query("win9_pairs_above", W + ", h AS (SELECT CAST(floor((v + 1) / 0.05) AS BIGINT) AS bin, count(*) AS n FROM pairs GROUP BY 1) SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS above FROM h")
+def pairs_above(spark, d):
+    return sim.pairs_above(sim.histogram(_pairs(spark, d), 0.05))
+
+
+@query("jn4_aligned", "SELECT vec_id AS id, l.toxic AS y FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id")
+def aligned(spark, d):
+    x, y = st.images(spark, d).select("id"), st.read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+    return x.join(y, "id")
+
+
+@query("jn6_cluster_lookup", WR + "," + sql.components(0.4) + " SELECT backbone, seed, cluster, count(*) AS n FROM cl, (SELECT unnest([0, 1]) AS backbone) b, (SELECT unnest([0, 1, 2]) AS seed) s GROUP BY ALL")
+def cluster_lookup(spark, d):
+    p = st.predictions(spark, d).select("backbone", "seed", "id")
+    return p.join(_clusters(spark, d, 0.4).select("id", "cluster"), "id").groupBy("backbone", "seed", "cluster").agg(F.count("*").alias("n"))
+
+
+@query("src12_wanted_rows", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def wanted_rows(spark, d):
+    wanted = st.read(spark, d, "labels").where("quality = 1").select("doc_id")
+    return st.read(spark, d, "documents").select("doc_id").join(wanted, "doc_id", "left_semi")
