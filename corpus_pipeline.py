@@ -1,6 +1,10 @@
 """The corpus pipeline: five stages over the documents, each written and read again before the next.
 
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing -> sharding
+
+Edge cases: stages decide by doc_id. Rows that share one are dropped together; of repeated rows that stay, the join keeps
+one. Rows without an id share their fate in the same way, but none of those that stay is taken for a repeat. Extra columns
+are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +47,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     named = scratch.write(ngram_join.near_duplicates(docs, 5, 80, 100), "components")
     out = _smaller(scratch, docs, named.where("doc_id <=> component_id"), named.where("NOT doc_id <=> component_id"))
     twice = named.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1")
-    return out if twice.isEmpty() else out.dropDuplicates(["doc_id"])
+    if twice.isEmpty():
+        return out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, f
     frequent = runs.scratch.write(runs.frequent(), "frequent")
     total = lines.where("a IS NOT NULL").count()
     # At most HOT keys by count, however large the corpus is: those are marked by a broadcast, the rest by a merge join.
-    hot = frequent.where(F.col("n") * HOT >= total).orderBy(F.desc("n"), *KEY).limit(HOT).select(*KEY, F.lit(True).alias("hot"))
+    hot = frequent.where(F.col("n") * HOT >= total).select(*KEY, F.lit(True).alias("hot"))
     lines = lines.drop("batch").join(F.broadcast(hot), KEY, "left")
     rest = frequent.where(F.col("n") * HOT < total).select(*KEY, F.lit(True).alias("cold"))
     marked = lines.where("hot IS NULL AND a IS NOT NULL").join(rest.hint("merge"), KEY, "left").select("doc_id", "t", "pos", F.col("cold").isNull().alias("keep"))
