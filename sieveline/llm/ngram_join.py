@@ -20,8 +20,9 @@ sorted arrays.
 
 Tiles of up to SMALL classes give all their pairs. Larger ones give a star about their first class, which joins a group
 of near copies at a cost in proportion to its size. If the components then differ within such a tile, every pair of its
-members from different components is decided as well. So components are exact at any size, while a group's pairs are
-never all emitted.
+members from different components is looked at as well: blocks of members against blocks of those outside the largest
+component, bitmap against bitmap, in matrices of bit counts, from which only pairs come out that can be similar enough.
+So components are exact at any size, while a group's pairs are never all emitted.
 
 Edge cases: a null, empty or blank text has the empty set and is linked with nothing. A text of fewer than k words has
 one element, the whole sequence. Rows that repeat a doc_id are documents of their own. Extra columns are ignored; an
@@ -54,7 +55,9 @@ ROWS_PER_TASK = 1_500_000
 #: Words of 64 bits in a bitmap.
 BITMAP = 16
 #: Parts are used where they hold so many elements at least on average; E allows for sets with such a share of cold ones.
-LOAD, COLD = 5, 0.6
+LOAD, COLD = 5, 0.8
+#: Members of a large tile that are compared at once, in a matrix of bit counts.
+BLOCK = 1024
 
 
 @lru_cache(maxsize=8)
@@ -83,7 +86,7 @@ def parts(tile: int, tn: int, td: int) -> tuple[int, int, int]:
     while True:
         k = different + 1 + spare
         empty = k * np.exp(-COLD * low / k)
-        if spare >= empty + 3 * np.sqrt(empty):
+        if spare >= empty + np.sqrt(empty):
             return different, k, spare
         spare += max(1, spare // 8)
         if spare > different + 4:
@@ -289,6 +292,26 @@ def linked(tn: int, td: int):
     return run
 
 
+def tile_pairs(tn: int, td: int):
+    """Blocks of members x and y to the pairs from different components whose bitmaps allow enough common elements."""
+
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                x, y = (np.asarray(v.values.to_numpy(zero_copy_only=False)).reshape(-1, 3 + BITMAP) for v in (x, y))
+                xw, yw = x[:, 3:].view(U), y[:, 3:].view(U)
+                for i in range(len(y)):
+                    lacks_x = np.bitwise_count(xw & ~yw[i]).sum(axis=1, dtype=np.int64)
+                    lacks_y = np.bitwise_count(yw[i] & ~xw).sum(axis=1, dtype=np.int64)
+                    most = np.minimum(x[:, 2] - lacks_x, y[i, 2] - lacks_y)
+                    j = np.flatnonzero((most * (td + tn) >= (x[:, 2] + y[i, 2]) * tn) & (x[:, 1] != y[i, 1]))
+                    if len(j):
+                        a, b = np.minimum(x[j, 0], y[i, 0]), np.maximum(x[j, 0], y[i, 0])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int, tn: int, td: int):
         self.spark, self.k, self.tn, self.td = docs.sparkSession, k, tn, td
@@ -367,10 +390,20 @@ class JaccardJoin:
         if rows.isEmpty():
             return None
         main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"))
-        others = rows.join(main, "key").where("root <> main").select("key", F.col("cls").alias("c"), F.col("root").alias("r"))
-        pairs = rows.join(others, "key").where("root <> r").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
+        told = rows.join(classes.drop("cid"), "cls").join(main, "key")
+        one = told.select("key", F.col("root") == F.col("main"), "cls", "root", "n", *(f"w{i}" for i in range(BITMAP))).toDF("key", "in_main", "cls", "root", "n", *(f"w{i}" for i in range(BITMAP)))
+        one = self.scratch.write(one, "tiles")
+        both = self.blocks(one).withColumnRenamed("rows", "x").join(self.blocks(one.where("NOT in_main")).withColumnRenamed("rows", "y"), "key")
+        pairs = both.select("x", "y").mapInArrow(tile_pairs(self.tn, self.td), "a long, b long").distinct()
         return self.decide(pairs, classes)
 
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """(key, rows): members in blocks of about BLOCK, each row of a block as class, component, size and bitmap."""
+        size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("of"))
+        row = F.array("cls", "root", "n", *(f"w{i}" for i in range(BITMAP)))
+        blk = F.pmod(F.xxhash64("cls"), F.col("of"))
+        return members.join(size, "key").groupBy("key", blk.alias("blk")).agg(F.flatten(F.collect_list(row)).alias("rows")).drop("blk")
+
 
 def near_duplicates(docs: DataFrame, k: int = 5, tn: int = 80, td: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose sets of k-word shingles have a Jaccard index of tn/td at
