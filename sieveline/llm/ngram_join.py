@@ -58,6 +58,8 @@ BITMAP = 16
 LOAD, COLD = 5, 0.8
 #: Members of a large tile that are compared at once, in a matrix of bit counts.
 BLOCK = 1024
+#: Pairs that a task holds to tell repeats.
+AT_ONCE = 1_000_000
 
 
 @lru_cache(maxsize=8)
@@ -293,21 +295,39 @@ def linked(tn: int, td: int):
 
 
 def tile_pairs(tn: int, td: int):
-    """Blocks of members x and y to the pairs from different components whose bitmaps allow enough common elements."""
+    """Blocks of members x and y to the pairs from different components whose bitmaps allow enough common elements. A pair
+    comes out once for every AT_ONCE pairs that a task finds."""
+
+    def found(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        xw, yw, out = x[:, 3:].view(U), y[:, 3:].view(U), []
+        for i in range(len(y)):
+            lacks_x = np.bitwise_count(xw & ~yw[i]).sum(axis=1, dtype=np.int64)
+            lacks_y = np.bitwise_count(yw[i] & ~xw).sum(axis=1, dtype=np.int64)
+            most = np.minimum(x[:, 2] - lacks_x, y[i, 2] - lacks_y)
+            j = np.flatnonzero((most * (td + tn) >= (x[:, 2] + y[i, 2]) * tn) & (x[:, 1] != y[i, 1]))
+            if len(j):
+                out.append(np.stack([np.minimum(x[j, 0], y[i, 0]), np.maximum(x[j, 0], y[i, 0])]))
+        return out
+
+    def once(held: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate(held, axis=1), axis=1)
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
-                x, y = (np.asarray(v.values.to_numpy(zero_copy_only=False)).reshape(-1, 3 + BITMAP) for v in (x, y))
-                xw, yw = x[:, 3:].view(U), y[:, 3:].view(U)
-                for i in range(len(y)):
-                    lacks_x = np.bitwise_count(xw & ~yw[i]).sum(axis=1, dtype=np.int64)
-                    lacks_y = np.bitwise_count(yw[i] & ~xw).sum(axis=1, dtype=np.int64)
-                    most = np.minimum(x[:, 2] - lacks_x, y[i, 2] - lacks_y)
-                    j = np.flatnonzero((most * (td + tn) >= (x[:, 2] + y[i, 2]) * tn) & (x[:, 1] != y[i, 1]))
-                    if len(j):
-                        a, b = np.minimum(x[j, 0], y[i, 0]), np.maximum(x[j, 0], y[i, 0])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                new = found(*(np.asarray(v.values.to_numpy(zero_copy_only=False)).reshape(-1, 3 + BITMAP) for v in (x, y)))
+                held += new
+                size += sum(p.shape[1] for p in new)
+                if size >= AT_ONCE:
+                    held = [once(held)]
+                    size = held[0].shape[1]
+                    if size >= AT_ONCE // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["a", "b"])
+                        held, size = [], 0
+        if held:
+            a, b = once(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -390,19 +410,23 @@ class JaccardJoin:
         if rows.isEmpty():
             return None
         main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"))
-        told = rows.join(classes.drop("cid"), "cls").join(main, "key")
-        one = told.select("key", F.col("root") == F.col("main"), "cls", "root", "n", *(f"w{i}" for i in range(BITMAP))).toDF("key", "in_main", "cls", "root", "n", *(f"w{i}" for i in range(BITMAP)))
-        one = self.scratch.write(one, "tiles")
-        both = self.blocks(one).withColumnRenamed("rows", "x").join(self.blocks(one.where("NOT in_main")).withColumnRenamed("rows", "y"), "key")
+        hub = rows.groupBy("key").agg(F.min("cls").alias("hub"))
+        told = rows.join(classes.drop("cid"), "cls").join(main, "key").join(hub, "key")
+        told = self.scratch.write(told.withColumn("in_main", F.col("root") == F.col("main")), "tiles")
+        x = self.blocks(told).toDF("key", "hub", "bx", "x")
+        y = self.blocks(told.where("NOT in_main")).toDF("key", "_", "by", "y").drop("_")
+        # A group of near copies fills many tiles. Those of one hub go to one task, block by block, where a pair counts once.
+        p = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        both = x.join(y, "key").repartition(p, "hub", "bx", "by")
         pairs = both.select("x", "y").mapInArrow(tile_pairs(self.tn, self.td), "a long, b long").distinct()
         return self.decide(pairs, classes)
 
     def blocks(self, members: DataFrame) -> DataFrame:
-        """(key, rows): members in blocks of about BLOCK, each row of a block as class, component, size and bitmap."""
+        """(key, hub, blk, rows): members in blocks of about BLOCK, each row of a block as class, component, size, bitmap."""
         size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("of"))
         row = F.array("cls", "root", "n", *(f"w{i}" for i in range(BITMAP)))
         blk = F.pmod(F.xxhash64("cls"), F.col("of"))
-        return members.join(size, "key").groupBy("key", blk.alias("blk")).agg(F.flatten(F.collect_list(row)).alias("rows")).drop("blk")
+        return members.join(size, "key").groupBy("key", "hub", blk.alias("blk")).agg(F.flatten(F.collect_list(row)).alias("rows"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, tn: int = 80, td: int = 100) -> DataFrame:
