@@ -14,8 +14,8 @@ ones last by their count. A similar pair has one of the first n - ceil(t n) + 1
 m - ceil(t m) + 1 of the other in common. Where parts would hold too few elements to tell sets apart, at low thresholds,
 all sets meet by prefixes only.
 
-Classes that meet in no tile need never be looked at. A pair that meets is kept if 1024-bit bitmaps allow enough
-overlap: every bit of one that the other lacks is an element that it lacks. What is left is decided by intersecting the
+Classes that meet in no tile need never be looked at. A pair that meets is kept if bitmaps allow enough overlap: every bit
+of one that the other lacks is an element that it lacks. All sets have one of 1024 bits, large ones a wider one as well. What is left is decided by intersecting the
 sorted arrays.
 
 Tiles of up to SMALL classes give all their pairs. Larger ones give a star about their first class, which joins a group
@@ -132,6 +132,40 @@ def bitmap(elements: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+def wide_bitmap(elements: np.ndarray) -> bytes:
+    """For a set that would fill the small bitmap, one of twice its size or more, a power of two; else nothing."""
+    if len(elements) <= 32 * BITMAP:
+        return b""
+    size = 1 << int(2 * len(elements) - 1).bit_length()
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(elements & U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def wide_enough(tn: int, td: int):
+    """Pairs (a, b, ca, cb, n of a, n of b, wide bitmaps) to those whose wide bitmaps, if both have one, allow enough common
+    elements. The larger one is folded to the size of the smaller."""
+
+    def folded(bits: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                if size:
+                    x, y = folded(x, size), folded(y, size)
+                    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+                    keep.append(most * (td + tn) >= (n + m) * tn)
+                else:
+                    keep.append(True)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text."""
     words, first = kn.word_hashes(col)
@@ -146,8 +180,8 @@ def class_of(elements: np.ndarray) -> int:
     return int(kn.mix(x[:1] * kn.MIX2 + x[1:] + n)[0].astype(np.int64))
 
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), *((f"w{i}", pa.int64()) for i in range(BITMAP)), ("keys", pa.binary())])
-SIGNATURE_DDL = "doc_id long, n long, cls long, " + ", ".join(f"w{i} long" for i in range(BITMAP)) + ", keys binary"
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), *((f"w{i}", pa.int64()) for i in range(BITMAP)), ("wide", pa.binary()), ("keys", pa.binary())])
+SIGNATURE_DDL = "doc_id long, n long, cls long, " + ", ".join(f"w{i} long" for i in range(BITMAP)) + ", wide binary, keys binary"
 
 
 def repeated(k: int):
@@ -182,13 +216,14 @@ def signatures(k: int, tn: int, td: int, hot: tuple[np.ndarray, np.ndarray]):
     def run(batches):
         for whole in batches:
             for batch in kn.slices(whole, 1):
-                rows, bits = [[], [], []], []
+                rows, bits = [[], [], [], []], []
                 for e in sets(batch.column(1), k):
                     rows[0].append(len(e))
                     rows[1].append(class_of(e))
                     rows[2].append(tile_keys(e, hot, tn, td).tobytes() if len(e) else b"")
+                    rows[3].append(wide_bitmap(e))
                     bits.append(bitmap(e))
-                columns = [batch.column(0), rows[0], rows[1], *zip(*bits), rows[2]]
+                columns = [batch.column(0), rows[0], rows[1], *zip(*bits), rows[3], rows[2]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(list(c), f.type) for c, f in zip(columns, SIGNATURE)], schema=SIGNATURE)
 
     return run
@@ -357,7 +392,8 @@ class JaccardJoin:
     def decide(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
         both = pairs.join(classes.alias("x"), F.col("a") == F.col("x.cls")).join(classes.alias("y"), F.col("b") == F.col("y.cls"))
-        left = self.scratch.write(both.where(self.overlap_possible()).select("a", "b", F.col("x.cid").alias("ca"), F.col("y.cid").alias("cb")), "possible")
+        some = both.where(self.overlap_possible()).select("a", "b", F.col("x.cid").alias("ca"), F.col("y.cid").alias("cb"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"), F.col("x.wide").alias("wx"), F.col("y.wide").alias("wy"))
+        left = self.scratch.write(some.mapInArrow(wide_enough(self.tn, self.td), "a long, b long, ca long, cb long"), "possible")
         ends = left.select(F.col("a").alias("cls"), F.col("ca").alias("cid")).unionByName(left.select(F.col("b").alias("cls"), F.col("cb").alias("cid")))
         e = self.elements(ends)
         full = left.select("a", "b").join(e.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").join(e.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
@@ -383,7 +419,7 @@ class JaccardJoin:
         size = sig.agg(F.sum(F.length("keys")).alias("s")).first().s or 0
         conf = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         p = max(conf, -(-size // 8 // ROWS_PER_TASK))
-        words = [F.first(f"w{i}").alias(f"w{i}") for i in range(BITMAP)]
+        words = [F.first(c).alias(c) for c in (*(f"w{i}" for i in range(BITMAP)), "wide")]
         classes = scratch.write(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), *words), "classes")
         packed = sig.where("n > 0").select("cls", "keys").mapInArrow(dealt(p), "pid int, keys binary, classes binary")
         found = scratch.write(packed.repartition(p, "pid").mapInArrow(bucket_pairs, "a long, b long, key long"), "candidates")
@@ -411,7 +447,7 @@ class JaccardJoin:
             return None
         main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"))
         hub = rows.groupBy("key").agg(F.min("cls").alias("hub"))
-        told = rows.join(classes.drop("cid"), "cls").join(main, "key").join(hub, "key")
+        told = rows.join(classes.drop("cid", "wide"), "cls").join(main, "key").join(hub, "key")
         told = self.scratch.write(told.withColumn("in_main", F.col("root") == F.col("main")), "tiles")
         x = self.blocks(told).toDF("key", "hub", "bx", "x")
         y = self.blocks(told.where("NOT in_main")).toDF("key", "_", "by", "y").drop("_")
