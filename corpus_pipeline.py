@@ -2,71 +2,73 @@
 
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing -> sharding
 
-Edge cases: stages decide by doc_id. Rows that share one are dropped together; of repeated rows that stay, the join keeps
-one. Rows without an id share their fate in the same way, but none of those that stay is taken for a repeat. Extra columns
-are carried along; an empty table gives an empty result.
+Edge cases: stages decide by row, from its text and, in mixing, its id and cell; rows that share a doc_id, or have none,
+have no other effect on each other. Of rows of one doc_id and text, the join keeps one; it also keeps one row of a group
+whose rows have no id, while rows that have neither id nor words all stay. The size of a table only chooses how tables are
+joined, never what stays. Extra columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import decontamination, mixing, ngram_join, quality, sharding
-from sieveline.llm.common import Scratch, prepare, table
+from sieveline.llm.common import BLANKS, Scratch, prepare, table, text_or_empty
 
 SHARDS = 16
-#: Ids are broadcast if there are no more than so many (8 MB), else joined by a shuffle.
+#: Keys of rows are broadcast if there are no more than so many (16 MB), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents whose doc_id is (left_semi) or is not (left_anti) among ids."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_id"]), how)
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"])
 
 
-def _smaller(scratch: Scratch, docs: DataFrame, keep: DataFrame, drop: DataFrame) -> DataFrame:
-    """docs without those of drop: by a broadcast of their ids, if those are few enough, else by joining the ids of keep."""
-    gone = scratch.write(drop.select("doc_id").distinct(), "dropped")
-    if gone.count() <= BROADCAST_IDS:
-        return _only(docs, F.broadcast(gone), "left_anti")
-    return _only(docs, keep.select("doc_id"), "left_semi")
+def _by_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a hash of the text for an id, for what a stage decides by the text alone."""
+    return docs.select(_text_hash(docs).alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """docs without the rows that are the same as one of gone, a written table."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scratch = Scratch(spark, "pipeline-quality")
-    scores = scratch.write(quality.score(docs).select("doc_id", "keep"), "scores")
-    return _smaller(scratch, docs, scores.where("keep"), scores.where("NOT keep"))
+    return quality.kept(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that similar ones link (five words, 0.8), the one of the smallest id stays."""
     scratch = Scratch(spark, "pipeline-jaccard")
-    named = scratch.write(ngram_join.near_duplicates(docs, 5, 80, 100), "components")
-    out = _smaller(scratch, docs, named.where("doc_id <=> component_id"), named.where("NOT doc_id <=> component_id"))
-    twice = named.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1")
-    if twice.isEmpty():
+    named = ngram_join.near_duplicates(_by_text(docs), 5, 80, 100).where("n_shingles > 0")
+    named = named.select(F.col("doc_id").alias("_hash"), F.col("component_id").alias("_group")).distinct()
+    ids = docs.select(docs["doc_id"].cast("long").alias("_id"), _text_hash(docs).alias("_hash"))
+    rows = scratch.write(ids.join(named, "_hash", "left"), "groups")
+    first = rows.where("_group IS NOT NULL").groupBy("_group").agg(F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_hash")).alias("_first"))
+    others = rows.join(first, "_group").where("NOT (_id <=> _first._id AND _hash = _first._hash)")
+    gone = scratch.write(others.select("_id", "_hash").distinct(), "dropped")
+    out = _without(docs, gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (_text_hash(docs) == gone["_hash"]))
+    if rows.where("_id IS NOT NULL OR _group IS NOT NULL").groupBy("_id", "_hash").count().where("count > 1").isEmpty():
         return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    blank = F.col("doc_id").isNull() & (F.btrim(text_or_empty(), F.lit(BLANKS)) == "")
+    once = out.where(~blank).withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return once.unionByName(out.where(blank))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of the benchmark (five words, 0.8) go."""
     scratch = Scratch(spark, "pipeline-decontamination")
-    hits = decontamination.contained(docs, table(spark, sf_dir, "benchmark"), 5, 80, 100)
-    gone = scratch.write(hits.select("doc_id").distinct(), "hits")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return _only(docs, gone, "left_anti")
+    hits = decontamination.contained(_by_text(docs), table(spark, sf_dir, "benchmark"), 5, 80, 100)
+    gone = scratch.write(hits.select(F.col("doc_id").alias("_hash")).distinct(), "hits")
+    return _without(docs, gone, _text_hash(docs) == gone["_hash"])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn so that the token weights of sources, languages and topics meet their targets."""
-    scratch = Scratch(spark, "pipeline-mixing")
-    drawn = scratch.write(mixing.mix(docs).select("doc_id", "sampled"), "sampled")
-    return _smaller(scratch, docs, drawn.where("sampled"), drawn.where("NOT sampled"))
+    return mixing.drawn(docs)
 
 
 def minimax_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,10 +46,13 @@ def topic(text: Column, tokens: Column) -> Column:
     )
 
 
+def value(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens)."""
-    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c)
-    out = docs.select("doc_id", some("source"), some("lang"), text_or_empty().alias("text"), n_tokens(text_or_empty()).alias("n_tokens"))
+    out = docs.select("doc_id", value("source").alias("source"), value("lang").alias("lang"), text_or_empty().alias("text"), n_tokens(text_or_empty()).alias("n_tokens"))
     return out.select("doc_id", "source", "lang", topic(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
 
 
@@ -115,35 +118,54 @@ def rake_distributed(cells: DataFrame, targets: dict, budget: float, scratch: Sc
     return w.select(*DIMS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("ratio") * hi)).otherwise(1.0).alias("probability"))
 
 
+def fit(cells: DataFrame, targets: dict[str, dict[str, float]], budget: float, scratch: Scratch) -> DataFrame:
+    """(source, lang, topic, weight, probability) of the written cells (source, lang, topic, tokens)."""
+    if cells.count() > CELLS:
+        return rake_distributed(cells, targets, budget, scratch)
+    got = sorted(cells.collect())
+    tokens = np.array([r.tokens for r in got], float)
+    codes, wanted = [], []
+    for dim in DIMS:
+        values: dict[str, float] = {}
+        for r in got:
+            values[r[dim]] = values.get(r[dim], 0.0) + r.tokens
+        want = shares(values, targets.get(dim))
+        place = {v: i for i, v in enumerate(values)}
+        codes.append(np.array([place[r[dim]] for r in got], int))
+        wanted.append(np.array([want[v] for v in values]))
+    weight = rake(tokens, codes, wanted) if got else tokens
+    chance = calibrate(weight, tokens, budget)
+    fitted = [(*(r[d] for d in DIMS), float(w), float(p)) for r, w, p in zip(got, weight, chance)]
+    return F.broadcast(cells.sparkSession.createDataFrame(fitted, "source string, lang string, topic string, weight double, probability double"))
+
+
+def draw(seed: int) -> Column:
+    """A number from 0 to 1 for the doc_id."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / float(1 << 53)
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 0) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled) of every document; budget is the share of all
     tokens that is to be kept in expectation."""
-    spark, targets = docs.sparkSession, targets or {}
-    prepare(spark)
-    scratch = Scratch(spark, "mixing")
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.write(describe(docs), "documents")
     cells = scratch.write(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    if cells.count() <= CELLS:
-        got = sorted(cells.collect())
-        tokens = np.array([r.tokens for r in got], float)
-        codes, wanted = [], []
-        for dim in DIMS:
-            values: dict[str, float] = {}
-            for r in got:
-                values[r[dim]] = values.get(r[dim], 0.0) + r.tokens
-            want = shares(values, targets.get(dim))
-            place = {v: i for i, v in enumerate(values)}
-            codes.append(np.array([place[r[dim]] for r in got], int))
-            wanted.append(np.array([want[v] for v in values]))
-        weight = rake(tokens, codes, wanted) if got else tokens
-        chance = calibrate(weight, tokens, budget)
-        fitted = [(*(r[d] for d in DIMS), float(w), float(p)) for r, w, p in zip(got, weight, chance)]
-        fitted = F.broadcast(spark.createDataFrame(fitted, "source string, lang string, topic string, weight double, probability double"))
-    else:
-        fitted = rake_distributed(cells, targets, budget, scratch)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / float(1 << 53)
-    out = rows.join(fitted, list(DIMS))
-    return out.select("doc_id", *DIMS, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))
+    out = rows.join(fit(cells, targets or {}, budget, scratch), list(DIMS))
+    return out.select("doc_id", *DIMS, "n_tokens", "weight", "probability", (draw(seed) < F.col("probability")).alias("sampled"))
+
+
+def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 0) -> DataFrame:
+    """The documents that mix() samples, all columns; a row is decided by its own id and cell."""
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    cells = scratch.write(describe(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    fitted = fit(cells, targets or {}, budget, scratch).select(*(F.col(d).alias(f"_its_{d}") for d in DIMS), F.col("probability").alias("_its_probability"))
+    told = docs.withColumns({"_source": value("source"), "_lang": value("lang"), "_tokens": n_tokens(text_or_empty())})
+    told = told.withColumn("_topic", topic(text_or_empty(), F.col("_tokens"))).withColumn("_draw", draw(seed))
+    same = [F.col(f"_{d}") == F.col(f"_its_{d}") for d in DIMS]
+    out = told.join(fitted, [*same, F.col("_draw") < F.col("_its_probability")], "left_semi")
+    return out.select(*(F.col(c) for c in docs.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

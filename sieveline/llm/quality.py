@@ -166,13 +166,18 @@ def featurer(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern), pa.array([i.tolist() for i, _ in got], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "pattern", "i", "x"])
 
 
+def judged(texts: pa.Array, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pattern of votes, number of words and score of each text."""
+    pattern, n = votes(texts)
+    z = np.array([x @ w[i] + b for i, x in features(texts)])
+    return pattern, n, np.where(n > 0, 1 / (1 + np.exp(z)), 0.0)
+
+
 def scorer(w: np.ndarray, b: float, posts: dict[int, float]):
     def run(batches):
         for whole in batches:
             for batch in kn.slices(whole, 1):
-                pattern, n = votes(batch.column(1))
-                z = np.array([x @ w[i] + b for i, x in features(batch.column(1))])
-                score = np.where(n > 0, 1 / (1 + np.exp(z)), 0.0)
+                pattern, n, score = judged(batch.column(1), w, b)
                 weak = np.array([1 - posts.get(int(p), 1.0) for p in pattern])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n.astype(np.int64)), pa.array(np.round(weak, 6)), pa.array(np.round(score, 6)), pa.array(score >= KEEP_FROM)], names=["doc_id", "n_words", "weak_quality", "quality", "keep"]
@@ -181,6 +186,17 @@ def scorer(w: np.ndarray, b: float, posts: dict[int, float]):
     return run
 
 
+def keeper(w: np.ndarray, b: float, text: int):
+    """Rows of any columns to those whose text is kept."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in kn.slices(whole, text):
+                yield batch.filter(pa.array(judged(batch.column(text), w, b)[2] >= KEEP_FROM))
+
+    return run
+
+
 def train(docs: DataFrame) -> tuple[np.ndarray, float, dict[int, float], np.ndarray]:
     """Weights and bias of the scorer, the posterior of bad by pattern, and the labellers' probabilities."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -209,5 +225,12 @@ def score(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scorer(w, b, posts), "doc_id long, n_words long, weak_quality double, quality double, keep boolean")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents that score() keeps, all columns; a row is decided by its own text, whatever its id."""
+    prepare(docs.sparkSession)
+    w, b, _, _ = train(docs)
+    return docs.mapInArrow(keeper(w, b, docs.columns.index("text")), docs.schema)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

@@ -36,3 +36,28 @@ def test_repeated_rows_leave_one(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(20)
     twice = cp.ngram_jaccard(spark, docs.union(docs), small)
     assert twice.count() == twice.select("doc_id").distinct().count()
+
+
+def test_rows_are_decided_by_themselves_at_any_size(spark, small, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    keep = {r.doc_id: r.keep for r in cp.quality.score(docs).collect()}
+    none = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "a " + passage), (5, "quite another text of its own"), (9, "b " + passage), (6, "quite another text of its own"), (None, "no id " * 9), (None, "no id " * 9), (None, "x y z"), (None, ""), (None, ""), (3, "quite another text of its own more")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    leaky = spark.createDataFrame([(None, bench), (None, "clean words without any passage"), (1, bench), (1, "clean words")], "doc_id long, text string")
+    for limit in (cp.BROADCAST_IDS, 0):
+        monkeypatch.setattr(cp, "BROADCAST_IDS", limit)
+        assert cp.quality_classifier(spark, none, small).count() == sum(keep.values())
+        got = [(r.doc_id, r.text) for r in cp.ngram_jaccard(spark, odd, small).collect()]
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert sorted(got, key=key) == sorted([rows[i] for i in (0, 1, 4, 6, 7, 8, 9)], key=key)
+        got = [(r.doc_id, r.text) for r in cp.benchmark_decontamination(spark, leaky, small).collect()]
+        assert sorted(got, key=key) == [(1, "clean words"), (None, "clean words without any passage")]
+    both = docs.unionByName(docs.withColumn("source", F.lit("another source")))
+    want = cp.mixing.mix(both).where("sampled").groupBy("doc_id", "source").count()
+    got = cp.source_mixing(spark, both, small).groupBy("doc_id", "source").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
