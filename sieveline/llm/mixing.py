@@ -29,6 +29,8 @@ DIMS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 BUDGET = 0.6
 ROUNDS, CLOSE = 200, 1e-9
+#: Halvings that one pass over a large cell table decides.
+DEPTH = 5
 TOPICS = ("tabular", "listing", "short", "long", "prose")
 
 
@@ -93,28 +95,48 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarr
 
 
 def rake_distributed(cells: DataFrame, targets: dict, budget: float, scratch: Scratch) -> DataFrame:
-    """The same rounds over a cell table that the driver can't hold."""
+    """The same shares, rounds and bisection over a cell table that the driver can't hold."""
     total = cells.agg(F.sum("tokens").alias("t")).first().t or 1
     w = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for dim in DIMS:
         by = cells.groupBy(dim).agg(F.sum("tokens").alias("t"))
         target = targets.get(dim)
-        raw = F.pow(F.col("t").cast("double"), F.lit(TEMPERATURE)) if target is None else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in target.items() for x in kv]), dim), F.lit(0.0))
-        by = by.withColumn("raw", raw)
-        by = by.crossJoin(F.broadcast(by.agg(F.sum("raw").alias("all")))).select(dim, (F.col("raw") / F.col("all")).alias(f"{dim}_share"))  # one row
-        w = w.join(by, dim)
-    for _ in range(20):
+        if target is None:
+            by = by.withColumn("raw", F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(TEMPERATURE))).otherwise(0.0))
+        else:
+            named = F.try_element_at(F.create_map(*[F.lit(x) for v, share in target.items() for x in (v, float(share))]), F.col(dim)) if target else F.lit(None).cast("double")
+            by = scratch.write(by.withColumn("named", named), "shares")
+            free = by.where("named IS NULL").count()
+            by = by.withColumn("raw", F.coalesce("named", F.lit(max(0.0, 1 - sum(target.values())) / max(free, 1))))
+        by = by.crossJoin(F.broadcast(by.agg(F.sum("raw").alias("all"))))  # one row
+        w = w.join(by.select(dim, F.when(F.col("all") > 0, F.col("raw") / F.col("all")).otherwise(0.0).alias(f"{dim}_share")), dim)
+    w = scratch.write(w, "weights")
+    for _ in range(ROUNDS):
+        old = w
         for dim in DIMS:
-            have = w.groupBy(dim).agg(F.sum("weight").alias("have"))
-            w = w.join(have, dim).withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"{dim}_share") / F.col("have")).otherwise(F.col("weight"))).drop("have")
+            have, want = F.col("have"), F.col(f"{dim}_share")
+            w = w.join(w.groupBy(dim).agg(F.sum("weight").alias("have")), dim)
+            w = w.withColumns({"weight": F.when(have > 0, F.col("weight") * want / have).otherwise(F.col("weight")), f"{dim}_off": F.when(have > 0, F.abs(have - want)).otherwise(0.0)}).drop("have")
         w = scratch.write(w, "weights")
+        worst = w.agg(F.max(F.greatest(*(f"{dim}_off" for dim in DIMS))).alias("x")).first().x or 0.0
+        scratch.drop(old)
+        if worst < CLOSE:
+            break
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
     w = w.withColumn("ratio", ratio)
-    lo, hi = 0.0, float(total) / (w.where("ratio > 0").agg(F.min("ratio").alias("m")).first().m or 1.0)
-    for _ in range(40):
-        mid = (lo + hi) / 2
-        got = w.agg(F.sum(F.least(F.lit(1.0), F.col("ratio") * mid) * F.col("tokens")).alias("s")).first().s
-        lo, hi = (mid, hi) if got < budget * total else (lo, mid)
+    least = w.where("ratio > 0").agg(F.min("ratio").alias("m")).first().m or 1.0
+    lo, hi = 0.0, float(total) / max(min(least, 1.0), 1e-300)
+    for _ in range(200 // DEPTH):
+        ends, mids = [(lo, hi)], []
+        for _ in range(DEPTH):  # all middles that the next DEPTH halvings can ask for
+            mids += [(a + b) / 2 for a, b in ends]
+            ends = [e for a, b in ends for e in ((a, (a + b) / 2), ((a + b) / 2, b))]
+        got = w.agg(*(F.sum(F.least(F.lit(1.0), F.col("ratio") * F.lit(m)) * F.col("tokens")).alias(f"s{i}") for i, m in enumerate(mids))).first()
+        at = 0
+        for _ in range(DEPTH):
+            low = (got[at] or 0.0) < budget * total
+            lo, hi = (mids[at], hi) if low else (lo, mids[at])
+            at = 2 * at + (2 if low else 1)
     return w.select(*DIMS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("ratio") * hi)).otherwise(1.0).alias("probability"))
 
 

@@ -278,6 +278,17 @@ def test_mixing_both_ways_agree(spark, small, monkeypatch):
     assert max(abs(b[i].probability - c[i].probability) for i in b) < 1e-3
 
 
+def test_mixing_both_ways_agree_on_partial_targets(spark, monkeypatch):
+    rows = [(i, "word " * (1 + i % 7 * 40), ("en", "de", "fr", None)[i % 4], f"s{i // 4 % 3}", 0) for i in range(84)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    targets = {"lang": {"en": 0.5, "de": 0.2}, "source": {"s0": 0.3}}
+    a = {r.doc_id: r for r in mixing.mix(docs, targets).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    b = {r.doc_id: r for r in mixing.mix(docs, targets).collect()}
+    assert set(a) == set(b) and min(r.probability for r in b.values()) > 0
+    assert max(abs(a[i].probability - b[i].probability) for i in a) < 1e-6 and max(abs(a[i].weight - b[i].weight) for i in a) < 1e-6
+
+
 def auc(y, s):
     order = np.argsort(s, kind="stable")
     y, s = np.asarray(y)[order], np.asarray(s)[order]
