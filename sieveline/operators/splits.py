@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +12,7 @@ from pyspark.sql.window import Window
 PARTS = ("train", "val", "test")
 RATIOS = (0.70, 0.15, 0.15)
 SEED = 42
-#: Clusters of two members or more that the sequential assignment takes; it runs on the driver, over one row a cluster and class.
+#: Clusters that the sequential assignment takes on the driver, over one row a cluster and class; more go through one task.
 MOST_CLUSTERS = 1_000_000
 
 
@@ -26,17 +29,13 @@ def stratified(items: DataFrame, cls: str = "y", id_col: str = "id", seed: int =
     return r.select(id_col, cls, split.alias("split"))
 
 
-def assign(groups: list[tuple], ratios: tuple[float, ...] = RATIOS) -> list[int]:
-    """Greedy: each group of class counts, in order, goes to the split for which the sum over classes and splits of
-    (count - ratio * allocated so far)^2 / class size^2 is least; the first of equals."""
-    size: dict = {}
-    for counts in groups:
-        for c, n in counts.items():
-            size[c] = size.get(c, 0) + n
+def greedy(size: dict, ratios: tuple[float, ...] = RATIOS) -> Callable[[dict], int]:
+    """Told the groups' class counts in order, says where each goes: the split for which the sum over classes and splits of
+    (count - ratio * allocated so far)^2 / class size^2 is least; the first of equals. size: items of each class."""
     have = [dict.fromkeys(size, 0.0) for _ in ratios]
     so_far = dict.fromkeys(size, 0.0)
-    out = []
-    for counts in groups:
+
+    def place(counts: dict) -> int:
         for c, n in counts.items():
             so_far[c] += n
         best, least = 0, float("inf")
@@ -50,36 +49,49 @@ def assign(groups: list[tuple], ratios: tuple[float, ...] = RATIOS) -> list[int]
                 best, least = s, loss
         for c, n in counts.items():
             have[best][c] += n
-        out.append(best)
-    return out
+        return best
+
+    return place
+
+
+def assign(groups: list[tuple], ratios: tuple[float, ...] = RATIOS) -> list[int]:
+    """Where greedy() puts the groups, in order."""
+    size: dict = {}
+    for counts in groups:
+        for c, n in counts.items():
+            size[c] = size.get(c, 0) + n
+    return list(map(greedy(size, ratios), groups))
 
 
 def by_clusters(clusters: DataFrame, seed: int = SEED, exact: int = MOST_CLUSTERS) -> DataFrame:
     """(id, y, cluster, split) with whole clusters in one split. clusters: (id, y, cluster).
 
     Clusters go largest first, equal sizes in an order drawn from the seed. The assignment is sequential by nature, over
-    one row a cluster and class. Beyond `exact` clusters only those of two members or more go that way, and single items
-    fill each class up to the ratios by rank, which needs no order among them.
+    one row a cluster and class. Up to `exact` clusters it runs on the driver; beyond that, by the same rule in the same
+    order, in one task, which sorts the rows on disk and holds a few of them at a time.
     """
     spark = clusters.sparkSession
     cell = clusters.groupBy("cluster", "y").agg(F.count("*").alias("n"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    few = sizes.count() <= exact
-    told = cell.join(sizes if few else sizes.where("size > 1"), "cluster")
-    rows = told.groupBy("cluster", "size").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("y", "n")))).alias("counts")).orderBy(F.desc("size"), draw(seed, F.col("cluster")), "cluster").collect()
-    where = assign([r.counts for r in rows])
-    named = spark.createDataFrame([(r.cluster, PARTS[s]) for r, s in zip(rows, where)], "cluster long, split string")
-    out = clusters.join(named, "cluster", "left")
-    if not few:
-        have = out.where("split IS NOT NULL").groupBy("y").pivot("split", list(PARTS)).count().na.fill(0)
-        w = Window.partitionBy("y")
-        single = out.where("split IS NULL").drop("split").join(have, "y", "left").na.fill(0, list(PARTS))
-        single = single.withColumn("_r", F.row_number().over(w.orderBy(draw(seed, F.col("id")), "id"))).withColumn("_n", F.count("*").over(w) + sum(F.col(p) for p in PARTS))
-        to_train = F.greatest(F.lit(0), F.round(F.col("_n") * RATIOS[0]) - F.col("train"))
-        to_val = F.greatest(F.lit(0), F.round(F.col("_n") * RATIOS[1]) - F.col("val"))
-        rest = single.withColumn("split", F.when(F.col("_r") <= to_train, "train").when(F.col("_r") <= to_train + to_val, "val").otherwise("test"))
-        out = out.where("split IS NOT NULL").select("id", "y", "cluster", "split").unionByName(rest.select("id", "y", "cluster", "split"))
-    return out.select("id", "y", "cluster", "split")
+    told = cell.join(sizes, "cluster").groupBy("cluster", "size").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("y", "n")))).alias("counts"))
+    order = [F.desc("size"), draw(seed, F.col("cluster")), F.col("cluster")]
+    if sizes.count() <= exact:
+        rows = told.orderBy(*order).collect()
+        where = assign([r.counts for r in rows])
+        named = spark.createDataFrame([(r.cluster, PARTS[s]) for r, s in zip(rows, where)], "cluster long, split string")
+    else:
+        size = {r.y: r["count"] for r in clusters.groupBy("y").count().collect()}  # one row a class
+
+        def run(batches):
+            place = greedy(size)
+            for b in batches:
+                where = [PARTS[place(dict(zip(y, n)))] for y, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(where, pa.string())], names=["cluster", "split"])
+
+        ordered = told.repartition(1).sortWithinPartitions(*order)
+        lists = ordered.select(F.col("cluster").cast("long").alias("cluster"), F.map_keys("counts").alias("ys"), F.map_values("counts").alias("ns"))
+        named = lists.mapInArrow(run, "cluster long, split string")
+    return clusters.join(named, "cluster", "left").select("id", "y", "cluster", "split")
 
 
 class TestAccessError(PermissionError):

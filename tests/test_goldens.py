@@ -77,6 +77,14 @@ def test_temperature_follows_the_scale_and_the_grid(spark):
     assert calibration.fit_by_grid(df, ["g"]).first().temperature == pytest.approx(t4, rel=1e-2)
 
 
+def test_grid_finds_the_temperature_of_golden_section(spark):
+    rng = np.random.default_rng(3)
+    z, y = rng.normal(size=(300, 4)) * 2, rng.integers(0, 4, 300)
+    z[np.arange(300), y] += 2
+    df = spark.createDataFrame([(1, int(a), [float(x) for x in b]) for a, b in zip(y, z)], "g int, y int, z array<double>")
+    assert calibration.fit_by_grid(df, ["g"]).first().temperature == pytest.approx(calibration.golden_section(z, y), rel=2e-6)
+
+
 def test_early_stopping(spark):
     h = [0.1, 0.3, 0.3, 0.2, 0.5, 0.4, 0.4, 0.4, 0.9]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(h)], "g int, epoch int, val_macro_f1 double")

@@ -43,6 +43,13 @@ def test_group_split_keeps_clusters_whole(spark):
         assert abs(n["train"] / len(rows) - 0.7) < 0.02
 
 
+def test_group_split_is_the_same_at_any_size(spark):
+    rows = [(i, i % 3, i // 3 if i < 60 else i) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, y int, cluster long")
+    one, other = (sorted(map(tuple, splits.by_clusters(df, exact=n).collect())) for n in (10**6, 10))
+    assert one == other
+
+
 def test_greedy_prefers_the_first_of_equals():
     assert splits.assign([{0: 10}])[0] == 0
     assert sorted(set(splits.assign([{0: 1}] * 20))) == [0, 1, 2]
