@@ -23,8 +23,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         step = best.join(jump, "mid").select("node", "old", F.least("mid", "next").alias("root"))
         step = scratch.write(step, "labels")
         if step.where("root <> old").isEmpty():
-            scratch.drop(both)
-            return step.select("node", "root")
+            scratch.drop(both, labels)
+            out = step.select("node", "root")
+            out.scratch_path = step.scratch_path
+            return out
         scratch.drop(labels)
         path, labels = step.scratch_path, step.select("node", "root")
         labels.scratch_path = path

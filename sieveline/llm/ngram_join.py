@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct runs of k words. Documents of equal sets form a class, which is
 compared once. Sizes are cut into bands; the tile of a band is where sets of that band meet others of the same or a
 larger size that could still be similar enough. Within a tile, sets meet under keys of two kinds, so chosen that no
-similar pair is lost. Hashes that the corpus holds often are hot, and bring no sets together by themselves.
+similar pair is lost. Hashes that a sample of the corpus holds often are hot, and bring no sets together by themselves.
 
 Parts: the range of hashes is cut into D + 1 + E parts, where D is the largest symmetric difference that similar pairs
 of the tile can have. The cold elements of such a pair agree on E + 1 parts at least. A part without cold elements says
@@ -14,24 +14,27 @@ ones last by their count. A similar pair has one of the first n - ceil(t n) + 1
 m - ceil(t m) + 1 of the other in common. Where parts would hold too few elements to tell sets apart, at low thresholds,
 all sets meet by prefixes only.
 
-Classes that meet in no tile need never be looked at. A pair that meets is kept if bitmaps allow enough overlap: every bit
-of one that the other lacks is an element that it lacks. All sets have one of 1024 bits, large ones a wider one as well. What is left is decided by intersecting the
-sorted arrays.
+Classes that meet in no tile need never be looked at. A pair that meets may be similar if bitmaps allow enough overlap:
+every bit of one that the other lacks is an element that it lacks. Such pairs join classes to clumps. Tiles of up to SMALL
+classes give all their pairs; larger ones give a star about their first class, and where members of a tile are then in
+different clumps, those are held against each other in blocks, of which only the pairs that join clumps come out.
 
-Tiles of up to SMALL classes give all their pairs. Larger ones give a star about their first class, which joins a group
-of near copies at a cost in proportion to its size. If the components then differ within such a tile, every pair of its
-members from different components is looked at as well: blocks of members against blocks of those outside the largest
-component, bitmap against bitmap, in matrices of bit counts, from which only pairs come out that can be similar enough.
-So components are exact at any size, while a group's pairs are never all emitted.
+All links lie within clumps. The sorted arrays of a clump's classes are sent there once, in blocks; every pair of blocks is
+one cell's work. A cell keeps each set as its difference to what most sets of the cell hold, bounds the overlap of
+differences by bitmaps from above, and intersects the sorted differences of the pairs that are left. It returns the links
+of each class, as a number, and pairs that join its components; a group's pairs are never emitted. Work on a clump grows
+with the square of its classes (not of its copies), at some ten nanoseconds a pair; its arrays go to as many cells as it
+has blocks.
 
 Edge cases: a null, empty or blank text has the empty set and is linked with nothing. A text of fewer than k words has
-one element, the whole sequence. Rows that repeat a doc_id are documents of their own. Extra columns are ignored; an
-empty table gives an empty result.
+one element, the whole sequence. Rows that repeat a doc_id, or have none, are documents of their own; the component of
+such documents only has no id (null). Texts of any length are read whole. Extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,21 +48,21 @@ from .common import Scratch, prepare, table
 
 U = np.uint64
 SMALL = 16
-#: A shingle is hot if it makes up over a HOT-th of all shingles, so that no more than HOT can be: 4 MB at most, which is
-#: sent to all tasks. What a task meets fewer than LOCAL times it doesn't report; that only moves the order a little.
-HOT, LOCAL = 250_000, 3
-#: Ids of documents to be looked at again are broadcast if there are no more than so many (8 MB), else joined by a shuffle.
+#: A shingle is hot if at least OFTEN different texts of a SAMPLE-th of all texts have it. Of more than HOT (16 MB), those of
+#: the largest counts are. This only orders elements and picks keys: what isn't known as hot is never lost.
+SAMPLE, OFTEN, HOT = 8, 3, 1_000_000
+#: A hot key that about so many classes or more have is dealt to several tasks.
+KEY_CLASSES = 500_000
+#: Hashes of texts to be looked at again are broadcast if there are no more than so many (8 MB), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows of keys that one task compares.
 ROWS_PER_TASK = 1_500_000
-#: Words of 64 bits in a bitmap.
-BITMAP = 16
 #: Parts are used where they hold so many elements at least on average; E allows for sets with such a share of cold ones.
 LOAD, COLD = 5, 0.8
-#: Members of a large tile that are compared at once, in a matrix of bit counts.
-BLOCK = 1024
-#: Pairs that a task holds to tell repeats.
-AT_ONCE = 1_000_000
+#: Most classes, and about most bytes of their sets, in a block of a tile or clump.
+BLOCK, BLOCK_BYTES = 8192, 1 << 24
+#: Words of 64 bits in a cell's bitmaps at most.
+WORDS = 64
 
 
 @lru_cache(maxsize=8)
@@ -95,8 +98,9 @@ def parts(tile: int, tn: int, td: int) -> tuple[int, int, int]:
             return different, 0, 0  # too few elements: prefixes of so small sets are short anyway
 
 
-def tile_keys(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], tn: int, td: int) -> np.ndarray:
-    """All keys of a sorted set of hashes. hot: sorted hashes and their counts."""
+def tile_keys(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], tn: int, td: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a sorted set of hashes, and to how many tasks each is dealt. hot: sorted hashes and their counts. Keys
+    that are dealt to several tasks are odd, all others even."""
     n = len(elements)
     least = -(-n * tn // td)
     is_hot, rank = np.zeros(n, bool), None
@@ -106,10 +110,13 @@ def tile_keys(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], tn: int,
     cold = elements[~is_hot]
     sums = np.concatenate([np.zeros(1, U), np.cumsum(kn.mix(cold ^ kn.MIX2), dtype=U)])
     first = cold[: n - least + 1]
+    spread = np.ones(len(first), np.int64)
     if len(first) < n - least + 1:
-        last = elements[is_hot][np.lexsort((elements[is_hot], hot[1][rank[is_hot]]))]
-        first = np.concatenate([first, last])[: n - least + 1]
-    out = [np.zeros(0, U)]
+        counts = hot[1][rank[is_hot]]
+        order = np.lexsort((elements[is_hot], counts))[: n - least + 1 - len(first)]
+        first = np.concatenate([first, elements[is_hot][order]])
+        spread = np.concatenate([spread, 1 + counts[order] // KEY_CLASSES])
+    out, tasks = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for tile in range(band(least, tn, td), band(n, tn, td) + 1):
         different, k, spare = parts(tile, tn, td)
         if not different:
@@ -120,48 +127,59 @@ def tile_keys(elements: np.ndarray, hot: tuple[np.ndarray, np.ndarray], tn: int,
             full = ends[1:] > ends[:-1]
             empty = k - int(full.sum())
             keys = kn.mix(sums[ends[1:]] - sums[ends[:-1]] + U((tile + 1) * int(kn.BASE) % 2**64)) + np.arange(k, dtype=U)
-            out.append(kn.mix(keys[full]))
+            out.append(kn.mix(keys[full]) & ~U(1))
+            tasks.append(np.ones(len(out[-1]), np.int64))
         if empty > spare:
-            out.append(kn.mix(first + U(tile * int(kn.MIX1) % 2**64)))
-    return np.concatenate(out)
+            out.append((kn.mix(first + U(tile * int(kn.MIX1) % 2**64)) & ~U(1)) | (spread > 1).astype(U))
+            tasks.append(spread)
+    return np.concatenate(out), np.concatenate(tasks)
 
 
-def bitmap(elements: np.ndarray) -> list[int]:
-    bits = np.zeros(64 * BITMAP, dtype=np.uint8)
-    bits[(elements & U(64 * BITMAP - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
-
-
-def wide_bitmap(elements: np.ndarray) -> bytes:
-    """For a set that would fill the small bitmap, one of twice its size or more, a power of two; else nothing."""
-    if len(elements) <= 32 * BITMAP:
-        return b""
-    size = 1 << int(2 * len(elements) - 1).bit_length()
+def bitmap(elements: np.ndarray) -> bytes:
+    """Twice as many bits as elements or more, a power of two, 64 at least."""
+    size = 1 << max(6, int(2 * len(elements) - 1).bit_length())
     bits = np.zeros(size, dtype=np.uint8)
     bits[(elements & U(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def wide_enough(tn: int, td: int):
-    """Pairs (a, b, ca, cb, n of a, n of b, wide bitmaps) to those whose wide bitmaps, if both have one, allow enough common
-    elements. The larger one is folded to the size of the smaller."""
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, one a row, made as small as that."""
+    return np.bitwise_or.reduce(rows.reshape(len(rows), -1, words), axis=1)
+
+
+def enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, tn: int, td: int) -> np.ndarray:
+    """Whether sets of sizes n and m with these bitmaps, one a row, can have enough elements in common."""
+    lacks_x, lacks_y = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - lacks_x, m - lacks_y) * (td + tn) >= (n + m) * tn
+
+
+def binary_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit words of a binary column, and where each row begins in them (one more at the end)."""
+    col = col.cast(pa.large_binary())
+    _, offsets, data = col.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
+    whole = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return np.frombuffer(whole.tobytes(), U), (offsets - offsets[0]) // 8
+
 
-    def folded(bits: np.ndarray, size: int) -> np.ndarray:
-        return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+def possible(tn: int, td: int):
+    """Pairs (a, b, n of a, n of b, bitmaps of both) to those (a, b) that can be similar. The larger bitmap is folded."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for n, m, x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                size = min(len(x), len(y))
-                if size:
-                    x, y = folded(x, size), folded(y, size)
-                    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
-                    keep.append(most * (td + tn) >= (n + m) * tn)
-                else:
-                    keep.append(True)
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            (xw, xo), (yw, yo) = binary_rows(batch.column(4)), binary_rows(batch.column(5))
+            lx, ly = np.diff(xo), np.diff(yo)
+            sized, keep = np.minimum(n, m) * td >= np.maximum(n, m) * tn, np.zeros(len(n), bool)
+            for p, q in {(int(p), int(q)) for p, q in zip(lx[sized], ly[sized])}:
+                rows = np.flatnonzero(sized & (lx == p) & (ly == q))
+                step = max(1, (1 << 22) // (p + q))
+                for r in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    x, y = xw[xo[r][:, None] + np.arange(p)], yw[yo[r][:, None] + np.arange(q)]
+                    w = min(p, q)
+                    keep[r] = enough(folded(x, w), folded(y, w), n[r], m[r], tn, td)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -180,67 +198,62 @@ def class_of(elements: np.ndarray) -> int:
     return int(kn.mix(x[:1] * kn.MIX2 + x[1:] + n)[0].astype(np.int64))
 
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), *((f"w{i}", pa.int64()) for i in range(BITMAP)), ("wide", pa.binary()), ("keys", pa.binary())])
-SIGNATURE_DDL = "doc_id long, n long, cls long, " + ", ".join(f"w{i} long" for i in range(BITMAP)) + ", wide binary, keys binary"
-
-
-def repeated(k: int):
-    """Texts to (h, n): shingles that a task meets LOCAL times or more, with their counts; and (null, all it meets)."""
+def counted(k: int):
+    """Texts to (h, n): how many of some texts at a time have each shingle."""
 
     def run(batches):
-        held, total = [], 0
+        held, size = [], 0
 
         def out():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+            for i in range(0, len(h), 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 20)].view(np.int64)), pa.array(n[i : i + (1 << 20)])], names=["h", "n"])
 
-        size = 0
         for whole in batches:
             for batch in kn.slices(whole, 0):
-                words, first = kn.word_hashes(batch.column(0))
-                for a, b in zip(first[:-1], first[1:]):
-                    held.append(kn.shingles(words[a:b], k))
-                    size += len(held[-1])
+                for e in sets(batch.column(0), k):
+                    held.append(e)
+                    size += len(e)
                 if size >= 1 << 22:
-                    yield out()
-                    held, total, size = [], total + size, 0
+                    yield from out()
+                    held, size = [], 0
         if held:
-            yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + size])], names=["h", "n"])
+            yield from out()
 
     return run
 
 
-def signatures(k: int, tn: int, td: int, hot: tuple[np.ndarray, np.ndarray]):
+SIGNATURE_DDL = "doc_id long, t long, n long, cls long, bits binary"
+
+
+def signatures(k: int):
+    """(doc_id, t, text) to the size, class and bitmap of the text's set."""
+
     def run(batches):
         for whole in batches:
-            for batch in kn.slices(whole, 1):
-                rows, bits = [[], [], [], []], []
-                for e in sets(batch.column(1), k):
-                    rows[0].append(len(e))
-                    rows[1].append(class_of(e))
-                    rows[2].append(tile_keys(e, hot, tn, td).tobytes() if len(e) else b"")
-                    rows[3].append(wide_bitmap(e))
-                    bits.append(bitmap(e))
-                columns = [batch.column(0), rows[0], rows[1], *zip(*bits), rows[3], rows[2]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(list(c), f.type) for c, f in zip(columns, SIGNATURE)], schema=SIGNATURE)
+            for batch in kn.slices(whole, 2):
+                got = [(len(e), class_of(e), bitmap(e)) for e in sets(batch.column(2), k)]
+                sizes, classes, bits = zip(*got)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "t", "n", "cls", "bits"]
+                )
 
     return run
 
 
-def dealt(p: int):
-    """Rows (cls, keys) to one row for each partition: its keys and their classes, packed. A class counts once in a task."""
+def dealt(k: int, tn: int, td: int, hot: tuple[np.ndarray, np.ndarray], p: int):
+    """Texts to one row for each partition: its keys and their classes, packed. A class counts once in a task."""
 
     def run(batches):
         seen: set[int] = set()
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
         size = 0
 
         def out():
-            keys = np.concatenate([np.frombuffer(b, U) for _, b in held])
-            classes = np.repeat(np.array([c for c, _ in held], np.int64), [len(b) // 8 for _, b in held])
-            pid = (((keys >> U(32)) * U(p)) >> U(32)).astype(np.int32)
+            keys, tasks = np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
+            classes = np.repeat(np.array([c for c, _, _ in held], np.int64), [len(x) for _, x, _ in held])
+            salt = kn.mix(classes.view(U)) % tasks.astype(U)
+            pid = (((kn.mix(keys + salt * kn.BASE) >> U(32)) * U(p)) >> U(32)).astype(np.int32)
             order = np.argsort(pid, kind="stable")
             keys, classes, pid = keys[order], classes[order], pid[order]
             at = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
@@ -250,13 +263,17 @@ def dealt(p: int):
                 names=["pid", "keys", "classes"],
             )
 
-        for batch in batches:
-            for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b and c not in seen:
-                    seen.add(c)
-                    held.append((c, b))
-                    size += len(b)
-                if size > 1 << 24:
+        for whole in batches:
+            for batch in kn.slices(whole, 0):
+                for e in sets(batch.column(0), k):
+                    c = class_of(e)
+                    if c not in seen:
+                        seen.add(c)
+                        keys, tasks = tile_keys(e, hot, tn, td) if len(e) else (e, e)
+                        if len(keys):
+                            held.append((c, keys, tasks))
+                            size += len(keys)
+                if size > 1 << 21:
                     yield out()
                     held, size = [], 0
         if held:
@@ -266,7 +283,7 @@ def dealt(p: int):
 
 
 def bucket_pairs(batches):
-    """Packed keys and classes of a partition to candidate pairs (a, b, null) and members of large tiles (a, null, key)."""
+    """Packed keys and classes of a partition to pairs (a, b, null) of small tiles and members of large ones (a, null, key)."""
     got: dict[int, list] = {}
     for batch in batches:
         for pid, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -281,194 +298,279 @@ def bucket_pairs(batches):
         keys, classes = keys[new], classes[new]
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         count = np.diff(np.r_[at, len(keys)])
-        size, head = np.repeat(count, count), np.repeat(at, count)
+        large = np.repeat(count, count) > SMALL
+        large |= keys & U(1) == 1  # a part of a key's classes: the others are elsewhere
         pairs = []
         for d in range(1, SMALL):
-            i = np.flatnonzero((keys[d:] == keys[:-d]) & (size[d:] <= SMALL))
+            i = np.flatnonzero((keys[d:] == keys[:-d]) & ~large[d:])
             pairs.append(np.stack([classes[i], classes[i + d]]))
-        big = np.flatnonzero(size > SMALL)
-        star = big[head[big] != big]
-        pairs.append(np.stack([classes[head[star]], classes[star]]))
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        a, b = np.concatenate([pairs[0], classes[big]]), pairs[1]
-        pad = [None] * len(big)
-        for i in range(0, len(a), 1 << 16):
-            j = i + (1 << 16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[i:j]), pa.array([*b[i:j].tolist(), *pad][: len(a[i:j])], pa.int64()), pa.array(([None] * len(b) + keys[big].view(np.int64).tolist())[i:j], pa.int64())],
-                names=["a", "b", "key"],
-            )
+        big = np.flatnonzero(large)
+        for columns in ((pairs[0], pairs[1], None), (classes[big], None, keys[big].view(np.int64))):
+            for i in range(0, len(columns[0]), 1 << 16):
+                part = [None if c is None else c[i : i + (1 << 16)] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part[0]), pa.int64()) if c is None else pa.array(c) for c in part], names=["a", "b", "key"])
 
 
 def arrays(k: int):
-    """(doc_id, text) to (cls, elements)."""
+    """Texts to (cls, elements)."""
 
     def run(batches):
         for whole in batches:
-            for batch in kn.slices(whole, 1):
-                got = [(class_of(e), e.tobytes()) for e in sets(batch.column(1), k) if len(e)]
+            for batch in kn.slices(whole, 0):
+                got = [(class_of(e), e.tobytes()) for e in sets(batch.column(0), k) if len(e)]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([e for _, e in got], pa.binary())], names=["cls", "elements"])
 
     return run
 
 
-def linked(tn: int, td: int):
-    """Pairs with both arrays to the pairs that are similar enough."""
+class Forest:
+    """Which of some nodes are joined, as one label a node."""
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(td * shared >= tn * (len(both) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+    def __init__(self, labels: np.ndarray):
+        self.label = labels
 
+    def join(self, nodes: np.ndarray) -> bool:
+        """Whether the nodes weren't all joined before."""
+        old = np.unique(self.label[nodes])
+        if len(old) > 1:
+            self.label[np.isin(self.label, old[1:])] = old[0]
+        return len(old) > 1
 
-def tile_pairs(tn: int, td: int):
-    """Blocks of members x and y to the pairs from different components whose bitmaps allow enough common elements. A pair
-    comes out once for every AT_ONCE pairs that a task finds."""
 
-    def found(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        xw, yw, out = x[:, 3:].view(U), y[:, 3:].view(U), []
-        for i in range(len(y)):
-            lacks_x = np.bitwise_count(xw & ~yw[i]).sum(axis=1, dtype=np.int64)
-            lacks_y = np.bitwise_count(yw[i] & ~xw).sum(axis=1, dtype=np.int64)
-            most = np.minimum(x[:, 2] - lacks_x, y[i, 2] - lacks_y)
-            j = np.flatnonzero((most * (td + tn) >= (x[:, 2] + y[i, 2]) * tn) & (x[:, 1] != y[i, 1]))
-            if len(j):
-                out.append(np.stack([np.minimum(x[j, 0], y[i, 0]), np.maximum(x[j, 0], y[i, 0])]))
-        return out
-
-    def once(held: list[np.ndarray]) -> np.ndarray:
-        return np.unique(np.concatenate(held, axis=1), axis=1)
+def cell_rows(first: int, handle: Callable) -> Callable:
+    """Batches of rows that are sorted by their first columns, the cell, to what handle makes of each cell's columns."""
 
     def run(batches):
-        held, size = [], 0
+        name, held = None, []
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                new = found(*(np.asarray(v.values.to_numpy(zero_copy_only=False)).reshape(-1, 3 + BITMAP) for v in (x, y)))
-                held += new
-                size += sum(p.shape[1] for p in new)
-                if size >= AT_ONCE:
-                    held = [once(held)]
-                    size = held[0].shape[1]
-                    if size >= AT_ONCE // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["a", "b"])
-                        held, size = [], 0
+            cells = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(first)])
+            if not len(batch):
+                continue
+            at = np.r_[0, np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(axis=0)) + 1, len(batch)]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                if held and tuple(cells[:, i]) != name:
+                    yield from handle(name, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held = []
+                name = tuple(cells[:, i])
+                held.append(batch.slice(i, j - i))
         if held:
-            a, b = once(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from handle(name, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
 
+def tile_joins(tn: int, td: int):
+    """Members (.., blk, cls, root, n, bits) of a tile's cell to pairs that can be similar and join different roots."""
+
+    def handle(cell, rows):
+        blk, cls, root, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
+        names, first, size = np.unique(root, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
+        words, offsets = binary_rows(rows.column(7))
+        lengths = np.diff(offsets)
+        width = int(lengths.min())
+        bits = np.empty((len(n), width), U)
+        for w in np.unique(lengths).tolist():
+            r = np.flatnonzero(lengths == w)
+            bits[r] = folded(words[offsets[r][:, None] + np.arange(w)], width)
+        forest, out = Forest(first.astype(np.int64)), []
+        for i in np.flatnonzero(first != int(size.argmax())).tolist():
+            j = np.flatnonzero((forest.label != forest.label[i]) & (np.minimum(n, n[i]) * td >= np.maximum(n, n[i]) * tn) & ((blk != blk[i]) | (cell[1] == cell[2])))
+            j = j[enough(bits[j], np.broadcast_to(bits[i], (len(j), width)), n[j], n[i], tn, td)]
+            for x in j.tolist():
+                if forest.join(np.array([i, x])):
+                    out.append((min(cls[i], cls[x]), max(cls[i], cls[x])))
+        if out:
+            a, b = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return cell_rows(3, handle)
+
+
+def differences(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Sets, one after another, as their differences to the set H of what over half of them hold: the sorted differences, where
+    each begins (one more at the end), the size of H, and how many elements of H each set lacks."""
+    m = len(first) - 1
+    values, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), np.diff(first))
+    common = 2 * count > m
+    added = ~common[code]
+    inside = np.bincount(owner[~added], minlength=m)
+    lacks = int(common.sum()) - inside
+    core = np.flatnonzero(common)
+    where = np.flatnonzero(lacks)
+    # A set that lacks some of H: H without its elements. Sets are taken in turn, as H by sets may be large.
+    missing = [np.setdiff1d(core, code[first[i] : first[i + 1]], assume_unique=True) for i in where.tolist()]
+    who = np.concatenate([owner[added], np.repeat(where, [len(x) for x in missing])])
+    what = np.concatenate([code[added], *missing]) if missing else code[added]
+    order = np.lexsort((what, who))
+    return what[order], np.r_[0, np.cumsum(np.bincount(who, minlength=m))], len(core), lacks
+
+
+def cell_links(tn: int, td: int, count: bool):
+    """Members (.., blk, cls, copies, elements) of a clump's cell to pairs (a, b, null) that join what links join, and, if
+    count, the number of documents (a, null, links) that each class is linked with in this cell."""
+
+    def handle(cell, rows):
+        blk, cls, copies = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+        flat, first = binary_rows(rows.column(6))
+        n, m = np.diff(first), len(cls)
+        what, at, h, lacks = differences(flat, first)
+        del flat
+        d = np.diff(at)
+        owner = np.repeat(np.arange(m), d)
+        words = min(WORDS, 1 << max(0, int(2 * max(1, d.max(initial=1)) - 1).bit_length() - 6), max(1, (1 << 23) // m))
+        words = 1 << (words.bit_length() - 1)
+        place = kn.mix(what.astype(U)) & U(64 * words - 1)
+        bits = np.zeros((m, words), U)
+        np.bitwise_or.at(bits, (owner, (place >> U(6)).astype(np.int64)), U(1) << (place & U(63)))
+        forest, links = Forest(np.arange(m)), np.zeros(m, np.int64)
+        order = np.argsort(n, kind="stable")
+        sizes, whole = n[order], cell[1] == cell[2]
+        for k, i in enumerate(order.tolist()):
+            j = order[k + 1 : np.searchsorted(sizes, n[i] * td // tn, "right")]
+            if not whole:
+                j = j[blk[j] != blk[i]]
+            if not count:
+                j = j[forest.label[j] != forest.label[i]]
+            if not len(j):
+                continue
+            # What both sets hold of H, and what differences must still have in common.
+            short = -(-(n[i] + n[j]) * tn // (td + tn)) - (h - lacks[i] - lacks[j])
+            most = np.minimum(d[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64), d[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64))
+            j, short = j[most >= short], short[most >= short]
+            look = np.flatnonzero(short > 0)
+            if len(look):
+                mine, starts, ends = what[at[i] : at[i + 1]], at[j[look]], at[j[look] + 1]
+                upto = np.r_[0, np.cumsum(ends - starts)]
+                theirs = what[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], ends - starts)]
+                seen = np.searchsorted(mine, theirs)
+                same = np.r_[0, np.cumsum(mine[np.minimum(seen, len(mine) - 1)] == theirs)] if len(mine) else np.zeros(len(theirs) + 1, np.int64)
+                keep = np.ones(len(j), bool)
+                keep[look] = same[upto[1:]] - same[upto[:-1]] >= short[look]
+                j = j[keep]
+            if len(j):
+                links[i] += copies[j].sum()
+                links[j] += copies[i]
+                forest.join(np.r_[i, j])
+        joined = np.flatnonzero(forest.label != np.arange(m))
+        if len(joined):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[joined]), pa.array(cls[forest.label[joined]]), pa.nulls(len(joined), pa.int64())], names=["a", "b", "links"])
+        linked = np.flatnonzero(links)
+        if count and len(linked):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.nulls(len(linked), pa.int64()), pa.array(links[linked])], names=["a", "b", "links"])
+
+    return cell_rows(3, handle)
+
+
 class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int, tn: int, td: int):
         self.spark, self.k, self.tn, self.td = docs.sparkSession, k, tn, td
         prepare(self.spark)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
         self.scratch = Scratch(self.spark, "ngram-join")
-
-    def elements(self, classes: DataFrame) -> DataFrame:
-        """(cls, elements) of the classes (cls, cid), cut again from the texts of the documents cid."""
-        wanted = self.scratch.write(classes.select("cls", "cid").distinct(), "wanted")
-        ids = wanted.select(F.col("cid").alias("doc_id")).distinct()
-        ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-        got = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(arrays(self.k), "cls long, elements binary")
-        return self.scratch.write(got.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "elements")
-
-    def overlap_possible(self) -> Column:
-        """Whether the bitmaps of both sides allow enough common elements."""
-        x, y = ([F.col(f"{s}.w{i}") for i in range(BITMAP)] for s in "xy")
-        lacks = lambda p, q: sum(F.bit_count(i.bitwiseAND(F.bitwise_not(j))) for i, j in zip(p, q))
-        most = F.least(F.col("x.n") - lacks(x, y), F.col("y.n") - lacks(y, x))
-        return most * (self.td + self.tn) >= (F.col("x.n") + F.col("y.n")) * self.tn
-
-    def decide(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar enough."""
-        both = pairs.join(classes.alias("x"), F.col("a") == F.col("x.cls")).join(classes.alias("y"), F.col("b") == F.col("y.cls"))
-        some = both.where(self.overlap_possible()).select("a", "b", F.col("x.cid").alias("ca"), F.col("y.cid").alias("cb"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"), F.col("x.wide").alias("wx"), F.col("y.wide").alias("wy"))
-        left = self.scratch.write(some.mapInArrow(wide_enough(self.tn, self.td), "a long, b long, ca long, cb long"), "possible")
-        ends = left.select(F.col("a").alias("cls"), F.col("ca").alias("cid")).unionByName(left.select(F.col("b").alias("cls"), F.col("cb").alias("cid")))
-        e = self.elements(ends)
-        full = left.select("a", "b").join(e.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").join(e.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
-        out = self.scratch.write(full.select("a", "b", "x", "y").mapInArrow(linked(self.tn, self.td), "a long, b long"), "links")
-        self.scratch.drop(left, e)
-        return out
+        self.tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def hot(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hot shingles, sorted, and their counts."""
-        counts = self.docs.select("text").mapInArrow(repeated(self.k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        """The hot shingles, sorted, and about how many different texts have each."""
+        some = self.docs.where(F.pmod("t", F.lit(SAMPLE)) == 0).groupBy("t").agg(F.first("text").alias("text")).select("text")
+        counts = some.mapInArrow(counted(self.k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
         counts = self.scratch.write(counts, "counts")
-        total = counts.where("h IS NULL").agg(F.sum("n").alias("n")).first().n or 0
-        got = counts.where((F.col("h").isNotNull()) & (F.col("n") * HOT >= total)).toPandas()  # HOT rows at most
+        grade = F.floor(F.log2("n") * 16)
+        least, room = 0, HOT
+        for r in counts.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # some 1,000 rows at most
+            room -= r["count"]
+            if room < 0:
+                least = r.grade + 1
+                break
+        got = counts.where(grade >= least).toPandas()  # HOT rows at most
         self.scratch.drop(counts)
         h, n = got["h"].to_numpy(np.int64).view(U), got["n"].to_numpy(np.int64)
         order = np.argsort(h)
-        return h[order], n[order]
+        return h[order], n[order] * SAMPLE
+
+    def cells(self, members: DataFrame, group: str, size: Column, columns: list[str]) -> DataFrame:
+        """(group, lo, hi, blk, columns): members in blocks, every block with every other and itself, sorted by cell."""
+        of = members.groupBy(F.col(group).alias("g")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).alias("of")).where("of > 1")
+        told = members.join(of, F.col(group) == F.col("g"), "left").withColumn("of", F.coalesce("of", F.lit(1)))
+        told = told.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("of"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+        told = told.select(group, F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", *columns)
+        return told.repartition(self.tasks, group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+    def possible(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs (a, b) that can be similar by their sizes and bitmaps."""
+        x, y = (classes.select(F.col("cls").alias(a), F.col("n").alias(f"n{a}"), F.col("bits").alias(f"bits{a}")) for a in "ab")
+        both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+        return both.mapInArrow(possible(self.tn, self.td), "a long, b long")
+
+    def clumps(self, found: DataFrame, classes: DataFrame) -> DataFrame:
+        """(node, root) of all classes that are in a clump."""
+        members = found.where("key IS NOT NULL").select("key", F.col("a").alias("cls"))
+        hubs = members.groupBy("key").agg(F.min("cls").alias("hub"))
+        stars = members.join(hubs, "key").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+        near = self.scratch.write(self.possible(found.where("key IS NULL").select("a", "b").unionByName(stars).distinct(), classes), "possible")
+        roots = components(near, self.scratch)
+        marked = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        marked = self.scratch.write(marked, "marked")
+        several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        rows = marked.join(several, "key", "left_semi").join(classes.select("cls", "n", "bits"), "cls")
+        cells = self.cells(rows, "key", F.length("bits"), ["cls", "root", "n", "bits"])
+        more = self.scratch.write(cells.mapInArrow(tile_joins(self.tn, self.td), "a long, b long").distinct(), "joins")
+        self.scratch.drop(marked)
+        if more.isEmpty():
+            self.scratch.drop(near, more)
+            return roots
+        out = components(near.unionByName(more), self.scratch)
+        self.scratch.drop(near, more, roots)
+        return out
 
-    def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every document."""
+    def decide(self, clumps: DataFrame, classes: DataFrame, count: bool) -> DataFrame:
+        """(a, b, links): see cell_links."""
+        members = self.scratch.write(clumps.select(F.col("node").alias("cls"), F.col("root").alias("clump")).join(classes.select("cls", "t", "n", "copies"), "cls"), "members")
+        ids = members.select("t")
+        ids = F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids
+        texts = self.docs.join(ids, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")).select("text")
+        full = members.drop("t").join(texts.mapInArrow(arrays(self.k), "cls long, elements binary"), "cls")
+        cells = self.cells(full, "clump", F.length("elements"), ["cls", "copies", "elements"])
+        out = self.scratch.write(cells.mapInArrow(cell_links(self.tn, self.td, count), "a long, b long, links long"), "links")
+        self.scratch.drop(members)
+        return out
+
+    def run(self, count: bool = True) -> DataFrame:
+        """(doc_id, n_shingles, component_id, n_links) of every document; n_links is null unless they are counted."""
         k, tn, td, scratch = self.k, self.tn, self.td, self.scratch
-        sig = scratch.write(self.docs.mapInArrow(signatures(k, tn, td, self.hot()), SIGNATURE_DDL), "signatures")
-        size = sig.agg(F.sum(F.length("keys")).alias("s")).first().s or 0
-        conf = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        p = max(conf, -(-size // 8 // ROWS_PER_TASK))
-        words = [F.first(c).alias(c) for c in (*(f"w{i}" for i in range(BITMAP)), "wide")]
-        classes = scratch.write(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), *words), "classes")
-        packed = sig.where("n > 0").select("cls", "keys").mapInArrow(dealt(p), "pid int, keys binary, classes binary")
+        sig = scratch.write(self.docs.mapInArrow(signatures(k), SIGNATURE_DDL), "signatures")
+        classes = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("cid"), F.min("t").alias("t"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
+        classes = scratch.write(classes, "classes")
+        size = classes.agg(F.sum("n").alias("s")).first().s or 0
+        p = max(self.tasks, -(-2 * size * (td - tn) // td // ROWS_PER_TASK))
+        packed = self.docs.select("text").mapInArrow(dealt(k, tn, td, self.hot(), p), "pid int, keys binary, classes binary")
         found = scratch.write(packed.repartition(p, "pid").mapInArrow(bucket_pairs, "a long, b long, key long"), "candidates")
-        links = self.decide(found.where("key IS NULL").select("a", "b").distinct(), classes)
-        roots = components(links, scratch)
-        members = found.where("key IS NOT NULL").select("key", F.col("a").alias("cls"))
-        more = self.rest(members, roots, classes)
-        if more is not None:
-            roots = components(links.unionByName(more), scratch)
-        full = classes.select("cls", "cid").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        least = full.where("root <> cls OR cls IS NOT NULL").groupBy("root").agg(F.min("cid").alias("component_id"))
-        named = scratch.write(full.join(least, "root").select("cls", "component_id"), "named")
-        scratch.drop(found, classes, links)
+        clumps = self.clumps(found, classes)
+        links = self.decide(clumps, classes, count)
+        scratch.drop(found, clumps)
+        roots = components(links.where("b IS NOT NULL"), scratch)
+        full = classes.select("cls", "cid", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        least = full.groupBy("root").agg(F.min("cid").alias("component_id"))
+        others = links.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+        named = full.join(least, "root").join(others, "cls", "left")
+        named = named.select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        named = scratch.write(named, "named")
+        scratch.drop(classes, links, roots)
+        blank = F.col("n") == 0
         return sig.select("doc_id", "n", "cls").join(named, "cls", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-        )
+            "doc_id", F.col("n").alias("n_shingles"), F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.when(F.lit(count), F.coalesce("links", F.lit(0))).alias("n_links"),
+        )
 
-    def rest(self, members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame | None:
-        """Links within large tiles between different components."""
-        marked = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        marked = self.scratch.write(marked, "marked")
-        open_keys = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        rows = self.scratch.write(marked.join(open_keys, "key", "left_semi"), "open")
-        if rows.isEmpty():
-            return None
-        main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"))
-        hub = rows.groupBy("key").agg(F.min("cls").alias("hub"))
-        told = rows.join(classes.drop("cid", "wide"), "cls").join(main, "key").join(hub, "key")
-        told = self.scratch.write(told.withColumn("in_main", F.col("root") == F.col("main")), "tiles")
-        x = self.blocks(told).toDF("key", "hub", "bx", "x")
-        y = self.blocks(told.where("NOT in_main")).toDF("key", "_", "by", "y").drop("_")
-        # A group of near copies fills many tiles. Those of one hub go to one task, block by block, where a pair counts once.
-        p = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        both = x.join(y, "key").repartition(p, "hub", "bx", "by")
-        pairs = both.select("x", "y").mapInArrow(tile_pairs(self.tn, self.td), "a long, b long").distinct()
-        return self.decide(pairs, classes)
-
-    def blocks(self, members: DataFrame) -> DataFrame:
-        """(key, hub, blk, rows): members in blocks of about BLOCK, each row of a block as class, component, size, bitmap."""
-        size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("of"))
-        row = F.array("cls", "root", "n", *(f"w{i}" for i in range(BITMAP)))
-        blk = F.pmod(F.xxhash64("cls"), F.col("of"))
-        return members.join(size, "key").groupBy("key", "hub", blk.alias("blk")).agg(F.flatten(F.collect_list(row)).alias("rows"))
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, tn: int = 80, td: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents whose sets of k-word shingles have a Jaccard index of tn/td at
-    least are linked; component_id is the smallest doc_id that links lead to."""
-    return JaccardJoin(docs, k, tn, td).run()
+
+def near_duplicates(docs: DataFrame, k: int = 5, tn: int = 80, td: int = 100, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): documents whose sets of k-word shingles have a Jaccard index of tn/td at
+    least are linked; component_id is the smallest doc_id that links lead to, n_links the number of documents that the
+    document is linked with (null unless count, which components alone don't need)."""
+    return JaccardJoin(docs, k, tn, td).run(count)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,7 +589,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 90 * (x.n + y.n - i)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON r.doc_id = u.a)
-SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.root) AS component_id
-FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON r.doc_id = u.a),
+c AS (SELECT a AS doc_id, count(*) AS n FROM u GROUP BY a)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.root) AS component_id, coalesce(max(c.n), 0) AS n_links
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id LEFT JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id
 """

@@ -77,11 +77,42 @@ def brute_components(texts, k, tn, td):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def brute_links(texts, k, tn, td):
+    sets, links = [shingles(t, k) for t in texts], [0] * len(texts)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        x = len(sets[i] & sets[j])
+        if x and td * x >= tn * (len(sets[i]) + len(sets[j]) - x):
+            links[i] += 1
+            links[j] += 1
+    return links
+
+
 @pytest.mark.parametrize("k,tn,td", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
 def test_ngram_join_equals_brute_force(spark, varied, k, tn, td):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(table(spark, varied), k, tn, td).collect()}
-    assert got == brute_components(varied, k, tn, td)
-
+    rows = ngram_join.near_duplicates(table(spark, varied), k, tn, td).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(varied, k, tn, td)
+    assert {r.doc_id: r.n_links for r in rows} == dict(enumerate(brute_links(varied, k, tn, td)))
+
+
+@pytest.mark.parametrize("k,tn,td", [(3, 90, 100), (5, 80, 100)])
+def test_ngram_join_in_small_blocks_and_salted_keys(spark, varied, k, tn, td, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "KEY_CLASSES", 1)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    rows = ngram_join.near_duplicates(table(spark, varied), k, tn, td).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(varied, k, tn, td)
+    assert {r.doc_id: r.n_links for r in rows} == dict(enumerate(brute_links(varied, k, tn, td)))
+    rows = ngram_join.near_duplicates(table(spark, varied), k, tn, td, count=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(varied, k, tn, td) and {r.n_links for r in rows} == {None}
+
+
+def test_ngram_join_links_texts_without_an_id(spark):
+    words_ = [f"w{i}" for i in range(100)]
+    near = " ".join(words_[:-1] + ["other"])
+    rows = [(None, " ".join(words_)), (None, " ".join(words_)), (4, near), (None, near + " x"), (None, "quite alone here"), (None, None)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted(((r.doc_id or 0, r.component_id or 0, r.n_links) for r in got)) == [(0, 0, 0), (0, 0, 0), (0, 4, 3), (0, 4, 3), (0, 4, 3), (4, 4, 3)]
 
 def test_tiles_lose_no_pair():
     rng = np.random.default_rng(0)
@@ -96,7 +127,7 @@ def test_tiles_lose_no_pair():
                 hot = (h, rng.integers(1, 5, len(h)))
                 both = len(np.intersect1d(x, y))
                 if not np.array_equal(x, y) and td * both >= tn * (len(x) + len(y) - both):
-                    assert len(np.intersect1d(ngram_join.tile_keys(x, hot, tn, td), ngram_join.tile_keys(y, hot, tn, td)))
+                    assert len(np.intersect1d(ngram_join.tile_keys(x, hot, tn, td)[0], ngram_join.tile_keys(y, hot, tn, td)[0]))
 
 
 def test_line_dedup_equals_brute_force(spark):
