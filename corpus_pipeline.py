@@ -43,7 +43,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that similar ones link (five words, 0.8), the one of the smallest id stays."""
     scratch = Scratch(spark, "pipeline-jaccard")
-    named = ngram_join.near_duplicates(_by_text(docs), 5, 80, 100).where("n_shingles > 0")
+    named = ngram_join.near_duplicates(_by_text(docs), 5, 80, 100, count=False).where("n_shingles > 0")
     named = named.select(F.col("doc_id").alias("_hash"), F.col("component_id").alias("_group")).distinct()
     ids = docs.select(docs["doc_id"].cast("long").alias("_id"), _text_hash(docs).alias("_hash"))
     rows = scratch.write(ids.join(named, "_hash", "left"), "groups")
