@@ -15,18 +15,30 @@ BLANK_RE = r"[\x20\x09-\x0D]+"
 REPO = str(Path(__file__).resolve().parents[2])
 
 
+#: Python workers give memory back to the system as soon as an array is freed, and one task keeps to one core.
+WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver runs from a checkout, and keep Arrow batches small."""
+    """Let Python workers import this package when the driver runs from a checkout, and keep them and Arrow batches small.
+
+    The batch size is a setting of the session: it is set only where the session still has Spark's default."""
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for k, v in WORKERS.items():
+        env.setdefault(k, v)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Where that is unset a session on this machine
+    alone, as in tests, takes a folder of its own; on a cluster there is none that all would see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "/tmp/checkpoints/sieveline"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -56,7 +56,7 @@ KEY_CLASSES = 500_000
 #: Hashes of texts to be looked at again are broadcast if there are no more than so many (8 MB), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows of keys that one task compares.
-ROWS_PER_TASK = 1_500_000
+ROWS_PER_TASK = 1_000_000
 #: Parts are used where they hold so many elements at least on average; E allows for sets with such a share of cold ones.
 LOAD, COLD = 5, 0.8
 #: Most classes, and about most bytes of their sets, in a block of a tile or clump.
@@ -214,7 +214,7 @@ def counted(k: int):
                 for e in sets(batch.column(0), k):
                     held.append(e)
                     size += len(e)
-                if size >= 1 << 22:
+                if size >= 1 << 21:
                     yield from out()
                     held, size = [], 0
         if held:
@@ -273,7 +273,7 @@ def dealt(k: int, tn: int, td: int, hot: tuple[np.ndarray, np.ndarray], p: int):
                         if len(keys):
                             held.append((c, keys, tasks))
                             size += len(keys)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield out()
                     held, size = [], 0
         if held:
