@@ -1,19 +1,24 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Labels are of documents; tokens are labelled from them. A word of a toxic training document is labelled toxic if it is
-much likelier in toxic than in clean training documents (log odds ratio LIFT at least, and Z standard errors from 0).
-The field has two labels; its features are the hashed word, without signs at its ends, and its neighbours. It is trained
-on at most SAMPLE documents of either label. For a text, forward-backward gives every word's probability of being toxic;
-the document's score is a logistic function, fitted on the same documents, of the log of the sum of the words' odds. Runs of
-words with p of a half or more are the offending spans.
+Labels are of documents; tokens are labelled from them. A unit is a word, without signs at its ends, or one of its
+beginnings of PREFIXES code points. A unit that sets toxic training documents apart (log odds ratio LIFT at least, signed
+root of the likelihood ratio Z at least) marks the words of toxic documents that have it. Units are counted over all
+training documents where they lie; the field is trained on segments of WORDS words drawn from them.
+The field has two labels; its features are the hashed units of a word and its neighbours. For a text, forward-backward
+gives every word's probability of being toxic; the document's score is a logistic function, fitted on the training
+documents, of the log of the sum of the words' odds. Runs of words with p of a half or more are the offending spans.
+
+Training documents are SAMPLE at most of either label, drawn by a hash of the id whatever their length; of near copies
+among them only one counts. The driver sees UNITS units, SEGMENTS segments and two numbers a document at most.
 
 Both passes of forward-backward work on all texts of a batch as one chain that starts anew with each text: products of
-the step matrices of many blocks at once, a short pass over blocks, then all blocks at once again.
+the step matrices of many blocks at once, a short pass over blocks, then all blocks at once again; a long chain goes
+through this part by part.
 
 Edge cases: null, empty and blank texts have no words and the lowest score there is. Labels that are null are not used;
-a doc_id that has several labels counts as toxic if one of them says so. Without training documents of both labels every
-score is 0. Texts of any length are read whole. Extra columns, and those of clashing names, are ignored; an empty table
-gives an empty result.
+a doc_id that has several labels counts as toxic if one of them says so; a row without a doc_id is scored, but has no
+label. Without training documents of both labels every score is 0. Texts of any length are read whole, for training too.
+Extra columns, and those of clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,20 +29,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as kn
-from .common import prepare, table
+from .common import Scratch, prepare, table
 
 U = np.uint64
-SAMPLE = 1000
-#: Longer texts aren't drawn into the sample, which bounds the driver's memory; they are scored like all others.
-SAMPLE_BYTES = 16_384
+SAMPLE = 5000
+SEGMENTS, WORDS, UNITS = 8000, 64, 100_000
+PREFIXES = (3, 4, 6)
 #: Size of the table, in bits, in which the features that have a weight are looked up.
 BITS = 22
-LIFT, Z, LEAST = 2.5, 2.6, 2
+LIFT, Z = 2.0, 3.4
 THRESHOLD = 0.7
-ROUNDS = 50
+ROUNDS = 60
 ODDS = 0.05
-#: Penalties on the squared weights of a word and of its neighbours, in training.
+#: Penalties on the squared weights of a word's units and of its neighbours, in training.
 PENALTY = (0.02, 2.0)
+#: Words whose features are held at once.
+AT_ONCE = 1 << 18
 SIGN = np.zeros(256, bool)
 SIGN[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = True
 
@@ -46,28 +53,58 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words without signs at their ends, first word of each row, start and end bytes, and the row offsets."""
-    data, offsets = kn.utf8(col)
-    starts, ends, first = kn.word_spans(data, offsets)
-    s, e = starts.copy(), ends.copy()
-    for _ in range(8):
-        s += (s < e - 1) & SIGN[data[s]] if len(s) else s
-        e -= (s < e - 1) & SIGN[data[e - 1]] if len(s) else e
-    return kn.span_hashes(kn.LOWER[data], s, e), first, s, e, offsets
-
-
-def features(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashed features of every word (rows): the word, the one before it, the one after it."""
-    before, after = np.r_[U(0), hashes[:-1]], np.r_[hashes[1:], U(0)]
-    full = first[:-1][np.diff(first) > 0]
-    before[full] = U(0)
-    after[first[1:][np.diff(first) > 0] - 1] = U(0)
-    return np.stack([kn.mix(h + U(i)) for i, h in enumerate((hashes, before, after))])
-
-
-def chain(step: np.ndarray) -> np.ndarray:
-    """step[2, 2, n]: ratios r_t = (m00 r + m01) / (m10 r + m11) along the chain, from r = 1."""
+class Words:
+    """The words of a string column without signs at their ends (a word of signs only is its last): bytes, first word of each
+    row, start and end bytes, row offsets, and hashes."""
+
+    def __init__(self, col: pa.Array):
+        self.data, self.offsets = kn.utf8(col)
+        starts, ends, self.first = kn.word_spans(self.data, self.offsets)
+        plain = np.flatnonzero(~SIGN[self.data])
+        self.s, self.e = starts, ends
+        if len(plain):
+            begin = plain[np.minimum(np.searchsorted(plain, starts), len(plain) - 1)]
+            end = plain[np.searchsorted(plain, ends) - 1] + 1
+            some = (begin >= starts) & (begin < ends)
+            self.s, self.e = np.where(some, begin, ends - 1), np.where(some, end, ends)
+        elif len(starts):
+            self.s = ends - 1
+        self.heads = np.flatnonzero((self.data & 0xC0) != 0x80)
+        self.hashes = np.empty(len(starts), U)
+        for i in range(0, len(starts), AT_ONCE):
+            self.hashes[i : i + AT_ONCE] = self.spans(self.s[i : i + AT_ONCE], self.e[i : i + AT_ONCE])
+
+    def spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        lo, hi = (int(s[0]), int(e[-1])) if len(s) else (0, 0)
+        return kn.span_hashes(kn.LOWER[self.data[lo:hi]], s - lo, e - lo)
+
+    def units(self, i: int, j: int) -> np.ndarray:
+        """Hashes of the words i to j and of their beginnings (rows); 0 where a word is no longer than the beginning."""
+        s, e = self.s[i:j], self.e[i:j]
+        at, stop = np.searchsorted(self.heads, s), np.searchsorted(self.heads, e)
+        out = [kn.mix(self.hashes[i:j])]
+        for c in PREFIXES:
+            longer = stop - at > c
+            out.append(np.where(longer, kn.mix(self.spans(s, np.where(longer, self.heads[np.minimum(at + c, len(self.heads) - 1)], e)) + U(c)), U(0)))
+        return np.stack(out)
+
+    def neighbours(self, i: int, j: int) -> np.ndarray:
+        """Hashed features of the words before and after the words i to j; 0 at the ends of a text."""
+        n, edge = len(self.hashes), np.zeros(j - i + 1, bool)
+        at = self.first[(self.first >= i) & (self.first <= j)] - i
+        edge[at] = True
+        before, after = np.r_[self.hashes[max(i - 1, 0) : i], self.hashes[i : j - 1]], np.r_[self.hashes[i + 1 : j], self.hashes[j : j + 1]]
+        before, after = (np.r_[U(0), before] if len(before) < j - i else before), (np.r_[after, U(0)] if len(after) < j - i else after)
+        end = edge[1:].copy()
+        end[-1] |= j == n
+        return np.stack([np.where(edge[:-1], U(0), kn.mix(before + U(101))), np.where(end, U(0), kn.mix(after + U(102)))])
+
+    def features(self, i: int, j: int) -> np.ndarray:
+        return np.concatenate([self.units(i, j), self.neighbours(i, j)]) if j > i else np.zeros((len(PREFIXES) + 3, 0), U)
+
+
+def chain(step: np.ndarray, r: float = 1.0) -> np.ndarray:
+    """step[2, 2, n]: ratios r_t = (m00 r + m01) / (m10 r + m11) along the chain, from r."""
     n = step.shape[2]
     if not n:
         return np.zeros(0)
@@ -83,7 +120,7 @@ def chain(step: np.ndarray) -> np.ndarray:
         a, b, c, d = w * a + x * c, w * b + x * d, y * a + z * c, y * b + z * d
         s = a + b + c + d
         a, b, c, d = a / s, b / s, c / s, d / s
-    enter, r = np.empty(blocks), 1.0
+    enter = np.empty(blocks)
     for i, (p, q, s, t) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())):
         enter[i] = r
         r = (p * r + q) / (s * r + t)
@@ -117,30 +154,52 @@ class Field:
             total[hit] += self.w[at[hit]]
         return total
 
-    def marginals(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(toxic) of every word, and P(label before, label) of it, [2, 2, n], from the sums of its features' weights."""
+    def emissions(self, words: Words) -> np.ndarray:
+        """The sums of the weights of all words' features."""
+        n = len(words.hashes)
+        return np.concatenate([np.zeros(0), *(self.emission(words.features(i, min(n, i + AT_ONCE))) for i in range(0, n, AT_ONCE))])
+
+    def ratios(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward ratios of toxic to clean of every word, part by part."""
         n = len(emission)
-        if not n:
-            return np.zeros(0), np.zeros((2, 2, 0))
-        psi = np.exp(np.clip(emission + self.bias, -30, 30))
-        begins = np.zeros(n, bool)
+        begins = np.zeros(n + 1, bool)
         begins[first[:-1][np.diff(first) > 0]] = True
-        ends = np.r_[begins[1:], True]
+        begins[n] = True
         t, s = np.exp(self.jump), np.exp(self.start)
-        zero, one = np.zeros(n), np.ones(n)
-        fwd = np.array([[psi * t[1, 1], psi * t[0, 1]], [t[1, 0] * one, t[0, 0] * one]])
-        fwd[:, :, begins] = np.array([[zero, psi * s[1]], [zero, s[0] * one]])[:, :, begins]
-        alpha = chain(fwd)
-        nxt = np.r_[psi[1:], 1.0]
-        bwd = np.array([[nxt * t[1, 1], t[1, 0] * one], [nxt * t[0, 1], t[0, 0] * one]])
-        bwd[:, :, ends] = np.array([[zero, one], [zero, one]])[:, :, ends]
-        beta = chain(bwd[:, :, ::-1])[::-1]
-        p = alpha * beta / (1 + alpha * beta)
+        alpha, beta, r = np.empty(n), np.empty(n), 1.0
+        for i in range(0, n, AT_ONCE):
+            j = min(n, i + AT_ONCE)
+            psi, on = np.exp(np.clip(emission[i:j] + self.bias, -30, 30)), begins[i:j]
+            step = np.array([[psi * t[1, 1], psi * t[0, 1]], np.broadcast_to([[t[1, 0]], [t[0, 0]]], (2, j - i))])
+            step[:, :, on] = np.array([[0 * psi, psi * s[1]], [0 * psi, np.full(j - i, s[0])]])[:, :, on]
+            alpha[i:j] = chain(step, r)
+            r = float(alpha[j - 1])
+        r = 1.0
+        for j in range(n, 0, -AT_ONCE):
+            i = max(0, j - AT_ONCE)
+            nxt = np.exp(np.clip(np.r_[emission[i + 1 : j], emission[j : j + 1] if j < n else 0.0] + self.bias, -30, 30))
+            step = np.array([[nxt * t[1, 1], np.full(j - i, t[1, 0])], [nxt * t[0, 1], np.full(j - i, t[0, 0])]])
+            step[:, :, begins[i + 1 : j + 1]] = np.array([[0.0, 1.0], [0.0, 1.0]])[:, :, None]
+            beta[i:j] = chain(step[:, :, ::-1], r)[::-1]
+            r = float(beta[i])
+        return alpha, beta
+
+    def marginals(self, emission: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """P(toxic) of every word, from the sums of its features' weights."""
+        if not len(emission):
+            return np.zeros(0)
+        alpha, beta = self.ratios(emission, first)
+        return alpha * beta / (1 + alpha * beta)
+
+    def pairs(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(toxic) of every word, and P(label before, label) of it, [2, 2, n]."""
+        alpha, beta = self.ratios(emission, first)
+        psi, t = np.exp(np.clip(emission + self.bias, -30, 30)), np.exp(self.jump)
         before = np.r_[1.0, alpha[:-1]]
-        pair = np.array([[t[0, 0] * one, t[0, 1] * psi * beta], [before * t[1, 0], before * t[1, 1] * psi * beta]])
+        pair = np.array([[np.full(len(psi), t[0, 0]), t[0, 1] * psi * beta], [before * t[1, 0], before * t[1, 1] * psi * beta]])
         pair /= pair.sum(axis=(0, 1))
-        pair[:, :, begins] = 0
-        return p, pair
+        pair[:, :, first[:-1][np.diff(first) > 0]] = 0
+        return alpha * beta / (1 + alpha * beta), pair
 
 
 def train_field(feats: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
@@ -155,18 +214,19 @@ def train_field(feats: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Fie
     used, back = np.unique(feats, return_inverse=True)
     back = back.reshape(feats.shape)
     dense, penalty = np.zeros(len(used)), np.full(len(used), PENALTY[1])
-    penalty[back[0]] = PENALTY[0]
+    penalty[back[:-2].ravel()] = PENALTY[0]
+    dense_of = used != 0  # 0 stands for no feature
     state = [np.zeros(len(used) + 7), np.zeros(len(used) + 7)]
     scale = max(1.0, y.sum())
     for t in range(1, ROUNDS + 1):
-        p, pair = f.marginals(dense[back].sum(axis=0), first)
+        p, pair = f.pairs(dense[back].sum(axis=0), first)
         d = y - p
         g = np.concatenate([
             sum(np.bincount(b, d, len(used)) for b in back) - penalty * dense, [d.sum()], (seen - pair.sum(axis=2)).ravel(), starts - np.array([(1 - p[begins]).sum(), p[begins].sum()])
         ]) / scale
         state[0], state[1] = 0.9 * state[0] + 0.1 * g, 0.99 * state[1] + 0.01 * g * g
         step = 0.3 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-6)
-        dense += step[: len(used)]
+        dense += step[: len(used)] * dense_of
         f.bias += step[len(used)]
         f.jump += step[len(used) + 1 : len(used) + 5].reshape(2, 2)
         f.start += step[len(used) + 5 :]
@@ -175,31 +235,6 @@ def train_field(feats: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Fie
     return f
 
 
-def token_labels(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for words of toxic documents that set those apart, else 0."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(first))
-    vocab, back = np.unique(hashes, return_inverse=True)
-    once = np.unique(np.stack([back, doc]), axis=1)
-    bad = np.bincount(once[0], toxic[once[1]], len(vocab))
-    good = np.bincount(once[0], 1 - toxic[once[1]], len(vocab))
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    lift = np.log((bad + 0.5) / (n1 - bad + 0.5)) - np.log((good + 0.5) / (n0 - good + 0.5))
-    error = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    marks = (bad >= LEAST) & (lift >= LIFT) & (lift / error >= Z)
-    return (marks[back] & (toxic[doc] > 0)).astype(np.int64)
-
-
-def apart(hashes: np.ndarray, first: np.ndarray, values: int = 12) -> np.ndarray:
-    """Which documents stay if of near copies, that have half of their minimum hashes in common, only one does."""
-    seen, keep = set(), []
-    for a, b in zip(first[:-1], first[1:]):
-        s = kn.shingles(hashes[a:b], 3)
-        sketch = {(j, int(kn.mix(s ^ U(0x9E37 * (j + 1))).min())) for j in range(values)} if len(s) else set()
-        keep.append(2 * len(sketch & seen) < values)
-        seen |= sketch
-    return np.array(keep, bool)
-
-
 def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each text the log of the sum of the odds p / (1 - p) of its words, those under ODDS left out."""
     odds = p / np.maximum(1 - p, 1e-6)
@@ -233,34 +268,133 @@ class Model:
         return f
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model from labelled documents outside the held-out third; at most `sample` documents of either label."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = ids.where(~held_out(F.col("doc_id")))
+def sketcher(batches):
+    """(text, toxic) with two minimum hashes of the text's shingles of three words."""
+    for whole in batches:
+        for batch in kn.slices(whole, 0):
+            w = Words(batch.column(0))
+            low = []
+            for a, b in zip(w.first[:-1], w.first[1:]):
+                x = kn.shingles(w.hashes[a:b], 3)
+                low.append([int(kn.mix(x ^ U(salt)).min().astype(np.int64)) if len(x) else 0 for salt in (1, 2)])
+            m, n = (pa.array([v[i] for v in low], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([m, n, *batch.columns], names=["m", "n", "text", "toxic"])
+
+
+def unit_counter(batches):
+    """(text, toxic) to (unit, bad, good): in how many toxic and clean documents each unit is, for some documents at a time."""
+    held, size = [], 0
+
+    def out():
+        unit, back = np.unique(np.concatenate([u for u, _ in held]), return_inverse=True)
+        toxic = np.repeat([t for _, t in held], [len(u) for u, _ in held])
+        bad, good = (np.bincount(back, toxic == t, len(unit)).astype(np.int64) for t in (1, 0))
+        return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(bad), pa.array(good)], names=["unit", "bad", "good"])
+
+    for whole in batches:
+        for batch in kn.slices(whole, 0):
+            w, toxic = Words(batch.column(0)), batch.column(1).to_pylist()
+            for t, a, b in zip(toxic, w.first[:-1].tolist(), w.first[1:].tolist()):
+                u = np.unique(np.concatenate([np.zeros(1, U), *(np.unique(w.units(i, min(b, i + AT_ONCE))) for i in range(a, b, AT_ONCE))]))
+                held.append((u[1:], t))
+                size += len(u)
+            if size > 1 << 20:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def cutter(marks: np.ndarray):
+    """(text, toxic) to segments (draw, labelled, features, labels): a word of a toxic text is labelled if a unit of it is marked."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in kn.slices(whole, 0):
+                w, toxic = Words(batch.column(0)), batch.column(1).to_pylist()
+                rows = []
+                for t, a, b in zip(toxic, w.first[:-1].tolist(), w.first[1:].tolist()):
+                    for i in range(a, b, AT_ONCE):
+                        f = w.features(i, min(b, i + AT_ONCE))
+                        on = np.isin(f[: 1 + len(PREFIXES)], marks).any(axis=0) & (t > 0)
+                        for j in range(0, f.shape[1], WORDS):
+                            part, y = f[:, j : j + WORDS], on[j : j + WORDS]
+                            rows.append((int(kn.mix(np.bitwise_xor.reduce(kn.mix(part[0] + U(7)), keepdims=True))[0] >> U(1)), bool(y.any()), part.tobytes(), y.astype(np.uint8).tobytes()))
+                if rows:
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["draw", "labelled", "features", "labels"])
+
+    return run
+
+
+def weigher(field: Field):
+    """(text, toxic) to (x, toxic): the evidence of each text."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in kn.slices(whole, 0):
+                w = Words(batch.column(0))
+                x = evidence(field.marginals(field.emissions(w), w.first), w.first)
+                yield pa.RecordBatch.from_arrays([pa.array(x), batch.column(1).cast(pa.int32())], names=["x", "toxic"])
+
+    return run
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame | None:
+    """(text, toxic) of the training documents; of those whose sketches meet, the one of the smallest text hash."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("id"), "toxic").where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    ids = ids.where(~held_out(F.col("id")))
     n = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
-    drawn = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 40))
-    some = None
+    drawn, some = F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 40)), None
     for y in (0, 1):
-        one = ids.where((F.col("toxic") == y) & (drawn < int(min(1.0, 1.3 * sample / n[y]) * (1 << 40)))).orderBy(drawn, "doc_id").limit(sample)
+        one = ids.where((F.col("toxic") == y) & (drawn < int(min(1.0, 1.3 * sample / n[y]) * (1 << 40)))).orderBy(drawn, "id").limit(sample)
         some = one if some is None else some.unionByName(one)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(some.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("text", "toxic").distinct().collect()  # 2 * sample documents
-    rows.sort(key=lambda r: (r.toxic, r.text))
-    toxic = np.array([int(r.toxic) for r in rows], float)
-    if not 0 < toxic.sum() < len(toxic):
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(F.broadcast(some), F.col("doc_id") == F.col("id")).selectExpr("text", "cast(toxic AS int) AS toxic")  # 2 * sample ids
+    rows = rows.mapInArrow(sketcher, "m long, n long, text string, toxic int")
+    first = F.min(F.struct(F.xxhash64("text").alias("t"), "toxic", "text", "n")).alias("r")
+    rows = rows.groupBy("m").agg(first).select("r.n", "r.text", "r.toxic")
+    return rows.groupBy("n").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "toxic", "text")).alias("r")).select("r.text", "r.toxic")
+
+
+def marked_units(rows: DataFrame, bad_docs: int, good_docs: int) -> np.ndarray:
+    """The units that set toxic documents apart, UNITS at most."""
+    n = rows.mapInArrow(unit_counter, "unit long, bad long, good long").groupBy("unit").agg(F.sum("bad").cast("double").alias("bad"), F.sum("good").cast("double").alias("good"))
+    b, g = F.col("bad"), F.col("good")
+    lift = F.log((b + 0.5) / (bad_docs - b + 0.5)) - F.log((g + 0.5) / (good_docs - g + 0.5))
+    share, parts = bad_docs / (bad_docs + good_docs), F.lit(0.0)
+    for seen, docs, p in ((b, bad_docs, share), (g, good_docs, 1 - share)):
+        for x, of in ((seen, b + g), (docs - seen, F.lit(bad_docs + good_docs) - b - g)):
+            parts = parts + F.when(x > 0, x * F.log(x / (of * p))).otherwise(0.0)
+    best = n.where((b >= 2) & (lift >= LIFT)).select("unit", (2 * parts).alias("g")).where(F.col("g") >= Z * Z).orderBy(F.desc("g"), "unit").limit(UNITS)
+    return np.sort(np.array([r.unit for r in best.select("unit").collect()], np.int64).view(U))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """The model from labelled documents outside the held-out third; at most `sample` documents of either label."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = training_texts(docs, labels, sample)
+    if rows is None:
         return None
-    hashes, first, *_ = tokens(pa.array([r.text for r in rows], pa.string()))
-    keep = apart(hashes, first)
-    rows, toxic = [r for r, k in zip(rows, keep) if k], toxic[keep]
-    hashes, first, *_ = tokens(pa.array([r.text for r in rows], pa.string()))
-    if not 0 < toxic.sum() < len(toxic):
+    rows = scratch.write(rows, "training")
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        scratch.drop(rows)
         return None
-    feats, y = features(hashes, first), token_labels(hashes, first, toxic)
-    field = train_field(feats, first, y)
-    p, _ = field.marginals(field.emission(feats), first)
-    return Model(field, *logistic(evidence(p, first), toxic))
+    marks = marked_units(rows, n[1], n[0])
+    cut = scratch.write(rows.mapInArrow(cutter(marks), "draw long, labelled boolean, features binary, labels binary"), "segments")
+    got = []
+    for on in (True, False):
+        got += cut.where(F.col("labelled") == on).orderBy("draw", "features").limit(SEGMENTS // 2).collect()
+    feats = [np.frombuffer(r.features, U).reshape(len(PREFIXES) + 3, -1) for r in got]
+    first = np.r_[0, np.cumsum([f.shape[1] for f in feats])].astype(np.int64)
+    y = np.frombuffer(b"".join(bytes(r.labels) for r in got), np.uint8).astype(np.int64)
+    field = train_field(np.concatenate([np.zeros((len(PREFIXES) + 3, 0), U), *feats], axis=1), first, y)
+    seen = sorted((r.x, r.toxic) for r in rows.mapInArrow(weigher(field), "x double, toxic int").collect())  # 2 * sample rows
+    scratch.drop(rows, cut)
+    return Model(field, *logistic(np.array([x for x, _ in seen]), np.array([t for _, t in seen], float)))
 
 
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
@@ -274,21 +408,22 @@ def tagger(model: Model):
         field = model.field()
         for whole in batches:
             for batch in kn.slices(whole, 1):
-                col = batch.column(1)
-                hashes, first, s, e, offsets = tokens(col)
-                p, _ = field.marginals(field.emission(features(hashes, first)), first)
+                w = Words(batch.column(1))
+                first, s, e, offsets = w.first, w.s, w.e, w.offsets
+                p = field.marginals(field.emissions(w), first)
                 score = 1 / (1 + np.exp(-(model.slope * evidence(p, first) + model.intercept)))
-                data, _ = kn.utf8(col)
-                point = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-                doc = np.repeat(np.arange(len(col)), np.diff(first))
-                spans: list[list] = [[] for _ in range(len(col))]
+                point = lambda at: int(np.searchsorted(w.heads, at))
+                spans: list[list] = [[] for _ in range(len(batch))]
                 hot = np.flatnonzero(p >= 0.5)
-                for i, last in zip(hot.tolist(), np.r_[-2, hot[:-1]].tolist()):
-                    d, base = doc[i], point[offsets[doc[i]]]
-                    if last == i - 1 and doc[last] == d:
-                        spans[d][-1]["end"], spans[d][-1]["p"] = int(point[e[i]] - base), max(spans[d][-1]["p"], float(p[i]))
+                doc = np.searchsorted(first, hot, "right") - 1
+                before = -2, -1
+                for i, d in zip(hot.tolist(), doc.tolist()):
+                    base = point(offsets[d])
+                    if before == (i - 1, d):
+                        spans[d][-1]["end"], spans[d][-1]["p"] = point(e[i]) - base, max(spans[d][-1]["p"], float(p[i]))
                     else:
-                        spans[d].append({"begin": int(point[s[i]] - base), "end": int(point[e[i]] - base), "p": float(p[i])})
+                        spans[d].append({"begin": point(s[i]) - base, "end": point(e[i]) - base, "p": float(p[i])})
+                    before = i, d
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(score, 6)), pa.array(spans, SPANS)], names=["doc_id", "score", "spans"])
 
     return run

@@ -340,19 +340,23 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = toxicity.tag(docs, labels).join(labels.drop("quality"), "doc_id").where(toxicity.held_out(labels["doc_id"])).collect()
     assert auc([r.toxic for r in got], [r.score for r in got]) > 0.95
+    assert np.mean([r.score >= 0.7 for r in got if r.toxic]) >= 0.9 and np.mean([r.toxic for r in got if r.score >= 0.7]) >= 0.9
     text = {r.doc_id: r.text for r in docs.collect()}
     spans = [text[r.doc_id][s.begin : s.end] for r in got for s in r.spans]
     assert spans and not any(BLANK.match(s[0]) or BLANK.match(s[-1]) for s in spans)
 
 
-def test_forward_backward_equals_enumeration():
+def test_forward_backward_equals_enumeration(monkeypatch):
     rng = np.random.default_rng(9)
     f = toxicity.Field()
     f.jump, f.start, f.bias = rng.normal(size=(2, 2)), rng.normal(size=2), 0.0
     lengths = [1, 4, 0, 6, 2]
     first = np.r_[0, np.cumsum(lengths)]
     e = rng.normal(size=first[-1])
-    p, pair = f.marginals(e, first)
+    p, pair = f.pairs(e, first)
+    assert np.allclose(f.marginals(e, first), p)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 3)
+    assert np.allclose(f.marginals(e, first), p)
     for a, b in zip(first[:-1], first[1:]):
         if a == b:
             continue
@@ -362,3 +366,45 @@ def test_forward_backward_equals_enumeration():
             total += np.exp(s)
             on += np.exp(s) * np.array(y)
         assert np.allclose(p[a:b], on / total)
+
+
+def test_words_lose_all_signs_at_their_ends_and_features_do_not_depend_on_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["plain (((((((((((word)))))))))))!!!!!!!!!!! ++++ éa-b.", None, "", "...", "Ünïcode " * 20]
+    w = toxicity.Words(pa.array(texts, pa.string()))
+    assert [w.data[s:e].tobytes().decode() for s, e in zip(w.s, w.e)][:6] == ["plain", "word", "+", "éa-b", ".", "Ünïcode"]
+    whole = w.features(0, len(w.hashes))
+    assert np.array_equal(whole, np.concatenate([w.features(i, i + 1) for i in range(len(w.hashes))], axis=1))
+    assert (whole[0] != 0).all() and whole[-2][0] == 0 and whole[-1][3] == 0 and whole[-2][5] == 0 and whole[-1][-1] == 0
+    units = w.units(3, 4)[:, 0]
+    alone = toxicity.Words(pa.array(["éa-b", "éa-bc"], pa.string()))
+    assert np.array_equal(alone.units(0, 1)[:, 0], units) and alone.units(1, 2)[1, 0] == units[1] and units[2] == 0
+
+
+def test_scores_follow_from_marginals_by_plain_sums(spark):
+    rows = [(i, f"some plain words number {i} here" + (" vile" if i % 2 else ""), "en", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    field, got = model.field(), toxicity.tag(docs, labels).collect()
+    import pyarrow as pa
+
+    for r in got:
+        w = toxicity.Words(pa.array([rows[r.doc_id][1]], pa.string()))
+        e = np.zeros(len(w.hashes))
+        known = dict(zip(model.keys.tolist(), model.weights.tolist()))
+        for i in range(len(e)):
+            e[i] = sum(known.get(int(x), 0.0) for x in w.features(i, i + 1)[:, 0])
+        psi, t, s = np.exp(np.clip(e + field.bias, -30, 30)), np.exp(field.jump), np.exp(field.start)
+        f = [np.array([s[0], s[1] * psi[0]])]
+        for x in psi[1:]:
+            f.append(np.array([f[-1] @ t[:, 0], f[-1] @ t[:, 1] * x]))
+        b = [np.ones(2)]
+        for x in psi[:0:-1]:
+            b.append(np.array([t[0, 0] * b[-1][0] + t[0, 1] * x * b[-1][1], t[1, 0] * b[-1][0] + t[1, 1] * x * b[-1][1]]))
+        p = [float(x[1] * y[1] / (x @ y)) for x, y in zip(f, b[::-1])]
+        odds = sum(q / max(1 - q, 1e-6) for q in p if q / max(1 - q, 1e-6) >= toxicity.ODDS)
+        want = 1 / (1 + np.exp(-(model.slope * np.log(odds + toxicity.ODDS) + model.intercept)))
+        assert abs(r.score - want) < 1e-5 and (r.score >= 0.7) == bool(r.doc_id % 2)
+    assert [rows[r.doc_id][1][s.begin : s.end] for r in got for s in r.spans] == ["vile"] * 30
