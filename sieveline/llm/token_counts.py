@@ -1,13 +1,19 @@
 """Token counts from a compiled finite-state tokenizer.
 
-The tokenizer's splitting pattern is compiled into a deterministic transducer over five classes of code points (space,
-letter, number, apostrophe, other; the letters of contractions have their own). A transition says where a piece begins.
-As every piece then goes through the same merges whatever stands beside it, the transition that closes a piece emits
-the number of tokens of that piece, which a lexicon of arcs holds: built from the vocabulary file as pieces appear, and
-kept by each worker up to a bound.
+The tokenizer's splitting pattern is compiled into a deterministic transducer over classes of code points (space, letter,
+number, apostrophe, other; the letters of contractions have their own). A transition says where a piece begins. Every
+piece goes through the same merges whatever stands beside it, so the transition that closes a piece emits the number of
+tokens of that piece. The merges are compiled into a table of symbol pairs with their rank and product; a new piece is
+rewritten by that table, all new pieces of a batch at once, and its count is kept in a lexicon of arcs by each worker up
+to a bound. (An automaton of all merges would have a state for each way in which a symbol can still be taken apart; the
+table and the lexicon give the same counts.)
 
-A text is read in blocks. For each block all states are run at once, which gives the block's map from state to state;
-the maps are composed by a prefix scan; then every block is replayed from its true state. All of it is vectorised.
+Classes, lower case and normal form are those of the tokenizer's library: its tables are read off once a worker, over all
+code points. The library splits and counts nothing.
+
+A text is read in parts that end at a space, and a part in blocks. For each block all states are run at once, which gives
+the block's map from state to state; the maps are composed by a prefix scan; then every block is replayed from its true
+state. All of it is vectorised.
 
 Edge cases: a null or empty text has 0 tokens. Strings of special tokens inside a text count as one token each, as the
 library does by default. Texts of any length are read whole. Extra columns are ignored; rows stay as they are.
@@ -15,8 +21,8 @@ library does by default. Texts of any length are read whole. Extra columns are i
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +43,10 @@ FREE, WORD, SIGNS, APO, APO_R, APO_V, APO_L, AFTER = range(8)
 #: What a transition does: nothing; a piece begins here; a piece began one code point ago (the apostrophe stood alone).
 NONE, BEGIN, BEGIN_BEFORE = range(3)
 BLOCK = 256
+#: Code points that are read at once, about.
+PART = 1 << 20
+#: Fixed value: the splitting pattern that is compiled here.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def transitions() -> tuple[np.ndarray, np.ndarray]:
@@ -63,19 +73,82 @@ TO, DOES = transitions()
 
 
 @lru_cache(maxsize=1)
-def classes() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point its class and its lower case; code points whose lower case is longer stay as they are."""
-    kind, low = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x110000):
-        x = chr(c)
-        g = unicodedata.category(x)[0]
-        kind[c] = SPACE if x.isspace() and not 0x1C <= c <= 0x1F else LETTER if g == "L" else NUMBER if g == "N" else OTHER
-        if len(y := x.lower()) == 1:
-            low[c] = ord(y)
+def classes() -> tuple[np.ndarray, np.ndarray, dict[str, str]]:
+    """For every code point its class and its lower case, as the library has them; and the lower case of code points that
+    have several."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    kind, low, longer = np.full(0x110000, OTHER, np.uint8), np.arange(0x110000, dtype=np.uint32), {}
+    lower = normalizers.Lowercase()
+    for begin in range(0, 0x110000, 1 << 14):
+        points = [c for c in range(begin, begin + (1 << 14)) if not 0xD800 <= c < 0xE000 and c != 10]
+        every = "".join(map(chr, points))
+        for pattern, k in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+            found = np.ones(len(points), bool)
+            for _, (i, j) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(every):
+                found[i:j] = False
+            kind[np.array(points, int)[found]] = k
+        for c, x in zip(points, lower.normalize_str("\n".join(every)).split("\n")):
+            if len(x) == 1:
+                low[c] = ord(x)
+            else:
+                longer[chr(c)] = x
+    kind[10] = SPACE
     for x in "stmd":
         kind[ord(x)] = ONE
     kind[ord("r")], kind[ord("v")], kind[ord("l")], kind[ord("e")], kind[ord("'")] = R, V, L, E, APOSTROPHE
-    return kind, low
+    return kind, low, longer
+
+
+class Merges:
+    """The symbols of bytes, and the merges as a table of pairs."""
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        # Bytes are spelled by printable code points: themselves where they are printable, else from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spelled = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+        self.byte = np.array([vocab[spelled[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[spelled[b] + end] for b in range(256)], np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = np.array([(vocab[x], vocab[y], vocab[x + y]) for x, y in pairs], np.int64)
+        keys, order = np.unique(ids[:, 0] << 32 | ids[:, 1], return_index=True)
+        self.keys, self.rank, self.product = keys, order, ids[order, 2]
+        first = np.full(len(vocab) + 1, len(ids))
+        np.minimum.at(first, ids[:, 0], np.arange(len(ids)))
+        np.minimum.at(first, ids[:, 1], np.arange(len(ids)))
+        # Whether no merge of the product comes before this one: then all its places in a piece can be merged at once.
+        self.safe = first[self.product] > self.rank
+
+    def counts(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of symbols of each piece, none of them empty, after all merges."""
+        out, size = np.zeros(len(pieces), np.int64), np.array([len(x) for x in pieces], np.int64)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = self.byte[data]
+        ends = np.cumsum(size)
+        ids[ends - 1] = self.last[data[ends - 1]]
+        owner = np.repeat(np.arange(len(pieces)), size)
+        none = len(self.keys)
+        while len(ids):
+            at = np.searchsorted(self.keys, key := ids[:-1] << 32 | ids[1:])
+            at[at == none] = 0
+            fits = (self.keys[at] == key) & (owner[1:] == owner[:-1])
+            where = np.flatnonzero(fits)
+            best = np.full(len(pieces), none)
+            np.minimum.at(best, owner[where], self.rank[at[where]])
+            # Pieces without a pair to merge are done.
+            done = best[owner] == none
+            out += np.bincount(owner[done], minlength=len(pieces))
+            where = where[self.rank[at[where]] == best[owner[where]]]
+            # Of places that overlap every other one is merged, from the left; of unsafe ones the first of the piece.
+            begin = np.r_[True, (where[1:] != where[:-1] + 1) | (owner[where[1:]] != owner[where[:-1]])]
+            nth = np.arange(len(where)) - np.maximum.accumulate(np.where(begin, np.arange(len(where)), 0))
+            leads = np.r_[True, owner[where[1:]] != owner[where[:-1]]]
+            where = where[(nth % 2 == 0) & (self.safe[at[where]] | leads)]
+            ids[where] = self.product[at[where]]
+            done[where + 1] = True
+            ids, owner = ids[~done], owner[~done]
+        return out
 
 
 def scan(kind: np.ndarray) -> np.ndarray:
@@ -107,10 +180,13 @@ class Transducer:
     """Counts the tokens of many texts at once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
+        if split != PATTERN:
+            raise ValueError(f"the splitting pattern {split!r} isn't the one that is compiled")
+        self.merges = Merges(spec["model"])
+        special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(re.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
         self.keys, self.counts = np.zeros(0, U), np.zeros(0, np.int64)
 
@@ -124,7 +200,7 @@ class Transducer:
         out[known] = self.counts[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            out[new] = [len(e.ids) for e in self.tokenizer.encode_batch(spell(new), add_special_tokens=False)]
+            out[new] = self.merges.counts([x.encode() for x in spell(new)])
             if len(self.keys) + len(new) > ARCS:
                 self.keys, self.counts = keys, out
             else:
@@ -134,25 +210,50 @@ class Transducer:
         return out
 
     def count(self, texts: list[str]) -> np.ndarray:
-        extra = np.zeros(len(texts), np.int64)
+        """The numbers of tokens of the texts: of short ones together, of long ones in parts."""
+        out, held, size = np.zeros(len(texts), np.int64), [], 0
         if self.special and any("<|" in t for t in texts):
+            texts = list(texts)
             for i, t in enumerate(texts):
-                texts[i], extra[i] = self.special.subn(" ", t)
-        kind_of, low = classes()
+                texts[i], out[i] = self.special.subn(" ", t)
+        for i, t in enumerate(texts):
+            at = 0
+            while len(t) - at > PART and (cut := WHITE.search(t, at + PART)):
+                held.append((i, t[at : cut.start()]))
+                at = cut.start()
+                self.flush(held, out)
+                size = 0
+            held.append((i, t[at:] if at else t))
+            size += len(t) - at
+            if size > PART:
+                self.flush(held, out)
+                size = 0
+        self.flush(held, out)
+        return out
+
+    def flush(self, held: list[tuple[int, str]], out: np.ndarray) -> None:
+        if held:
+            np.add.at(out, [i for i, _ in held], self.part([t for _, t in held]))
+            held.clear()
+
+    def part(self, texts: list[str]) -> np.ndarray:
+        from tokenizers import normalizers
+
+        kind_of, low, longer = classes()
         whole = "\n".join(texts) + "\n"
         if not whole.isascii():
-            if not unicodedata.is_normalized("NFC", whole):
-                texts = [unicodedata.normalize("NFC", t) for t in texts]
-                whole = "\n".join(texts) + "\n"
-            if "İ" in whole:  # the only letter whose lower case is two code points
-                texts = [t.replace("İ", "i̇") for t in texts]
-                whole = "\n".join(texts) + "\n"
+            form = normalizers.NFC()
+            texts = [t if t.isascii() else form.normalize_str(t) for t in texts]
+            for x, y in longer.items():
+                if x in whole:
+                    texts = [t.replace(x, y) for t in texts]
+            whole = "\n".join(texts) + "\n"
         points = low[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
         ends = np.cumsum([len(t) + 1 for t in texts])
+        del whole
         kind = kind_of[points]
         state = scan(kind)
         does = DOES[state, kind]
-        after = TO[state, kind]
         begin = does == BEGIN
         # r, v and l behind an apostrophe begin a word unless the contraction becomes whole
         for mid, end in ((APO_R, E), (APO_V, E), (APO_L, L)):
@@ -163,13 +264,17 @@ class Transducer:
         solid_next = np.r_[solid[1:], False]
         begin_next = np.r_[begin[1:], False]
         finish = np.flatnonzero(solid & (~solid_next | begin_next)) + 1
-        del state, does, after
+        del state, does
         hashes = point_hashes(points, starts, finish)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         spell = lambda idx: ["".join(map(chr, points[starts[i] : finish[i]])) for i in first[idx]]
         counts = np.concatenate([[0], np.cumsum(self.lexicon(keys, spell)[back])])
         upto = counts[np.searchsorted(starts, ends)]
-        return np.diff(np.r_[0, upto]) + extra
+        return np.diff(np.r_[0, upto])
+
+
+#: Where a text can be cut: no piece goes over such a sign, nor does any composition of code points.
+WHITE = re.compile("[ \n]")
 
 
 def point_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -222,6 +222,25 @@ def test_token_counts_equal_the_library(spark):
     assert got == {i: (len((x or "").encode()), n) for i, (x, n) in enumerate(zip(texts, want))}
 
 
+def test_token_counts_of_all_code_points_and_in_parts(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    machine, t = token_counts.Transducer(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for near in ("a{}b", "e{}\u0301", "\u0301{0}'s {0}{0}"):
+        texts = ["\n".join(near.format(c) for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+        assert machine.count(list(texts)).tolist() == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 30))) for _ in range(3000)] + ["ab" * 700, "a" * 701, "aab" * 300, "<|endoftext|>" * 3]
+    long = " ".join(texts[:400]) + "\n'll 're don't" * 50
+    monkeypatch.setattr(token_counts, "PART", 50)
+    for group in ([x] for x in (*texts[-6:], long)):
+        assert machine.count(list(group)).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in group]
+    assert machine.count(list(texts)).tolist() == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_containment_equals_brute_force(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdef", k=3)) for _ in range(200)]
