@@ -31,48 +31,76 @@ U = np.uint64
 WINDOW, SMALLEST, LENGTH, LEAST, COMMON = 7, 3, 64, 32, 4
 #: The signs of a signature.
 SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+#: Bytes of a text that are worked on at once.
+PART = 1 << 20
 #: Rows of a range of ids that one task compares, about.
 ROWS_PER_RANGE = 20_000
 
 
-def triggers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which the smallest block size ends a piece, and the largest power k for which 3 * 2**k does."""
-    n = len(data)
+def triggers(data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions lo <= i < hi at which the smallest block size ends a piece, and the largest power k for which 3 * 2**k does."""
+    begin = max(0, lo - WINDOW + 1)
+    part = data[begin:hi].astype(np.uint32) + np.uint32(1)
+    n = len(part)
     roll = np.zeros(n, np.uint32)
     for j in range(WINDOW):
-        roll[j:] += (data[: max(0, n - j)].astype(np.uint32) + np.uint32(1)) * np.uint32(pow(0x01000193, j + 1, 1 << 32))
+        roll[j:] += part[: max(0, n - j)] * np.uint32(pow(0x01000193, j + 1, 1 << 32))
+    roll = roll[lo - begin :]
     roll ^= roll >> np.uint32(15)
     roll *= np.uint32(0x85EBCA6B)
     roll ^= roll >> np.uint32(13)
     at = np.flatnonzero(roll % np.uint32(SMALLEST) == SMALLEST - 1)
     third = (roll[at].astype(np.int64) + 1) // SMALLEST
-    return at, np.log2(third & -third).astype(np.int64)
+    return at + lo, np.log2(third & -third).astype(np.int64)
+
+
+def prefix_sums(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial sums of data[:e] for the sorted ends e."""
+    out, before, scale = [], U(0), 1
+    for lo in range(0, len(data), PART):
+        hi = min(len(data), lo + PART)
+        up, _ = kn.powers(hi - lo)
+        sums = (data[lo:hi].astype(U) + U(1)) * up[: hi - lo]
+        sums = np.cumsum(sums, dtype=U, out=sums) * U(scale) + before if lo else np.cumsum(sums, dtype=U, out=sums)
+        out.append(sums[ends[(ends > lo) & (ends <= hi)] - lo - 1])
+        before, scale = sums[-1], scale * pow(int(kn.BASE), hi - lo, 1 << 64) % 2**64
+    return np.concatenate(out)
 
 
 def fingerprint(data: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Block size as a power of two, and both signatures."""
+    """Block size as a power of two, and both signatures. A long text goes through in parts."""
     n = len(data)
     if not n:
         return 0, b"", b""
-    at, power = triggers(data)
     k = max(0, int(np.ceil(np.log2(max(1, n / (SMALLEST * LENGTH))))))
-    if k:
-        counts = np.cumsum(np.bincount(np.minimum(power, k), minlength=k + 1)[::-1])[::-1]
-        while k and counts[k] < LEAST:
-            k -= 1
-    up, down = kn.powers(n)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
-
-    def signature(p: int) -> bytes:
+    counts, found = np.zeros(k + 1, np.int64), []
+    for lo in range(0, n, PART):
+        at, power = triggers(data, lo, min(n, lo + PART))
+        counts += np.bincount(np.minimum(power, k), minlength=k + 1)
+        if n > PART:  # of every power the first LENGTH places are all that a signature can need
+            keep = np.zeros(len(at), bool)
+            for p in range(k + 2):
+                keep[np.flatnonzero(power >= p)[:LENGTH]] = True
+            at, power = at[keep], power[keep]
+        found.append((at, power))
+    at, power = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+    counts = np.cumsum(counts[::-1])[::-1]
+    while k and counts[k] < LEAST:
+        k -= 1
+    cuts = []
+    for p in (k, k + 1):
         ends = at[power >= p][: LENGTH - 1] + 1
-        if not len(ends) or ends[-1] < n:
-            ends = np.append(ends, n)
-        starts = np.r_[0, ends[:-1]]
-        hashes = kn.mix((sums[ends] - sums[starts]) * down[starts])
-        return SIGNS[(hashes >> U(58)).astype(np.int64)].tobytes()
+        cuts.append(ends if len(ends) and ends[-1] == n else np.append(ends, n))
+    every = np.unique(np.concatenate(cuts))
+    sums, inverse = prefix_sums(data, every), pow(int(kn.BASE), -1, 1 << 64)
+    _, down = kn.powers(min(n, PART))
+
+    def signature(ends: np.ndarray) -> bytes:
+        upto, starts = sums[np.searchsorted(every, ends)], np.r_[0, ends[:-1]]
+        shift = down[starts] if n <= PART else np.array([pow(inverse, x, 1 << 64) for x in starts.tolist()], U)
+        return SIGNS[(kn.mix((upto - np.r_[U(0), upto[:-1]]) * shift) >> U(58)).astype(np.int64)].tobytes()
 
-    return k, signature(k), signature(k + 1)
+    return k, signature(cuts[0]), signature(cuts[1])
 
 
 def spelled(f: tuple[int, bytes, bytes]) -> str:

@@ -277,13 +277,59 @@ def test_fingerprints(spark):
         edited = t[: len(t) - cut] + nxt[:cut]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert of.setdefault(t, r.fingerprint) == r.fingerprint
-        assert r.edited_fingerprint == fingerprints.spelled(fingerprints.of_text(edited))
+        assert r.edited_fingerprint == plain_fingerprint(edited) and r.fingerprint == plain_fingerprint(t)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         if len(t) >= 300 and t != nxt:
             assert r.near_edited > 0.5 > r.near_next
     assert got[8].near_next == 1
 
 
+def plain_fingerprint(text):
+    """The same fingerprint byte by byte, in whole numbers."""
+    data, wide, word = text.encode(), 2**64 - 1, 2**32 - 1
+    if not data:
+        return "3::"
+    powers = {}
+    for i in range(len(data)):
+        roll = sum((data[i - j] + 1) * pow(0x01000193, j + 1, 2**32) for j in range(7) if i >= j) & word
+        roll ^= roll >> 15
+        roll = roll * 0x85EBCA6B & word
+        roll ^= roll >> 13
+        if roll % 3 == 2:
+            third = (roll + 1) // 3
+            powers[i] = (third & -third).bit_length() - 1
+    k = 0
+    while 3 * 64 * 2**k < len(data):
+        k += 1
+    while k and sum(p >= k for p in powers.values()) < 32:
+        k -= 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & wide
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & wide
+        return x ^ x >> 31
+
+    def signature(p):
+        ends = [i + 1 for i, q in powers.items() if q >= p][:63]
+        ends += [len(data)] if not ends or ends[-1] < len(data) else []
+        out, start = "", 0
+        for e in ends:
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[mix(sum((c + 1) * pow(0x9E3779B97F4A7C15, j, 2**64) for j, c in enumerate(data[start:e])) & wide) >> 58]
+            start = e
+        return out
+
+    return f"{3 << k}:{signature(k)}:{signature(k + 1)}"
+
+
+def test_fingerprint_equals_a_plain_one(monkeypatch):
+    rng = random.Random(14)
+    texts = ["", "a", "é", "aaaaaaaaaa" * 40] + ["".join(rng.choices("abcdé fgh\n", k=n)) for n in (2, 7, 50, 191, 193, 700, 3000, 9000)]
+    for part in (fingerprints.PART, 100, 7):
+        monkeypatch.setattr(fingerprints, "PART", part)
+        for t in texts[: 20 if part > 50 else 9]:
+            assert fingerprints.spelled(fingerprints.of_text(t)) == plain_fingerprint(t)
+
+
 def test_likeness_is_an_edit_distance():
     rng = random.Random(7)
 
