@@ -60,10 +60,12 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self.delete(t.scratch_path)
+
+    def delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

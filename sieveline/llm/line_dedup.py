@@ -1,16 +1,20 @@
 """Corpus-wide line deduplication over levelled sorted runs of line hashes.
 
-A run is a sorted table (a, b, n): a 96-bit hash of a line's key and the number of documents that hold it. Each
-batch of documents is counted, merge-anti-joined with the keys that the runs have already decided, and adds what is
-left as a run of level 0. As soon as a level has `fanout` runs, they are merged into one run of the next level.
+A run is a table (a, b, n), bucketed and sorted by (a, b): a 96-bit hash of a line's key and the number of documents that
+hold it. Each batch of documents is counted, merge-anti-joined with every run, where those keys go that the run has
+decided, and what is left is a new run of level 0. As soon as a level has `fanout` runs, they are merged by full merge
+joins into one run of the next level. As the counts of a batch are dealt by (a, b) into as many parts as runs have buckets,
+none of these joins moves or sorts a run.
 
 Edge cases: a null or empty text is one empty line, whose key is empty and is never dropped. Rows that repeat a doc_id
-count as one document. A document all of whose lines go keeps the empty text. Columns other than doc_id and text are
+count as one document, and so do all rows without one. A document all of whose lines go keeps the empty text. Columns other than doc_id and text are
 not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from .common import BLANKS, Scratch, lower_ascii, prepare, text_or_empty
 
 #: A key is hot if it has over a HOT-th of all counted lines, so that no more than HOT keys can be.
 HOT = 4000
+#: Documents of a batch.
+BATCH = 100_000_000
 KEY = ["a", "b"]
 
 
@@ -26,53 +32,79 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Lets scans of bucketed tables tell that they are sorted; each bucket is one file here."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 class LineRuns:
     """Levelled sorted runs of line hashes in the shared folder."""
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.scratch = Scratch(spark, "line-runs")
-
-    def entries(self) -> DataFrame | None:
-        """All entries of all runs; a key has one for each run that holds it."""
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.scratch, self.made = Scratch(spark, "line-runs"), 0
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def counts(self, lines: DataFrame) -> DataFrame:
+        """(a, b, n) of the lines (doc_id, a, b): how many documents hold the key."""
+        docs = F.countDistinct("doc_id") + F.max(F.isnull("doc_id").cast("long"))
+        return lines.where("a IS NOT NULL").groupBy(*KEY).agg(docs.alias("n"))
+
+    def undecided(self, counts: DataFrame) -> DataFrame:
+        """The counts of keys that no run has decided."""
+        for run in self.runs():
+            counts = counts.join(run.where(F.col("n") >= self.min_docs).select(*KEY).hint("merge"), KEY, "left_anti")
+        return counts
+
+    def add(self, lines: DataFrame) -> None:
+        """Add the batch of lines (doc_id, a, b) as a run."""
+        self.levels[0].append(self._write(self.undecided(self.counts(lines))))
+        for level, names in enumerate(self.levels):
+            if len(names) >= self.fanout:
+                merged = self._write(self._merged(names))
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(merged)
+                self.levels[level] = []
+                self._drop(names)
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnRenamed("n", "m").hint("merge")
+            out = out.join(other, KEY, "full").select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
         return out
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Add the batch of lines (doc_id, a, b) as a run and return that run."""
-        counts = lines.where("a IS NOT NULL").groupBy(*KEY).agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("n"))
-        known = self.entries()
-        if known is not None:
-            decided = known.where(F.col("n") >= self.min_docs).select(*KEY).distinct()
-            counts = counts.join(decided.hint("merge"), KEY, "left_anti")
-        run = self._write(counts, 0)
-        self.levels[0].append(run)
-        self._compact()
-        return run
-
-    def _write(self, counts: DataFrame, level: int) -> DataFrame:
-        return self.scratch.write(counts.sortWithinPartitions(*KEY), f"level{level}")
-
-    def _compact(self) -> None:
-        for level, runs in enumerate(self.levels):
-            if len(runs) < self.fanout:
-                continue
-            merged = runs[0]
-            for r in runs[1:]:
-                merged = merged.unionByName(r)
-            merged = self._write(merged.groupBy(*KEY).agg(F.sum("n").alias("n")), level + 1)
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(merged)
-            self.levels[level] = []
-            self.scratch.drop(*runs)
+    def _write(self, counts: DataFrame) -> str:
+        self.made += 1
+        name = f"sieveline_line_run_{self.scratch.root.rsplit('-', 1)[-1]}_{self.made}"
+        path = f"{self.scratch.root}/run-{self.made}"
+        counts.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).format("parquet").saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            self.scratch.delete(f"{self.scratch.root}/run-{name.rsplit('_', 1)[-1]}")
 
     def frequent(self) -> DataFrame:
         """Keys that at least min_docs documents hold. n is what was counted until the key was decided."""
-        return self.entries().groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs)
+        return self._merged([name for level in self.levels for name in level]).where(F.col("n") >= self.min_docs)
+
+    def close(self) -> None:
+        self._drop([name for level in self.levels for name in level])
+        self.levels = [[]]
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -84,16 +116,20 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "t", "pos", F.when(F.length(key) >= 1, F.xxhash64(key)).alias("a"), F.when(F.length(key) >= 1, F.hash(key)).alias("b"))
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept) with every line dropped whose key at least min_docs documents hold."""
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int | None = None, fanout: int = 2) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept) with every line dropped whose key at least min_docs documents hold. Documents come
+    in `batches` batches, else in one for every BATCH of them and four at least."""
     spark = docs.sparkSession
     prepare(spark)
+    batches = batches or max(4, -(-docs.count() // BATCH))
     runs = LineRuns(spark, min_docs, fanout)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     lines = runs.scratch.write(document_lines(docs).withColumn("batch", batch), "lines", "batch")
-    for i in range(batches):
-        runs.add(lines.where(F.col("batch") == i))
-    frequent = runs.scratch.write(runs.frequent(), "frequent")
+    with sorted_buckets(spark):
+        for i in range(batches):
+            runs.add(lines.where(F.col("batch") == i))
+        frequent = runs.scratch.write(runs.frequent(), "frequent")
+    runs.close()
     total = lines.where("a IS NOT NULL").count()
     # At most HOT keys by count, however large the corpus is: those are marked by a broadcast, the rest by a merge join.
     hot = frequent.where(F.col("n") * HOT >= total).select(*KEY, F.lit(True).alias("hot"))

@@ -25,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op5_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op7_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
     "op9_chat_formatting": conversations.ORACLE_SQL,
 }

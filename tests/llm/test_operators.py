@@ -154,7 +154,30 @@ def test_line_dedup_counts_documents_not_rows(spark):
     assert {r.n_dropped for r in line_dedup.drop_frequent_lines(rows).collect()} == {0}
 
 
-def test_sharding_is_minimax(spark):
+def test_line_dedup_counts_rows_without_an_id_as_one_document(spark):
+    for ids, dropped in (([None, -1, *range(8)], 1), ([None, None, *range(8)], 0)):
+        rows = spark.createDataFrame([(i, "same line") for i in ids], "doc_id long, text string")
+        assert {r.n_dropped for r in line_dedup.drop_frequent_lines(rows).collect()} == {dropped}
+
+
+def test_line_runs_are_joined_as_they_are_sorted(spark):
+    runs = line_dedup.LineRuns(spark, 2, 3)
+    lines = spark.createDataFrame([(i, i % 7 + 1, i % 5 + 1) for i in range(100)], "doc_id long, a long, b int")
+    with line_dedup.sorted_buckets(spark):
+        runs.add(lines)
+        plan = runs.undecided(runs.counts(lines))._jdf.queryExecution().sparkPlan().toString() + runs.undecided(runs.counts(lines))._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.rindex("SortMergeJoin") :]
+        side = side[side.rindex("Project") :] if "Project" in side else side
+        assert "Bucketed: true" in side and "Exchange" not in side and "Sort [" not in side
+        runs.add(lines.where("a > 3").withColumn("doc_id", lines["doc_id"] + 1000))
+        assert {(r.a, r.b) for r in runs.frequent().collect()} == {(i % 7 + 1, i % 5 + 1) for i in range(100)}
+    runs.close()
+
+
+@pytest.mark.parametrize("digits,finer", [(4, 2), (1, 1)])
+def test_sharding_is_minimax(spark, monkeypatch, digits, finer):
+    monkeypatch.setattr(sharding, "DIGITS", digits)
+    monkeypatch.setattr(sharding, "FINER", finer)
     rng = random.Random(2)
     texts = ["".join(rng.choices("ab", k=rng.randint(0, 60))) for _ in range(150)] + ["big copy"] * 40 + [None, "", "é" * 30]
     got = sharding.shard(table(spark, texts), 5).collect()
