@@ -6,8 +6,9 @@ elements that a document may lack at the wanted containment, so that a document
 sketch at least, however long that document is: the search misses nothing. Documents that hold a sketch element are
 verified: the share of the item's distinct shingles that the document holds is counted exactly.
 
-Edge cases: items without an item_id are left out; null, empty and blank items are contained nowhere; null and empty documents contain nothing. Items of fewer
-than k words are looked for as runs of that many words. Rows that repeat an item_id, or a doc_id, are taken together as
+Edge cases: an item without an item_id is an item of its own, one for each text, whose pairs have a null item_id. Null,
+empty and blank items are contained nowhere; null and empty documents contain nothing. Items of fewer than k words are
+looked for as runs of that many words. Texts of any length are read whole. Rows that repeat an item_id, or a doc_id, are taken together as
 the union of their sets. Extra columns are ignored; empty tables give an empty result.
 """
 
@@ -30,11 +31,12 @@ def runs(ws: Column, width: int) -> Column:
 
 
 def item_sets(items: DataFrame, k: int) -> DataFrame:
-    """(item_id, width, h): the distinct shingles of every item."""
-    cut = items.where("item_id IS NOT NULL").select("item_id", words(lower_ascii(text_or_empty())).alias("ws")).where(F.size("ws") > 0)
+    """(item_id, own, width, h): the distinct shingles of every item; own tells items without an item_id apart."""
+    own = F.when(F.isnull("item_id"), F.xxhash64("text")).otherwise(0).alias("own")
+    cut = items.select("item_id", own, words(lower_ascii(text_or_empty())).alias("ws")).where(F.size("ws") > 0)
     width = F.least(F.size("ws"), F.lit(k))
     hashes = F.coalesce(*(F.when(width == w, runs(F.col("ws"), w)) for w in range(1, k + 1)))
-    return cut.select("item_id", width.alias("width"), F.explode(hashes).alias("h")).distinct()
+    return cut.select("item_id", "own", width.alias("width"), F.explode(hashes).alias("h")).distinct()
 
 
 def document_runs(docs: DataFrame, widths: list[int]) -> DataFrame:
@@ -54,12 +56,11 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, tn: int = 80, td: i
     docs = docs.select("doc_id", "text")
     scratch = Scratch(spark, "decontamination")
     sets = item_sets(items, k)
-    sizes = sets.groupBy("item_id").agg(F.count("*").alias("n"))
     allowed = F.floor(F.col("n") * (td - tn) / td)
-    every = sets.join(sizes, "item_id")
-    # Rank within an item: a benchmark item is a short text, so its set is small.
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("h"))
-    index = scratch.write(every.withColumn("sketch", rank <= allowed + 1), "index")
+    # Size and rank within an item: a benchmark item is a short text, so its set is small.
+    item = Window.partitionBy("item_id", "own")
+    every = sets.withColumns({"n": F.count("*").over(item), "rank": F.row_number().over(item.orderBy("h"))})
+    index = scratch.write(every.withColumn("sketch", F.col("rank") <= allowed + 1).drop("rank"), "index")
     widths = sorted(r.width for r in index.select("width").distinct().collect())  # k rows at most
     if not widths:
         widths = [k]
@@ -69,8 +70,8 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, tn: int = 80, td: i
     candidates = scratch.write(hits.select("doc_id").distinct(), "candidates")
     few = F.broadcast(candidates) if candidates.count() <= BROADCAST_ROWS else candidates
     again = docs.join(few.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = document_runs(again, widths).join(near(index.select("item_id", "n", "h", "sketch")), "h")
-    pairs = found.distinct().groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"), F.max("sketch").alias("sketched"))
+    found = document_runs(again, widths).join(near(index.select("item_id", "own", "n", "h", "sketch")), "h")
+    pairs = found.distinct().groupBy("doc_id", "item_id", "own", "n").agg(F.count("*").alias("n_found"), F.max("sketch").alias("sketched"))
     pairs = pairs.where(F.col("sketched") & (F.col("n_found") * td >= F.col("n") * tn))
     return pairs.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_found", F.round(F.col("n_found") / F.col("n"), 6).alias("containment"))
 

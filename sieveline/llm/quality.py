@@ -2,9 +2,12 @@
 
 Eight heuristic labellers look at every document; each says bad, good, or nothing. A latent class model is fitted by
 expectation-maximisation to the counts of all vote patterns, 3 to the power of 8 at most, over the whole table: it
-estimates how often each labeller speaks and errs, without any given label. The posterior of a document's pattern is the
-soft label on which a linear scorer over hashed features of word shapes is trained, from a sample of SAMPLE documents at
-most. The scorer then rates every document's whole text.
+estimates how often each labeller speaks and errs, without any given label. As bad texts seldom have two kinds of faults,
+the bad class is made of one part for each labeller, of texts that have its fault, so that it says bad of them; all else
+is estimated, without bounds: the share of every part, and how often every labeller gives which vote in the good class (its
+false alarms) and in every part. The posterior of a document's pattern is the soft label on which a linear scorer over
+hashed features of word shapes is trained, from a sample of SAMPLE documents at most, of any length. The scorer then rates
+every document's whole text.
 
 Edge cases: a null, empty or blank text has quality 0 and is rejected. A text of any length is read whole. Equal texts
 have equal scores. If no labeller ever says bad, all texts with words pass. Extra columns are ignored; an empty table gives an empty result.
@@ -22,16 +25,12 @@ from .common import Scratch, prepare, table
 
 U = np.uint64
 SAMPLE = 6000
-#: Longer texts aren't drawn into the sample, which bounds the driver's memory; they are scored like all others.
-SAMPLE_BYTES = 65_536
 BITS = 12
 KEEP_FROM = 0.5
 #: Added to the number of words, so that a few words alone can't make a large share.
 PRIOR_WORDS = 10
-#: A labeller is better than chance: in the good class it says bad at most so often, in the bad class at least so often.
-WRONG, RIGHT = 0.01, 0.1
-#: And as each looks for one fault only, it says good of a bad text that has another fault at least so often.
-BLIND = 0.5
+#: Where expectation-maximisation begins: the votes of the good class, those of other labellers on a fault, the shares.
+BEGIN_GOOD, BEGIN_OTHER, BEGIN_BAD = (0.15, 0.84, 0.01), (0.2, 0.7, 0.1), 0.2
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Each labeller's measure is a share; at the first value or less it says good, at the second or more it says bad.
 LABELLERS = {
@@ -106,31 +105,28 @@ def features(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of bad for every pattern (rows of votes), and P(vote | class) by labeller, class and vote."""
-    m = patterns.shape[1]
-    start = np.array([[0.15, 0.84, 0.01], [0.3, 0.4, 0.3]])  # votes of the good and of the bad class
-    theta = np.tile(start, (m, 1, 1))
-    prior = np.array([0.8, 0.2])
-    onehot = np.eye(3)[patterns]
-    post = np.zeros(len(patterns))
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of bad for every pattern (rows of votes), and P(vote | class) by labeller, class (good, bad) and vote."""
+    m, bad = patterns.shape[1], patterns == BAD
+    fired = np.flatnonzero(bad.any(axis=0))  # a labeller that never says bad has no part
+    theta = np.stack([np.tile(BEGIN_GOOD, (m, 1)), *np.tile(BEGIN_OTHER, (len(fired), m, 1))])
+    theta[np.arange(len(fired)) + 1, fired] = np.array([0.0, 0.0, 1.0])
+    begin = theta.copy()
+    share = np.r_[1 - BEGIN_BAD if len(fired) else 1.0, np.full(len(fired), BEGIN_BAD / max(1, len(fired)))]
+    may, onehot, post = np.concatenate([np.ones((len(patterns), 1), bool), bad[:, fired]], axis=1), np.eye(3)[patterns], np.zeros(len(patterns))
     for _ in range(rounds):
-        logp = np.log(prior) + np.einsum("pmv,mcv->pc", onehot, np.log(theta))
-        logp -= logp.max(axis=1, keepdims=True)
-        both = np.exp(logp)
+        logp = np.where(may, np.log(share) + np.einsum("pmv,cmv->pc", onehot, np.log(np.maximum(theta, 1e-300))), -np.inf)
+        both = np.exp(logp - logp.max(axis=1, keepdims=True))
         both /= both.sum(axis=1, keepdims=True)
-        if np.abs(both[:, 1] - post).max(initial=0) < 1e-10:
+        old, post = post, 1 - both[:, 0]
+        if np.abs(post - old).max(initial=0) < 1e-10:
             break
-        post = both[:, 1]
         weight = both * counts[:, None]
-        prior = (weight.sum(axis=0) + 1) / (counts.sum() + 2)
-        theta = np.einsum("pc,pmv->mcv", weight, onehot) + start
+        share = (weight.sum(axis=0) + 1) / (counts.sum() + len(share))
+        theta = np.einsum("pc,pmv->cmv", weight, onehot) + begin  # one document's worth of what it began with
         theta /= theta.sum(axis=2, keepdims=True)
-        theta[:, 0, BAD] = np.minimum(theta[:, 0, BAD], WRONG)
-        theta[:, 1, BAD] = np.maximum(theta[:, 1, BAD], RIGHT)
-        theta[:, 1, GOOD] = np.maximum(theta[:, 1, GOOD], BLIND)
-        theta /= theta.sum(axis=2, keepdims=True)
-    return post, theta
+    parts = share[1:, None, None] * theta[1:]
+    return post, np.stack([theta[0], parts.sum(axis=0) / max(share[1:].sum(), 1e-300)], axis=1)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -163,7 +159,7 @@ def featurer(batches):
         for batch in kn.slices(whole, 1):
             got = features(batch.column(1))
             pattern, _ = votes(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern), pa.array([i.tolist() for i, _ in got], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "pattern", "i", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern), pa.array([i.astype(np.int16).tobytes() for i, _ in got], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in got], pa.binary())], names=["draw", "pattern", "i", "x"])
 
 
 def judged(texts: pa.Array, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,14 +202,13 @@ def train(docs: DataFrame) -> tuple[np.ndarray, float, dict[int, float], np.ndar
     known = [(p, c) for p, c in counted if p >= 0]
     digits = np.array([[p // 3**j % 3 for j in range(len(LABELLERS))] for p, _ in known], int).reshape(len(known), len(LABELLERS))
     post, theta = em(digits, np.array([c for _, c in known], float))
-    # If no pattern of the table has a vote for bad, there is nothing that a second class could stand for.
-    post = np.where((digits == BAD).any(), post, 0.0)
     posts = {p: float(x) for (p, _), x in zip(known, post)}
     share = min(1.0, SAMPLE / max(1, total))
-    drawn = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))
-    some = docs.where(drawn & (F.octet_length("text") <= SAMPLE_BYTES)).mapInArrow(featurer, "doc_id long, pattern long, i array<long>, x array<double>")
-    some = sorted((r for r in some.limit(2 * SAMPLE).collect() if r.pattern >= 0), key=lambda r: (r.doc_id is None, r.doc_id, r.pattern, r.i, r.x))
-    w, b = fit([(np.array(r.i, int), np.array(r.x)) for r in some], np.array([posts[r.pattern] for r in some]))
+    drawn = docs.select(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1 << 40)).alias("draw"), "text").where(F.col("draw") < int(min(1.0, 1.3 * share) * (1 << 40)))
+    some = drawn.mapInArrow(featurer, "draw long, pattern long, i binary, x binary").where("pattern >= 0")
+    some = some.orderBy("draw", "pattern", "i", "x").limit(SAMPLE).collect()  # 1 << BITS features a document at most
+    rows = [(np.frombuffer(r.i, np.int16).astype(int), np.frombuffer(r.x, np.float32).astype(float)) for r in some]
+    w, b = fit(rows, np.array([posts[r.pattern] for r in some]))
     return w, b, posts, theta
 
 

@@ -48,11 +48,18 @@ def test_odd_rows_and_clashing_columns(spark, name):
 def test_containment_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "so five words are in here now again"), (3, "so five words are in here now again"), (None, "FIVE words\nare in here now")], "doc_id long, text string").withColumn("id", F.lit(0)).withColumn("item_id", F.lit(0))
     got = {(r.doc_id, r.item_id, r.n_found) for r in decontamination.contained(docs, items(spark)).collect()}
-    assert got == {(3, 1, 2), (None, 1, 2)}
+    assert got == {(3, 1, 2), (None, 1, 2), (3, None, 2), (None, None, 2)}
     assert decontamination.contained(docs.limit(0), items(spark)).collect() == []
     assert decontamination.contained(docs, items(spark).limit(0)).collect() == []
 
 
+def test_items_without_an_id_are_items_of_their_own(spark):
+    bench = spark.createDataFrame([(None, "a b c d e f g h"), (None, "q r s t u v w x"), (5, "a b c d e f g h")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so a b c d e f g h then q r s t u v w x"), (2, "q r s t u v w x"), (3, " ".join(["z"] * 300_000) + " a b c d e f g h")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id or 0, r.n_item, r.n_found) for r in decontamination.contained(docs, bench).collect()))
+    assert got == [(1, 0, 4, 4), (1, 0, 4, 4), (1, 5, 4, 4), (2, 0, 4, 4), (3, 0, 4, 4), (3, 5, 4, 4)]
+
+
 def test_conversation_edges(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, None, None), (1, None, "user", "x"), (None, 0, "user", "a"), (None, 1, "user", "b"), (3, 0, "user", "a"), (4, 0, "user", "z"), (4, 0, "user", "y")]
@@ -62,3 +69,5 @@ def test_conversation_edges(spark):
     got = {r.conv_id: (r.n_turns, r.chat) for r in conversations.render_maximal(df).collect()}
     assert got == {1: (2, "<|user|>\nx\n<||>\n\n"), None: (2, "<|user|>\na\n<|user|>\nb\n"), 4: (2, "<|user|>\ny\n<|user|>\nz\n")}
     assert conversations.render_maximal(spark.createDataFrame([], schema)).collect() == []
+    long = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000), (2, 0, "user", "x" * 3_000_000), (2, 1, "user", "y")], schema)
+    assert [(r.conv_id, len(r.chat)) for r in conversations.render_maximal(long).collect()] == [(2, 3_000_021)]

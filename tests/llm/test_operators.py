@@ -384,17 +384,46 @@ def test_raking_meets_its_targets():
     assert abs((p * tokens).sum() / tokens.sum() - 0.4) < 1e-6 and p.max() <= 1
 
 
-def test_mixing_both_ways_agree(spark, small, monkeypatch):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+def test_mixing_equals_plain_raking_and_meets_its_budget(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     targets = {"lang": {"en": 0.4, "de": 0.2}}
-    a = {r.doc_id: r for r in mixing.mix(docs, targets).collect()}
+    got = mixing.mix(docs, targets).collect()
+    cells = {}
+    for r in docs.collect():
+        n, t = len([w for w in BLANK.split(r.text or "") if w]), r.text or ""
+        kind = "tabular" if t.count("|") * 100 >= len(t) + 1 else "listing" if t.count("\n") * 50 >= len(t) + 1 else "short" if n < 100 else "long" if n >= 1000 else "prose"
+        cells[r.source, r.lang, kind] = cells.get((r.source, r.lang, kind), 0) + n
+    total, weight = sum(cells.values()), {}
+    sums = lambda w, d: {v: sum(x for c, x in w.items() if c[d] == v) for v in {c[d] for c in w}}
+    want = []
+    for d, name in enumerate(("source", "lang", "topic")):
+        seen = sums(cells, d)
+        free = [v for v in seen if v not in targets.get(name, {})]
+        raw = {v: targets[name].get(v, (1 - sum(targets[name].values())) / len(free)) for v in seen} if name in targets else {v: x**0.7 for v, x in seen.items()}
+        want.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    weight = {c: x / total for c, x in cells.items()}
+    for _ in range(200):
+        for d in range(3):
+            have = sums(weight, d)
+            weight = {c: x * want[d][c[d]] / have[c[d]] if have[c[d]] else x for c, x in weight.items()}
+    lo, hi = 0.0, 1e18
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(1, mid * weight[c] / x) * x for c, x in cells.items() if x) < 0.6 * total else (lo, mid)
+    for r in got:
+        c = r.source, r.lang, r.topic
+        assert abs(r.weight - weight[c]) < 1e-6 and abs(r.probability - (min(1, hi * weight[c] / cells[c]) if cells[c] else 1)) < 1e-5
+    kept = sum(r.n_tokens for r in got if r.sampled)
+    spread = sum(r.n_tokens**2 * r.probability * (1 - r.probability) for r in got) ** 0.5
+    assert abs(kept - 0.6 * total) < 4 * spread
+    for d, name in enumerate(("source", "lang", "topic")):  # realised marginals, within what the draw allows
+        for v in want[d]:
+            expected = sum(r.n_tokens * r.probability for r in got if r[name] == v)
+            spread = sum(r.n_tokens**2 * r.probability * (1 - r.probability) for r in got if r[name] == v) ** 0.5
+            assert abs(sum(r.n_tokens for r in got if r.sampled and r[name] == v) - expected) <= 4 * spread
     monkeypatch.setattr(mixing, "CELLS", 0)
-    monkeypatch.setattr(mixing, "shares", mixing.shares)
-    b = {r.doc_id: r for r in mixing.mix(docs).collect()}
-    assert set(a) == set(b) == {r.doc_id for r in docs.select("doc_id").collect()}
-    monkeypatch.undo()
-    c = {r.doc_id: r for r in mixing.mix(docs).collect()}
-    assert max(abs(b[i].probability - c[i].probability) for i in b) < 1e-3
+    other = {r.doc_id: r for r in mixing.mix(docs, targets).collect()}
+    assert all(abs(other[r.doc_id].probability - r.probability) < 1e-6 and other[r.doc_id].sampled == r.sampled for r in got)
 
 
 def test_mixing_both_ways_agree_on_partial_targets(spark, monkeypatch):
@@ -496,3 +525,70 @@ def test_scores_follow_from_marginals_by_plain_sums(spark):
         want = 1 / (1 + np.exp(-(model.slope * np.log(odds + toxicity.ODDS) + model.intercept)))
         assert abs(r.score - want) < 1e-5 and (r.score >= 0.7) == bool(r.doc_id % 2)
     assert [rows[r.doc_id][1][s.begin : s.end] for r in got for s in r.spans] == ["vile"] * 30
+
+
+def test_labellers_are_estimated_without_bounds():
+    rng = np.random.default_rng(15)
+    n, m = 20_000, 5
+    fault = np.where(rng.random(n) < 0.25, rng.integers(0, m, n), -1)  # each bad text has one labeller's fault
+    false, votes = np.array([0.004, 0.01, 0.02, 0.004, 0.03]), np.full((n, m), quality.GOOD)
+    votes[rng.random((n, m)) < 0.1] = quality.ABSTAIN
+    votes[(fault < 0)[:, None] & (rng.random((n, m)) < false)] = quality.BAD
+    votes[np.flatnonzero(fault >= 0), fault[fault >= 0]] = quality.BAD
+    votes[(fault >= 0)[:, None] & (rng.random((n, m)) < 0.15)] = quality.BAD
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, theta = quality.em(patterns, counts.astype(float))
+    assert auc((fault >= 0).astype(int), post[back.ravel()]) > 0.98
+    assert np.allclose(theta.sum(axis=2), 1) and (theta[:, 0, quality.BAD] < 0.06).all() and (theta[:, 1, quality.BAD] > 0.2).all()
+
+    # the same rounds in plain sums
+    fired = [j for j in range(m) if (patterns[:, j] == quality.BAD).any()]
+    table = [[list(quality.BEGIN_GOOD) for _ in range(m)]] + [[[0.0, 0.0, 1.0] if i == j else list(quality.BEGIN_OTHER) for i in range(m)] for j in fired]
+    begin = [[list(x) for x in c] for c in table]
+    share = [1 - quality.BEGIN_BAD] + [quality.BEGIN_BAD / len(fired)] * len(fired)
+    for _ in range(30):
+        weights = []
+        for p, c in zip(patterns.tolist(), counts.tolist()):
+            like = []
+            for k, t in enumerate(table):
+                x = share[k] if k == 0 or p[fired[k - 1]] == quality.BAD else 0.0
+                for i in range(m):
+                    x *= t[i][p[i]]
+                like.append(x)
+            weights.append([c * x / sum(like) for x in like])
+        plain = [1 - w[0] / sum(w) for w in weights]
+        share = [(sum(w[k] for w in weights) + 1) / (n + len(table)) for k in range(len(table))]
+        table = [[[sum(w[k] for w, p in zip(weights, patterns.tolist()) if p[i] == v) + begin[k][i][v] for v in range(3)] for i in range(m)] for k in range(len(table))]
+        table = [[[x / sum(row) for x in row] for row in c] for c in table]
+    assert np.allclose(quality.em(patterns, counts.astype(float), 30)[0], plain, atol=1e-9)
+
+
+def test_quality_scores_follow_from_shapes_by_plain_sums(spark):
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    w, b, _, _ = quality.train(docs)
+    got = {r.doc_id: r for r in quality.score(docs).collect()}
+    wide, base = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & wide
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & wide
+        return x ^ x >> 31
+
+    def code(word):
+        return mix((sum((c + 1) * pow(base, i, 2**64) for i, c in enumerate(word)) + len(word)) & wide)
+
+    def shape(c):
+        return 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else 57 if 48 <= c < 58 else c
+
+    for r in docs.limit(40).collect():
+        spans = [x.encode() for x in BLANK.split(r.text) if x]
+        shapes = [code([c for i, c in enumerate(map(shape, x)) if i == 0 or c != shape(x[i - 1])]) for x in spans]
+        low = [lower(x.decode()) for x in spans]
+        bag = shapes + [mix((q * 0xBF58476D1CE4E5B9 + p) & wide) for p, q in zip(shapes, shapes[1:])] + [mix(77) for p, q in zip(low, low[1:]) if p == q]
+        total = {}
+        for x in bag:
+            total[x >> 52] = total.get(x >> 52, 0) + 1
+        z = b + sum(w[i] * np.sqrt(c / max(1, len(spans))) for i, c in total.items())
+        assert abs(got[r.doc_id].quality - 1 / (1 + np.exp(z))) < 2e-6 and got[r.doc_id].keep == (z <= 0)
