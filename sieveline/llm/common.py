@@ -15,8 +15,8 @@ BLANK_RE = r"[\x20\x09-\x0D]+"
 REPO = str(Path(__file__).resolve().parents[2])
 
 
-#: Python workers give memory back to the system as soon as an array is freed, and one task keeps to one core.
-WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}
+#: Python workers give the memory of large arrays back to the system, and one task keeps to one core.
+WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "16777216", "MALLOC_TRIM_THRESHOLD_": "33554432", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def prepare(spark: SparkSession) -> None:
