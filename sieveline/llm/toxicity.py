@@ -33,7 +33,7 @@ from .common import Scratch, prepare, table
 
 U = np.uint64
 SAMPLE = 5000
-SEGMENTS, WORDS, UNITS = 8000, 64, 100_000
+SEGMENTS, WORDS, UNITS = 4000, 64, 100_000
 PREFIXES = (3, 4, 6)
 #: Size of the table, in bits, in which the features that have a weight are looked up.
 BITS = 22
@@ -385,9 +385,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     marks = marked_units(rows, n[1], n[0])
     cut = scratch.write(rows.mapInArrow(cutter(marks), "draw long, labelled boolean, features binary, labels binary"), "segments")
-    got = []
+    got, size = [], {r.labelled: r["count"] for r in cut.groupBy("labelled").count().collect()}
     for on in (True, False):
-        got += cut.where(F.col("labelled") == on).orderBy("draw", "features").limit(SEGMENTS // 2).collect()
+        share = min(1.0, 0.75 * SEGMENTS / max(1, size.get(on, 0)))  # so that few more than are taken go to the driver
+        some = cut.where((F.col("labelled") == on) & (F.col("draw") <= int(share * (2**63 - 1))))
+        got += some.orderBy("draw", "features").limit(SEGMENTS // 2).select("features", "labels").collect()
     feats = [np.frombuffer(r.features, U).reshape(len(PREFIXES) + 3, -1) for r in got]
     first = np.r_[0, np.cumsum([f.shape[1] for f in feats])].astype(np.int64)
     y = np.frombuffer(b"".join(bytes(r.labels) for r in got), np.uint8).astype(np.int64)
