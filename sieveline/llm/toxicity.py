@@ -388,7 +388,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     got, size = [], {r.labelled: r["count"] for r in cut.groupBy("labelled").count().collect()}
     for on in (True, False):
         share = min(1.0, 0.75 * SEGMENTS / max(1, size.get(on, 0)))  # so that few more than are taken go to the driver
-        some = cut.where((F.col("labelled") == on) & (F.col("draw") <= int(share * (2**63 - 1))))
+        some = cut.where((F.col("labelled") == on) & (F.col("draw") <= min(int(share * 2**63), 2**63 - 1)))
         got += some.orderBy("draw", "features").limit(SEGMENTS // 2).select("features", "labels").collect()
     feats = [np.frombuffer(r.features, U).reshape(len(PREFIXES) + 3, -1) for r in got]
     first = np.r_[0, np.cumsum([f.shape[1] for f in feats])].astype(np.int64)
