@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from .metrics import cells, summary
 
 N_BOOT, ALPHA = 1000, 0.05
+#: Units that one task numbers, about.
+PART = 1_000_000
 
 
 def draw_index(seed: int, boot: Column, j: Column, n: Column) -> Column:
@@ -22,10 +24,20 @@ def draw_index(seed: int, boot: Column, j: Column, n: Column) -> Column:
 
 
 def numbered(units: DataFrame, by: list[str]) -> DataFrame:
-    """(by, unit, i, n): units in order, from 0, and their number."""
-    u = units.select(*by, "unit").distinct()
+    """(by, unit, i, n): units, whole numbers, in order, from 0, and their number. Ranges of about PART units are numbered by
+    a task each and then moved up by the units of the ranges before, so no task orders all of them."""
+    u = units.select(*by, F.col("unit").cast("long").alias("unit")).distinct()
+    total = u.count()
+    parts = max(1, min(1000, -(-total // PART)))
+    edges = (u.agg(F.percentile_approx("unit", [i / parts for i in range(1, parts)]).alias("q")).first().q or []) if parts > 1 else []
+    u = u.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<bigint>"), lambda e: e <= F.col("unit"))))
+    counts = u.groupBy(*by, "_part").agg(F.count("*").alias("_k"))  # a row a group and range
     w = Window.partitionBy(*by)
-    return u.select(*by, "unit", (F.row_number().over(w.orderBy("unit")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    before = F.coalesce(F.sum("_k").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_part", before.alias("_before"), F.sum("_k").over(w).alias("n"))
+    nth = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("unit")) - 1
+    out = u.withColumn("i", nth).join(counts, [*by, "_part"])
+    return out.select(*by, "unit", (F.col("i") + F.col("_before")).alias("i"), "n")
 
 
 def draws(units: DataFrame, n_boot: int = N_BOOT, seed: int = 0, by: list[str] | None = None) -> DataFrame:
@@ -33,7 +45,7 @@ def draws(units: DataFrame, n_boot: int = N_BOOT, seed: int = 0, by: list[str] |
     by = by or []
     u = numbered(units, by)
     sizes = u.select(*by, "n").distinct()
-    drawn = sizes.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    drawn = sizes.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition("boot").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     drawn = drawn.select(*by, "boot", draw_index(seed, F.col("boot"), F.col("j"), F.col("n")).alias("i")).groupBy(*by, "boot", "i").agg(F.count("*").alias("w"))
     return drawn.join(u.drop("n"), [*by, "i"]).select(*by, "boot", "unit", "w")
 

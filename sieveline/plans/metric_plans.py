@@ -155,7 +155,20 @@ def temperature_grid(spark, d):
     return cal.grid_loss(st.predictions(spark, d), RUN, GRID).select(*RUN, "t", *r6("nll"))
 
 
-@query("fit1_temperature")
+def fitted(rows: str, name: str = "fit") -> str:
+    """name: (backbone, seed, temperature) by bisection of the loss's slope in 1 / T. Needs WITH RECURSIVE."""
+    mean = "list_sum(list_transform(z, lambda x: x * exp((x - list_max(z)) * mid))) / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) * mid)))"
+    return f"""
+{name}_b(backbone, seed, low, high, k) AS (
+  SELECT DISTINCT backbone, seed, CAST(0.1 AS DOUBLE), CAST(20 AS DOUBLE), 0 FROM {rows}
+  UNION ALL
+  SELECT backbone, seed, CASE WHEN g > 0 THEN low ELSE mid END, CASE WHEN g > 0 THEN mid ELSE high END, k + 1
+  FROM (SELECT b.backbone, b.seed, low, high, k, mid, avg({mean} - z[y + 1]) AS g
+        FROM (SELECT *, (low + high) / 2 AS mid FROM {name}_b WHERE k < 45) b JOIN {rows} r ON r.backbone = b.backbone AND r.seed = b.seed GROUP BY ALL)),
+{name} AS (SELECT backbone, seed, 2 / (low + high) AS temperature FROM {name}_b WHERE k = 45)"""
+
+
+@query("fit1_temperature", W.replace("WITH", "WITH RECURSIVE") + fitted("m") + " SELECT backbone, seed, round(temperature, 5) AS temperature FROM fit")
 def temperature(spark, d):
     return cal.fit_temperature(st.predictions(spark, d), RUN).select(*RUN, F.round("temperature", 5).alias("temperature"))
 

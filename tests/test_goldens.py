@@ -15,21 +15,21 @@ def predictions(spark, y, p):
     return spark.createDataFrame([(1, int(a), int(b)) for a, b in zip(y, p)], "g int, y int, p int")
 
 
-def test_macro_f1_counts_absent_classes(spark):
-    s = metrics.summary(metrics.cells(predictions(spark, [0, 0, 1, 1], [0, 0, 1, 1]), ["g"]), ["g"], 3).first()
-    assert s.macro_f1 == pytest.approx(2 / 3) and s.macro_f1_present == 1.0 and s.accuracy == 1.0 and s.n == 4
+def test_metrics_of_a_small_table(spark):
+    # class 0: 2 of 3 found, one more predicted; class 1: 1 of 2 found; class 2: nothing found; class 3: never seen
+    y, p = [0, 0, 0, 1, 1, 2], [0, 0, 1, 1, 0, 0]
+    s = metrics.summary(metrics.cells(predictions(spark, y, p), ["g"]), ["g"], 4).first()
+    f = [2 * 2 / (3 + 4), 2 * 1 / (2 + 2), 0, 0]
+    assert s.macro_f1 == pytest.approx(sum(f) / 4) and s.macro_f1_present == pytest.approx(sum(f) / 3) and s.accuracy == pytest.approx(3 / 6) and s.n == 6
+    c = {(r.y, r.p): r.n for r in metrics.confusion(predictions(spark, y, p), ["g"], 4).collect()}
+    assert len(c) == 16 and {k: n for k, n in c.items() if n} == {(0, 0): 2, (0, 1): 1, (1, 1): 1, (1, 0): 1, (2, 0): 1}
 
 
-def test_confusion(spark):
-    c = metrics.confusion(predictions(spark, [0, 0, 1, 2], [0, 1, 1, 2]), ["g"], 3)
-    assert [r.n for r in c.orderBy("y", "p").collect()] == [1, 1, 0, 0, 1, 0, 0, 0, 1]
-
-
-def test_ece(spark):
-    rows = [(1, 1.0, i % 2) for i in range(100)]
-    assert metrics.ece(spark.createDataFrame(rows, "g int, conf double, ok int"), ["g"]).first().ece == pytest.approx(0.5)
-    rows = [(1, 0.5 + 1e-9, i % 2) for i in range(100)]
-    assert metrics.ece(spark.createDataFrame(rows, "g int, conf double, ok int"), ["g"]).first().ece == pytest.approx(0, abs=1e-6)
+def test_calibration_error_is_the_weighted_distance_of_bins(spark):
+    # 3 rows about 0.2 of which one is right, 5 rows about 0.9 of which four are
+    rows = [(1, x, o) for x, o in ((0.18, 0), (0.19, 1), (0.2, 0), (0.88, 1), (0.89, 1), (0.9, 0), (0.91, 1), (0.92, 1))]
+    got = metrics.ece(spark.createDataFrame(rows, "g int, conf double, ok int"), ["g"]).first().ece
+    assert got == pytest.approx((abs(1 - 0.57) + abs(4 - 4.5)) / 8)
 
 
 def test_ece_bins_are_closed_on_the_right(spark):
@@ -42,47 +42,35 @@ def confident(spark, conf, ok):
     return spark.createDataFrame([(1, i, float(c), int(o)) for i, (c, o) in enumerate(zip(conf, ok))], "g int, pos int, conf double, ok int")
 
 
-def test_threshold(spark):
-    p = confident(spark, [0.99, 0.98, 0.97, 0.9, 0.8, 0.7], [1, 1, 1, 0, 1, 0])
-    assert calibration.threshold(p, ["g"], 1.0, 1).first().theta == 0.97
-    assert calibration.threshold(p, ["g"], 1.0, 4).first().theta is None
-    ties = confident(spark, [0.9, 0.9, 0.5, 0.5], [1, 0, 1, 1])
-    assert calibration.threshold(ties, ["g"], 0.99, 1).first().theta is None
-    assert calibration.threshold(ties, ["g"], 0.75, 1).first().theta == 0.5
-
+def test_thresholds_take_ties_whole(spark):
+    # accuracy from above: 1, 1, 2/3 (tie of two at .6, one right), 4/6, 4/7
+    p = confident(spark, [0.95, 0.85, 0.6, 0.6, 0.41, 0.4, 0.2], [1, 1, 0, 0, 1, 1, 0])
+    theta = lambda target, least: calibration.threshold(p, ["g"], target, least).first().theta
+    assert [theta(1.0, 1), theta(1.0, 3), theta(0.5, 4), theta(0.6, 5), theta(0.55, 7)] == [0.85, None, 0.2, 0.4, 0.2]
 
-def test_selective(spark):
-    p = confident(spark, [0.9, 0.8, 0.7, 0.6], [1, 1, 0, 1])
-    s = calibration.selective(p.withColumn("theta", F.lit(0.75)), ["g"]).first()
-    assert (s.coverage, s.selective_accuracy, s.error_capture) == (0.5, 1.0, 1.0)
-    none = calibration.selective(p.withColumn("theta", F.lit(0.95)), ["g"]).first()
-    assert none.coverage == 0 and none.selective_accuracy is None
-    assert calibration.accuracy_at_coverage(p, ["g"], [0.75]).first().acc_at_75 == pytest.approx(2 / 3)
 
+def test_acceptance_at_a_threshold(spark):
+    p = confident(spark, [0.99, 0.7, 0.7, 0.55, 0.3], [1, 0, 1, 0, 0])
+    s = calibration.selective(p.withColumn("theta", F.lit(0.7)), ["g"]).first()
+    assert s.coverage == pytest.approx(3 / 5) and s.selective_accuracy == pytest.approx(2 / 3) and s.error_capture == pytest.approx(2 / 3)
+    assert calibration.selective(p.withColumn("theta", F.lit(1.0)), ["g"]).first().selective_accuracy is None
+    at = calibration.accuracy_at_coverage(p, ["g"], [0.2, 0.5, 0.9]).first()  # 1, 2 (2.5 to even) and 4 (4.5 to even) rows
+    assert (at.acc_at_20, at.acc_at_50, at.acc_at_90) == (1.0, 0.5, 0.5)
 
-def toy(n=2000, k=5, scale=4.0):
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, k, n)
-    z = rng.normal(size=(n, k))
-    z[np.arange(n), y] += 1.5
-    return z * scale, y
 
+def test_temperature_has_no_slope_and_scales_with_the_logits(spark):
+    rows = []
+    for i in range(420):
+        y = i % 3
+        z = [math.sin(0.7 * i + 2 * c) + (1.1 if c == y else 0.0) for c in range(3)]
+        rows += [(1, y, z), (2, y, [2.5 * x for x in z]), (3, y, [1000 * x for x in z]), (4, 0, [1.0, 0.0, 0.0])]
+    got = {r.g: r.temperature for r in calibration.fit_temperature(spark.createDataFrame(rows, "g int, y int, z array<double>"), ["g"]).collect()}
+    assert got[2] == pytest.approx(2.5 * got[1], rel=1e-6) and got[3] == pytest.approx(10, rel=1e-6) and got[4] == pytest.approx(0.05, rel=1e-6)
 
-def test_temperature_follows_the_scale_and_the_grid(spark):
-    z, y = toy()
-    t4, t8 = calibration.golden_section(z, y), calibration.golden_section(2 * z, y)
-    assert t8 / t4 == pytest.approx(2, rel=1e-3)
-    df = spark.createDataFrame([(1, int(a), [float(x) for x in b]) for a, b in zip(y, z)], "g int, y int, z array<double>")
-    assert calibration.fit_temperature(df, ["g"]).first().temperature == pytest.approx(t4, rel=1e-4)
-    assert calibration.fit_by_grid(df, ["g"]).first().temperature == pytest.approx(t4, rel=1e-2)
-
+    def loss(t):
+        return sum(math.log(sum(math.exp(x / t) for x in z)) - z[y] / t for g, y, z in rows if g == 1)
 
-def test_grid_finds_the_temperature_of_golden_section(spark):
-    rng = np.random.default_rng(3)
-    z, y = rng.normal(size=(300, 4)) * 2, rng.integers(0, 4, 300)
-    z[np.arange(300), y] += 2
-    df = spark.createDataFrame([(1, int(a), [float(x) for x in b]) for a, b in zip(y, z)], "g int, y int, z array<double>")
-    assert calibration.fit_by_grid(df, ["g"]).first().temperature == pytest.approx(calibration.golden_section(z, y), rel=2e-6)
+    assert loss(got[1]) < min(loss(got[1] * 1.001), loss(got[1] / 1.001))
 
 
 def test_early_stopping(spark):
@@ -143,19 +131,24 @@ def test_hash_codes(spark):
     assert np.allclose(r.k, (m @ gray @ m.T).ravel()[1:])
 
 
-def test_cluster_intervals_are_wider_on_copies(spark):
-    rng = np.random.default_rng(2)
-    rows = []
-    for g in range(60):
-        y, p = int(rng.integers(3)), int(rng.integers(3))
-        p = y if rng.random() < 0.7 else p
-        rows += [(1, g * 10 + j, g, y, p) for j in range(10)]
+def test_intervals_over_clusters_of_equal_rows_are_wider(spark):
+    # 40 clusters of 6 rows that are all right or all wrong
+    rows = [(1, 6 * c + j, c, 0, int(c % 4 == 0)) for c in range(40) for j in range(6)]
     df = spark.createDataFrame(rows, "g int, id long, grp long, y int, p int")
     width = {}
     for unit in ("id", "grp"):
-        reps = bootstrap.replicates(df.withColumn("unit", F.col(unit)), ["g"], 3, 200, 0)
-        again = bootstrap.replicates(df.withColumn("unit", F.col(unit)), ["g"], 3, 200, 0)
-        r, s = (bootstrap.interval(x, ["g"], ["accuracy"]).first() for x in (reps, again))
-        assert r == s
+        r, again = (bootstrap.interval(bootstrap.replicates(df.withColumn("unit", F.col(unit)), ["g"], 2, 150, 5), ["g"], ["accuracy"]).first() for _ in range(2))
+        assert r == again and r.accuracy_lo < 0.75 < r.accuracy_hi
         width[unit] = r.accuracy_hi - r.accuracy_lo
-    assert width["grp"] > 1.8 * width["id"]
+    assert width["grp"] > 1.7 * width["id"]
+
+
+def test_units_are_numbered_alike_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 2, 7 * i % 101) for i in range(300)], "s int, unit long")
+    for by in ([], ["s"]):
+        whole = sorted(map(tuple, bootstrap.numbered(df, by).collect()))
+        monkeypatch.setattr(bootstrap, "PART", 10)
+        assert sorted(map(tuple, bootstrap.numbered(df, by).collect())) == whole
+        monkeypatch.undo()
+        units = sorted({r[-3] for r in whole})
+        assert by or [r[1] for r in whole] == list(range(len(units)))
