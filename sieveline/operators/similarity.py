@@ -1,15 +1,27 @@
-"""Similarity joins: exact cosine pairs by blocks of vectors, exact Hamming pairs by bands of bits."""
+"""Similarity joins: exact cosine pairs by blocks of vectors, exact Hamming pairs by bands of bits or blocks of codes.
+
+An exact join without an index has to look at every pair once. Rows are dealt into groups, every two groups (and each with
+itself) meet in one cell, and a cell goes through its pairs block against block, in matrices of bounded size. So a row is
+sent to as many cells as there are groups, about the square root of twice the number of tasks. What comes out of a cell is
+its pairs above a floor, or its statistics: a histogram and each row's best.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming
 
 BLOCK, PAIR_CAP, STEP = 1000, 30_000_000, 0.002
+#: Rows of a group that a task holds at most, about.
+GROUP = 100_000
+#: Hamming pairs of codes come by bands as long as a band has so many bits, else by blocks.
+LEAST_BAND = 8
 
 
 def centre(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -21,40 +33,95 @@ def centre(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     return out.withColumn("_norm", norm).withColumn(vec, F.transform(vec, lambda x: x / (F.col("_norm") + 1e-12))).drop("_norm")
 
 
-def cosine_pairs(vectors: DataFrame, floor: float, id_col: str = "id", vec: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(a, b, v) for all a < b whose dot product is floor at least.
-
-    An exact join has to look at every pair once. Blocks of vectors, not vectors, are paired: a block meets each later
-    block as one row, and a matrix product decides block * block pairs at once in bounded memory.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x"))
-    n = rows.count()
-    parts = max(1, -(-n // block))
-    packed = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("blk").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("x")).alias("m"))
-    left = packed.select(F.col("blk").alias("bi"), F.explode(F.sequence(F.col("blk"), F.lit(parts - 1))).alias("bj"), F.col("ids").alias("ia"), F.col("m").alias("ma"))
-    right = packed.select(F.col("blk").alias("bj"), F.col("ids").alias("ib"), F.col("m").alias("mb"))
-    width = max(1, min(parts * (parts + 1) // 2, 4 * spark.sparkContext.defaultParallelism))
-    both = left.join(right, "bj").repartition(width, "bi", "bj")
-
-    def product(batches):
-        for pdf in batches:
-            for bi, bj, ia, ma, ib, mb in pdf[["bi", "bj", "ia", "ma", "ib", "mb"]].itertuples(index=False):
-                a, b = (np.asarray(m).reshape(len(i), -1) for m, i in ((ma, ia), (mb, ib)))
-                v = a @ b.T
-                if bi == bj:
-                    v[np.tril_indices(len(ia))] = -2
-                i, j = np.nonzero(v >= floor)
-                p, q = np.asarray(ia)[i], np.asarray(ib)[j]
-                yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "v": v[i, j]})
-
-    return both.mapInPandas(product, "a long, b long, v double")
-
-
-def histogram(pairs: DataFrame, step: float = STEP) -> DataFrame:
-    """(bin, n) over [-1, 1]."""
-    bins = round(2 / step)
-    return pairs.groupBy(F.least(F.lit(bins), F.greatest(F.lit(0), F.floor((F.col("v") + 1) / step))).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+def cells(rows: DataFrame, handle: Callable, schema: str) -> DataFrame:
+    """What handle(ids, payloads, ids, payloads, same) yields as lists of columns for blocks of the rows (id, x); same tells
+    that both blocks are one, whose pairs it then has to see once."""
+    spark = rows.sparkSession
+    n, tasks = rows.count(), 2 * spark.sparkContext.defaultParallelism
+    groups = max(1, -(-n // GROUP), min(round((2 * tasks) ** 0.5), -(-n // BLOCK)))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = dealt.select(F.least("g", "o").alias("lo"), F.greatest("g", "o").alias("hi"), "g", "id", "x")
+    dealt = dealt.repartition(max(1, min(groups * (groups + 1) // 2, 4 * tasks)), "lo", "hi").sortWithinPartitions("lo", "hi", "g", "id")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def blocks(batches: list[pa.RecordBatch]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        g, ids, x = t["g"].to_numpy(), t["id"].to_numpy(), t["x"].combine_chunks()
+        flat = x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
+        out: dict[int, list] = {}
+        for i in np.unique(g):
+            at = np.flatnonzero(g == i)
+            out[int(i)] = [(ids[at[j : j + BLOCK]], flat[at[j : j + BLOCK]]) for j in range(0, len(at), BLOCK)]
+        return out
+
+    def one(cell: tuple, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = blocks(batches)
+        left, right = got.get(cell[0], []), got.get(cell[1], [])
+        for i, (ia, xa) in enumerate(left):
+            for ib, xb in right[i if cell[0] == cell[1] else 0 :]:
+                for columns in handle(ia, xa, ib, xb, ia is ib):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+    def run(batches):
+        name, held = None, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            lo, hi = (batch.column(i).to_numpy() for i in (0, 1))
+            at = np.r_[0, np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1, len(batch)]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                if held and (lo[i], hi[i]) != name:
+                    yield from one(name, held)
+                    held = []
+                name = (lo[i], hi[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from one(name, held)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _vectors(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x"))
+
+
+def cosine_pairs(vectors: DataFrame, floor: float, id_col: str = "id", vec: str = "embedding") -> DataFrame:
+    """(a, b, v) for all a < b whose dot product is floor at least."""
+
+    def handle(ia, xa, ib, xb, same):
+        v = xa @ xb.T
+        if same:
+            v[np.tril_indices(len(ia))] = -2
+        i, j = np.nonzero(v >= floor)
+        yield np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j]), v[i, j]
+
+    return cells(_vectors(vectors, id_col, vec), handle, "a long, b long, v double")
+
+
+def cosine_statistics(vectors: DataFrame, step: float = STEP, id_col: str = "id", vec: str = "embedding") -> DataFrame:
+    """(bin, n, id, v): counts of all pairs by bin of their similarity over [-1, 1], and every row's highest similarity, both
+    by block. histogram() and nearest() add them up; pairs never leave a block."""
+    top = round(2 / step)
+
+    def handle(ia, xa, ib, xb, same):
+        v = xa @ xb.T
+        upper = np.triu(np.ones(v.shape, bool), 1) if same else np.ones(v.shape, bool)
+        n = np.bincount(np.clip(np.floor((v[upper] + 1) / step).astype(np.int64), 0, top), minlength=top + 1)
+        bins = np.flatnonzero(n)
+        if same:
+            np.fill_diagonal(v, -np.inf)
+        ids, best = (ia, v.max(axis=1)) if same else (np.r_[ia, ib], np.r_[v.max(axis=1), v.max(axis=0)])
+        some = np.isfinite(best)
+        none, m = pa.nulls(len(bins), pa.int64()), int(some.sum())
+        yield pa.array(bins.astype(np.int64)), pa.array(n[bins].astype(np.int64)), none, none.cast(pa.float64())
+        yield pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(ids[some]), pa.array(best[some])
+
+    return cells(_vectors(vectors, id_col, vec), handle, "bin long, n long, id long, v double")
+
+
+def histogram(statistics: DataFrame) -> DataFrame:
+    """(bin, n) over all pairs."""
+    return statistics.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def effective_floor(hist: DataFrame, floor: float, cap: int = PAIR_CAP, step: float = STEP) -> float:
@@ -65,35 +132,55 @@ def effective_floor(hist: DataFrame, floor: float, cap: int = PAIR_CAP, step: fl
     return floor
 
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """(id, v): every item's highest similarity."""
-    both = pairs.select(F.col("a").alias("id"), "v").unionByName(pairs.select(F.col("b").alias("id"), "v"))
-    return both.groupBy("id").agg(F.max("v").alias("v"))
+def nearest(statistics: DataFrame) -> DataFrame:
+    """(id, v): every item's highest similarity to another."""
+    return statistics.where("id IS NOT NULL").groupBy("id").agg(F.max("v").alias("v"))
 
 
 def hamming_pairs(codes: DataFrame, limit: int, id_col: str = "id", code: str = "code", bits: int = 64) -> DataFrame:
     """(a, b, dist) for all a < b of a distance of limit at most.
 
-    Codes that differ in no more than limit bits agree on one of limit + 1 bands of bits, so bands are joined by
-    equality and the distance is checked; no pair is missed. A pair that agrees on several bands counts at the first.
+    Codes that differ in no more than limit bits agree on one of limit + 1 bands of bits, so bands are joined by equality and
+    the distance is checked; no pair is missed. A pair that agrees on several bands counts at the first. Bands of few bits
+    tell nothing apart: then all pairs are looked at, in blocks.
     """
     bands = limit + 1
+    if bits // bands < LEAST_BAND:
+        return hamming_blocks(codes, limit, id_col, code)
     cuts = [round(i * bits / bands) for i in range(bands + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(code, cuts[i]).bitwiseAND(F.lit(-1 if cuts[i + 1] - cuts[i] == 64 else (1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits")) for i in range(bands)])
+    mask = [-1 if q - p == 64 else (1 << (q - p)) - 1 for p, q in zip(cuts, cuts[1:])]
+    part = lambda x, i: F.shiftrightunsigned(x, cuts[i]).bitwiseAND(F.lit(mask[i]))
+    band = F.array(*[F.struct(F.lit(i).alias("band"), part(F.col(code), i).alias("bits")) for i in range(bands)])
     keyed = codes.select(F.col(id_col).alias("id"), F.col(code).alias("code"), F.explode(band).alias("k")).select("id", "code", "k.band", "k.bits")
     a, b = keyed.alias("a"), keyed.alias("b")
     hit = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id")))
     dist = hamming(F.col("a.code"), F.col("b.code"))
-    return hit.where(dist <= limit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dist.cast("int").alias("dist")).distinct()
+    first = F.coalesce(*[F.when(part(F.col("a.code"), i) == part(F.col("b.code"), i), F.lit(i)) for i in range(bands)])
+    return hit.where((dist <= limit) & (first == F.col("a.band"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dist.cast("int").alias("dist"))
+
+
+def hamming_blocks(codes: DataFrame, limit: int, id_col: str = "id", code: str = "code") -> DataFrame:
+    def handle(ia, xa, ib, xb, same):
+        d = np.bitwise_count(xa.view(np.uint64)[:, None] ^ xb.view(np.uint64)[None, :]).astype(np.int32)
+        if same:
+            d[np.tril_indices(len(ia))] = 65
+        i, j = np.nonzero(d <= limit)
+        yield np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j]), d[i, j]
+
+    return cells(codes.select(F.col(id_col).cast("long").alias("id"), F.col(code).cast("long").alias("x")), handle, "a long, b long, dist int")
 
 
 def distance_histogram(codes: DataFrame, id_col: str = "id", code: str = "code") -> DataFrame:
-    """(dist, n) over all pairs, from counts by distinct code."""
-    c = codes.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"))
-    a, b = c.alias("a"), c.alias("b")
-    across = a.join(b, F.col("a.code") < F.col("b.code")).select(hamming(F.col("a.code"), F.col("b.code")).cast("int").alias("dist"), (F.col("a.n") * F.col("b.n")).alias("n"))
-    within = c.where("n > 1").select(F.lit(0).alias("dist"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n"))
-    return across.unionByName(within).groupBy("dist").agg(F.sum("n").alias("n"))
+    """(dist, n) over all pairs, from counts by block."""
+
+    def handle(ia, xa, ib, xb, same):
+        d = np.bitwise_count(xa.view(np.uint64)[:, None] ^ xb.view(np.uint64)[None, :])
+        n = np.bincount(d[np.triu_indices(len(ia), 1)] if same else d.ravel(), minlength=65)
+        dist = np.flatnonzero(n)
+        yield dist.astype(np.int32), n[dist].astype(np.int64)
+
+    rows = codes.select(F.col(id_col).cast("long").alias("id"), F.col(code).cast("long").alias("x"))
+    return cells(rows, handle, "dist int, n long").groupBy("dist").agg(F.sum("n").alias("n"))
 
 
 def storable_limit(hist: DataFrame, cap: int = 3_000_000, top: int = 8) -> int:

@@ -31,6 +31,10 @@ def _pairs(spark, d, floor=FLOOR):
     return sim.cosine_pairs(sim.centre(st.images(spark, d)), floor)
 
 
+def _statistics(spark, d, step=0.05):
+    return sim.cosine_statistics(sim.centre(st.images(spark, d)), step)
+
+
 def _clusters(spark, d, tau):
     return gr.connected(st.images(spark, d), _pairs(spark, d, tau)).join(st.images(spark, d).select("id", "y"), "id")
 
@@ -45,27 +49,26 @@ def cosine_pairs(spark, d):
     return _pairs(spark, d).select("a", "b", F.round("v", 6).alias("v"))
 
 
-@query("agg12_similarity_histogram", W + ", h AS (SELECT CAST(floor((v + 1) / 0.05) AS BIGINT) AS bin FROM pairs) SELECT bin, count(*) AS n FROM h GROUP BY bin")
+@query("agg12_similarity_histogram", W + ", h AS (SELECT CAST(floor((v + 1) / 0.05) AS BIGINT) AS bin FROM allpairs) SELECT bin, count(*) AS n FROM h GROUP BY bin")
 def similarity_histogram(spark, d):
-    return sim.histogram(_pairs(spark, d), 0.05)
+    return sim.histogram(_statistics(spark, d))
 
 
 @query("set2_effective_floor", W + ", f AS (SELECT unnest([0.35, 0.4, 0.45, 0.5]) AS t) SELECT CAST(min(t) AS DOUBLE) AS floor FROM f WHERE (SELECT count(*) FROM pairs WHERE v >= t) <= 100")
 def effective_floor(spark, d):
-    pairs = _pairs(spark, d)
-    floor = sim.effective_floor(sim.histogram(pairs, 0.05), FLOOR, 100, 0.05)
+    floor = sim.effective_floor(sim.histogram(_statistics(spark, d)), FLOOR, 100, 0.05)
     return spark.createDataFrame([(round(floor, 6),)], "floor double")
 
 
-@query("agg13_nearest", W + ", u AS (SELECT a AS id, v FROM pairs UNION ALL SELECT b, v FROM pairs) SELECT id, round(max(v), 6) AS v FROM u GROUP BY id")
+@query("agg13_nearest", W + ", u AS (SELECT a AS id, v FROM allpairs UNION ALL SELECT b, v FROM allpairs) SELECT id, round(max(v), 6) AS v FROM u GROUP BY id")
 def nearest(spark, d):
-    return sim.nearest(_pairs(spark, d)).select("id", F.round("v", 6).alias("v"))
+    return sim.nearest(_statistics(spark, d)).select("id", F.round("v", 6).alias("v"))
 
 
-@query("q15_nearest_percentiles", W + ", u AS (SELECT a AS id, v FROM pairs UNION ALL SELECT b, v FROM pairs), n AS (SELECT max(v) AS v FROM u GROUP BY id), p AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS p) SELECT CAST(p AS DOUBLE) AS p, round(CASE p WHEN 0.01 THEN (SELECT quantile_cont(v, 0.01) FROM n) WHEN 0.05 THEN (SELECT quantile_cont(v, 0.05) FROM n) WHEN 0.25 THEN (SELECT quantile_cont(v, 0.25) FROM n) WHEN 0.5 THEN (SELECT quantile_cont(v, 0.5) FROM n) WHEN 0.75 THEN (SELECT quantile_cont(v, 0.75) FROM n) WHEN 0.95 THEN (SELECT quantile_cont(v, 0.95) FROM n) ELSE (SELECT quantile_cont(v, 0.99) FROM n) END, 6) AS v FROM p")
+@query("q15_nearest_percentiles", W + ", u AS (SELECT a AS id, v FROM allpairs UNION ALL SELECT b, v FROM allpairs), n AS (SELECT max(v) AS v FROM u GROUP BY id), p AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS p) SELECT CAST(p AS DOUBLE) AS p, round(CASE p WHEN 0.01 THEN (SELECT quantile_cont(v, 0.01) FROM n) WHEN 0.05 THEN (SELECT quantile_cont(v, 0.05) FROM n) WHEN 0.25 THEN (SELECT quantile_cont(v, 0.25) FROM n) WHEN 0.5 THEN (SELECT quantile_cont(v, 0.5) FROM n) WHEN 0.75 THEN (SELECT quantile_cont(v, 0.75) FROM n) WHEN 0.95 THEN (SELECT quantile_cont(v, 0.95) FROM n) ELSE (SELECT quantile_cont(v, 0.99) FROM n) END, 6) AS v FROM p")
 def nearest_percentiles(spark, d):
     ps = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    got = sim.nearest(_pairs(spark, d)).agg(F.percentile("v", F.array(*map(F.lit, ps))).alias("v"))
+    got = sim.nearest(_statistics(spark, d)).agg(F.percentile("v", F.array(*map(F.lit, ps))).alias("v"))
     return got.select(F.posexplode("v").alias("i", "v")).select(F.get(F.array(*map(F.lit, ps)), F.col("i")).alias("p"), F.round("v", 6).alias("v"))
 
 
@@ -88,10 +91,32 @@ def grid(spark, d):
     return g.withColumn("p99", F.round("p99", 6))
 
 
-@query("agg11_largest_clusters", WR + "," + sql.components(0.4) + " SELECT cluster, size, classes FROM (SELECT cluster, count(*) AS size, count(DISTINCT label) AS classes FROM cl JOIN embeddings ON vec_id = id GROUP BY cluster) ORDER BY size DESC, cluster LIMIT 8")
+TOP = "z AS (SELECT cluster, count(*) AS size FROM cl GROUP BY cluster ORDER BY size DESC, cluster LIMIT 8)"
+CONTRAST = "pr AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS y, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), st AS (SELECT id, y, list_avg(x) AS brightness, list_stddev_pop(x) AS contrast FROM pr)"
+
+
+@query("agg11_largest_clusters", WR + "," + sql.components(0.4) + ", " + TOP + ", " + CONTRAST + ", md AS (SELECT quantile_cont(contrast, 0.5) AS median FROM st), cc AS (SELECT cluster, string_agg(y || ':' || n, ' ' ORDER BY n DESC, y) AS class_counts, count(*) AS classes FROM (SELECT cluster, y, count(*) AS n FROM cl JOIN st USING (id) GROUP BY ALL) GROUP BY cluster) SELECT z.cluster, z.size, classes, class_counts, round(avg(contrast), 6) AS contrast, round(avg(brightness), 6) AS brightness, round(max(median), 6) AS median_contrast FROM z JOIN cl ON cl.cluster = z.cluster JOIN st ON st.id = cl.id JOIN cc ON cc.cluster = z.cluster, md GROUP BY z.cluster, z.size, classes, class_counts")
 def largest_clusters(spark, d):
-    c = _clusters(spark, d, 0.4)
-    return c.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("y").alias("classes")).orderBy(F.desc("size"), "cluster").limit(8)
+    """The eight largest clusters: classes, contrast and brightness, beside the median contrast of all images."""
+    x = F.transform("embedding", lambda e: e.cast("double"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e) / F.size(a)
+    looks = st.images(spark, d).select("id", x.alias("x")).withColumn("brightness", mean(F.col("x")))
+    looks = looks.withColumn("contrast", F.sqrt(mean(F.transform("x", lambda e: (e - F.col("brightness")) ** 2)))).drop("x")
+    c = gr.checkpointed(_clusters(spark, d, 0.4))
+    top = c.groupBy("cluster").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cluster").limit(8)
+    rows = c.join(F.broadcast(top), "cluster").join(looks, "id")
+    counts = rows.groupBy("cluster", "y").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.count("*").alias("classes"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "y"))).alias("cc"))
+    text = F.array_join(F.transform("cc", lambda s: F.concat_ws(":", s["y"].cast("string"), (-s["n"]).cast("string"))), " ")
+    out = rows.groupBy("cluster", "size").agg(F.round(F.avg("contrast"), 6).alias("contrast"), F.round(F.avg("brightness"), 6).alias("brightness"))
+    median = looks.agg(F.round(F.percentile("contrast", F.lit(0.5)), 6).alias("median_contrast"))
+    return out.join(counts.select("cluster", "classes", text.alias("class_counts")), "cluster").crossJoin(median)
+
+
+@query("agg11_membership_by_class", WR + "," + sql.components(0.4) + ", " + TOP + " SELECT CAST(label AS INTEGER) AS y, count(*) AS n, round(100.0 * count(z.cluster) / count(*), 6) AS in_largest_pct FROM embeddings JOIN cl ON cl.id = vec_id LEFT JOIN z ON z.cluster = cl.cluster GROUP BY label")
+def membership_by_class(spark, d):
+    c = gr.checkpointed(_clusters(spark, d, 0.4))
+    top = c.groupBy("cluster").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cluster").limit(8).select("cluster", F.lit(1).alias("hit"))
+    return c.join(F.broadcast(top), "cluster", "left").groupBy("y").agg(F.count("*").alias("n"), F.round(100.0 * F.count("hit") / F.count("*"), 6).alias("in_largest_pct"))
 
 
 @query("jn2_hamming_pairs", f"WITH {sql.CODES} SELECT a, b, dist FROM hp WHERE dist <= 18")
@@ -131,13 +156,29 @@ def _with_corr(spark, d, pairs):
     return both.select("a", "b", "dist", "ya", "yb", (dot(F.col("xa"), F.col("xb")) / (F.col("na") * F.col("nb"))).alias("r"))
 
 
-@query("agg9_flt6_near_summary", NEAR + ", t AS (SELECT unnest([14, 16, 18]) AS t), e AS (SELECT t, a, b, l.label = r2.label AS same FROM corr JOIN embeddings l ON l.vec_id = a JOIN embeddings r2 ON r2.vec_id = b, t WHERE dist <= t AND r >= 0.3) SELECT CAST(t AS INTEGER) AS t, count(*) AS pairs, count(*) FILTER (WHERE same) AS same_class, (SELECT count(DISTINCT i) FROM (SELECT t AS tt, a AS i FROM e UNION ALL SELECT t, b FROM e) WHERE tt = e.t) AS images FROM e GROUP BY t")
+def _near_sql():
+    """Clusters of the near copies at each limit, by smallest ids that links lead to."""
+    e = NEAR.replace("WITH ", "WITH RECURSIVE ", 1) + ", t AS (SELECT unnest([14, 16, 18]) AS t), e AS (SELECT t, a, b, l.label AS la, r2.label AS lb FROM corr JOIN embeddings l ON l.vec_id = a JOIN embeddings r2 ON r2.vec_id = b, t WHERE dist <= t AND r >= 0.3)"
+    u = ", u AS (SELECT t, a, b FROM e UNION ALL SELECT t, b, a FROM e), r(t, id, root) AS (SELECT DISTINCT t, a, a FROM u UNION SELECT u.t, u.b, r.root FROM r JOIN u ON r.id = u.a AND r.t = u.t), k AS (SELECT t, id, min(root) AS cluster FROM r GROUP BY t, id)"
+    z = ", z AS (SELECT t, cluster, count(*) AS size, count(DISTINCT label) AS classes FROM k JOIN embeddings ON vec_id = id GROUP BY t, cluster), zs AS (SELECT t, CAST(sum(size) AS BIGINT) AS images, count(*) AS clusters, max(size) AS largest, count(*) FILTER (WHERE classes > 1) AS spanning FROM z GROUP BY t)"
+    return e + u + z + ", es AS (SELECT t, count(*) AS pairs, count(*) FILTER (WHERE la = lb) AS same_class, count(*) FILTER (WHERE la <> lb) AS cross_class FROM e GROUP BY t) SELECT CAST(t AS INTEGER) AS t, pairs, same_class, cross_class, images, round(100.0 * images / (SELECT count(*) FROM embeddings), 6) AS images_pct, clusters, largest, spanning FROM es JOIN zs USING (t)"
+
+
+@query("agg9_flt6_near_summary", _near_sql())
 def near_summary(spark, d):
-    c = _with_corr(spark, d, sim.hamming_pairs(st.codes(spark, d), 18)).where("r >= 0.3")
-    e = c.withColumn("t", F.explode(F.array(*map(F.lit, (14, 16, 18))))).where("dist <= t")
-    n = e.groupBy("t").agg(F.count("*").alias("pairs"), F.count_if(F.col("ya") == F.col("yb")).alias("same_class"))
-    ids = e.select("t", F.explode(F.array("a", "b")).alias("i")).groupBy("t").agg(F.count_distinct("i").alias("images"))
-    return n.join(ids, "t")
+    """At each limit: near copies of one class and of two, distinct images, and the clusters they form."""
+    images = st.images(spark, d).select("id", "y")
+    total = images.count()
+    c = gr.checkpointed(_with_corr(spark, d, sim.hamming_pairs(st.codes(spark, d), 18)).where("r >= 0.3"))
+    out = None
+    for t in (14, 16, 18):
+        e = c.where(F.col("dist") <= t)
+        n = e.agg(F.count("*").alias("pairs"), F.count_if(F.col("ya") == F.col("yb")).alias("same_class"), F.count_if(F.col("ya") != F.col("yb")).alias("cross_class"))
+        size = gr.connected(images, e.select("a", "b")).join(images, "id").groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("y").alias("classes")).where("size > 1")
+        z = size.agg(F.sum("size").alias("images"), F.round(100.0 * F.sum("size") / total, 6).alias("images_pct"), F.count("*").alias("clusters"), F.max("size").alias("largest"), F.count_if(F.col("classes") > 1).alias("spanning"))
+        one = n.crossJoin(z).select(F.lit(t).alias("t"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("gr4_stratified", f"WITH {sql.STRATIFIED} SELECT id, y, split FROM strat")
@@ -226,9 +267,9 @@ def audit_summary(spark, d):
     return f.agg(F.count("*").alias("n"), F.count_distinct("cls").alias("classes")).crossJoin(t.select("groups", "extra", "cross_class"))
 
 
-@query("win9_pairs_above", W + ", h AS (SELECT CAST(floor((v + 1) / 0.05) AS BIGINT) AS bin, count(*) AS n FROM pairs GROUP BY 1) SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS above FROM h")
+@query("win9_pairs_above", W + ", h AS (SELECT CAST(floor((v + 1) / 0.05) AS BIGINT) AS bin, count(*) AS n FROM allpairs GROUP BY 1) SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS above FROM h")
 def pairs_above(spark, d):
-    return sim.pairs_above(sim.histogram(_pairs(spark, d), 0.05))
+    return sim.pairs_above(sim.histogram(_statistics(spark, d)))
 
 
 @query("jn4_aligned", "SELECT vec_id AS id, l.toxic AS y FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id")

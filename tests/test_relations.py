@@ -70,19 +70,30 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(21)) and got[31] == got[35] == 30 and got[25] == 25 and len(got) == 40
 
 
-def test_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("block,group", [(1000, 100_000), (7, 20)])
+def test_pairs_equal_brute_force(spark, monkeypatch, block, group):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "GROUP", group)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
     want = {(i, j) for i, j in itertools.combinations(range(60), 2) if x[i] @ x[j] >= 0.4}
-    assert {(r.a, r.b) for r in similarity.cosine_pairs(df, 0.4, block=7).collect()} == want
+    assert {(r.a, r.b) for r in similarity.cosine_pairs(df, 0.4).collect()} == want
+    stats = similarity.cosine_statistics(df, 0.1).cache()
+    best = {r.id: r.v for r in similarity.nearest(stats).collect()}
+    assert len(best) == 60 and all(abs(best[i] - max(x[i] @ x[j] for j in range(60) if j != i)) < 1e-9 for i in range(60))
+    bins = {}
+    for i, j in itertools.combinations(range(60), 2):
+        k = int(np.floor((x[i] @ x[j] + 1) / 0.1))
+        bins[k] = bins.get(k, 0) + 1
+    assert {r.bin: r.n for r in similarity.histogram(stats).collect()} == bins
     codes = rng.integers(-(2**63), 2**63, 50).tolist()
     codes += [c ^ (1 << int(b)) for c, b in zip(codes[:10], rng.integers(0, 63, 10))] + codes[:3]
     cd = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
     dist = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
     all_pairs = {(i, j): dist(codes[i], codes[j]) for i, j in itertools.combinations(range(len(codes)), 2)}
-    for limit in (0, 2, 8):
+    for limit in (0, 2, 7, 8, 30):
         got = {(r.a, r.b): r.dist for r in similarity.hamming_pairs(cd, limit).collect()}
         assert got == {k: v for k, v in all_pairs.items() if v <= limit}
     hist = {r.dist: r.n for r in similarity.distance_histogram(cd).collect()}
