@@ -173,17 +173,56 @@ def temperature(spark, d):
     return cal.fit_temperature(st.predictions(spark, d), RUN).select(*RUN, F.round("temperature", 5).alias("temperature"))
 
 
-@query("fit2_3_calibration_record")
-def calibration_record(spark, d):
-    """Temperature and threshold fitted on the larger part of a stratified split and applied to the rest."""
+EDGES = " + ".join(f"CASE WHEN c > CAST({i} AS DOUBLE) / 15 THEN 1 ELSE 0 END" for i in range(1, 15))
+
+
+def _measured(part: str) -> str:
+    """Calibration error and mean loss of a part before (c0) and after (c1) scaling, by run."""
+    out = []
+    for k in (0, 1):
+        out.append(f"{part}b{k} AS (SELECT backbone, seed, {EDGES} AS bin, count(*) AS n, sum(ok) AS hit, sum(c) AS total FROM (SELECT *, c{k} AS c FROM {part}) GROUP BY ALL), {part}e{k} AS (SELECT backbone, seed, sum(abs(hit - total)) / sum(n) AS ece FROM {part}b{k} GROUP BY ALL)")
+    return ", ".join(out) + f", {part}m AS (SELECT x.backbone, x.seed, x.ece AS ece_before, z.ece AS ece_after, nll_before, nll_after FROM {part}e0 x JOIN {part}e1 z USING (backbone, seed) JOIN (SELECT backbone, seed, avg(l0) AS nll_before, avg(l1) AS nll_after FROM {part} GROUP BY ALL) USING (backbone, seed))"
+
+
+SCALED = "SELECT m.*, temperature, split, conf AS c0, 1.0 / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / temperature))) AS c1, ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) - z[y + 1] AS l0, ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / temperature)))) + (list_max(z) - z[y + 1]) / temperature AS l1 FROM m JOIN (SELECT id, split FROM strat) USING (id) JOIN fit USING (backbone, seed)"
+RECORD = (
+    f"WITH RECURSIVE {sql.STRATIFIED}, {sql.pred()}, va0 AS (SELECT m.* FROM m JOIN strat USING (id) WHERE split = 'train'), {fitted('va0')}, sc AS ({SCALED}), va AS (SELECT * FROM sc WHERE split = 'train'), te AS (SELECT * FROM sc WHERE split <> 'train'), {_measured('va')}, {_measured('te')}, "
+    "th AS (SELECT backbone, seed, min(CASE WHEN n >= 50 AND hit / n >= 0.95 THEN c1 END) AS theta FROM (SELECT backbone, seed, c1, count(*) OVER t AS n, sum(ok) OVER t AS hit FROM va WINDOW t AS (PARTITION BY backbone, seed ORDER BY c1 DESC)) GROUP BY ALL), "
+    "se AS (SELECT backbone, seed, avg(CASE WHEN c1 >= theta THEN 1.0 ELSE 0 END) AS coverage, avg(CASE WHEN c1 >= theta THEN ok END) AS selective_accuracy, avg(CASE WHEN ok = 0 THEN CASE WHEN c1 < theta THEN 1 ELSE 0 END END) AS error_capture FROM te JOIN th USING (backbone, seed) GROUP BY ALL), "
+    "w AS (SELECT backbone, seed, row_number() OVER o AS k, sum(ok) OVER (PARTITION BY backbone, seed ORDER BY c1 DESC, id ROWS UNBOUNDED PRECEDING) AS hits FROM te WINDOW o AS (PARTITION BY backbone, seed ORDER BY c1 DESC, id)), au AS (SELECT backbone, seed, avg(1 - hits / k) AS aurc FROM w GROUP BY ALL), "
+    "rec AS (SELECT backbone, seed, temperature, theta, v.ece_before AS val_ece_before, v.ece_after AS val_ece_after, v.nll_before AS val_nll_before, v.nll_after AS val_nll_after, e.ece_before, e.ece_after, e.nll_before, e.nll_after, coverage, selective_accuracy, error_capture, aurc "
+    "FROM vam v JOIN tem e USING (backbone, seed) JOIN th USING (backbone, seed) JOIN se USING (backbone, seed) JOIN au USING (backbone, seed) JOIN fit USING (backbone, seed))"
+)
+FITTED = ("temperature", "theta", "val_ece_before", "val_ece_after", "val_nll_before", "val_nll_after", "ece_before", "ece_after", "nll_before", "nll_after", "coverage", "selective_accuracy", "error_capture", "aurc")
+
+
+def _record(spark, d):
     p = st.predictions(spark, d).join(sp.stratified(st.images(spark, d).select("id", "y")).select("id", "split"), "id")
-    val, test = p.where("split = 'train'"), p.where("split <> 'train'")
-    t = cal.fit_temperature(val, RUN)
-    scaled = lambda part: part.join(F.broadcast(t), RUN).withColumn("conf", v.confidence(F.col("z"), F.col("temperature")))
-    theta = cal.threshold(scaled(val), RUN, 0.95)
-    s = scaled(test).join(F.broadcast(theta), RUN)
-    out = met.ece(test, RUN).withColumnRenamed("ece", "ece_before").join(met.ece(s, RUN).withColumnRenamed("ece", "ece_after"), RUN).join(cal.selective(s, RUN), RUN).join(cal.aurc(s, RUN), RUN).join(theta, RUN).join(t, RUN)
-    return out.select(*RUN, *r6("temperature", "theta", "ece_before", "ece_after", "coverage", "selective_accuracy", "error_capture", "aurc"))
+    t = cal.fit_temperature(p.where("split = 'train'"), RUN)
+    cooled = F.transform("z", lambda x: x / F.col("temperature"))
+    scaled = p.join(F.broadcast(t), RUN).withColumns({"before": F.col("conf"), "conf": v.confidence(F.col("z"), F.col("temperature")), "l0": met.nll_term(F.col("z"), F.col("y")), "l1": met.nll_term(cooled, F.col("y"))})
+    val, test = scaled.where("split = 'train'"), scaled.where("split <> 'train'")
+    theta = cal.threshold(val, RUN, 0.95)
+    s = test.join(F.broadcast(theta), RUN)
+    out = cal.selective(s, RUN).join(cal.aurc(s, RUN), RUN).join(theta, RUN).join(t, RUN)
+    for part, prefix in ((val, "val_"), (test, "")):
+        before = met.ece(part.withColumn("conf", F.col("before")), RUN).withColumnRenamed("ece", f"{prefix}ece_before")
+        loss = part.groupBy(*RUN).agg(F.avg("l0").alias(f"{prefix}nll_before"), F.avg("l1").alias(f"{prefix}nll_after"))
+        out = out.join(before, RUN).join(met.ece(part, RUN).withColumnRenamed("ece", f"{prefix}ece_after"), RUN).join(loss, RUN)
+    return out
+
+
+@query("fit2_3_calibration_record", RECORD + " SELECT backbone, seed, " + ", ".join(f"round({c}, 6) AS {c}" for c in FITTED) + " FROM rec")
+def calibration_record(spark, d):
+    """Temperature and threshold fitted on the larger part of a stratified split, and what they give there and on the rest."""
+    return _record(spark, d).select(*RUN, *r6(*FITTED))
+
+
+@query("q13_per_seed", RECORD + " SELECT backbone, seed, (backbone = 1 AND seed = 2) AS demo, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("temperature", "theta", "coverage", "selective_accuracy", "ece_after")) + " FROM rec")
+def per_seed(spark, d):
+    """The record's main columns by seed; one run is marked as the one that a demo would use."""
+    demo = ((F.col("backbone") == 1) & (F.col("seed") == 2)).alias("demo")
+    return _record(spark, d).select(*RUN, demo, *r6("temperature", "theta", "coverage", "selective_accuracy", "ece_after"))
 
 
 HISTORY = "h AS (SELECT backbone, seed, CAST(id AS INTEGER) AS epoch, conf AS val_macro_f1 FROM m)"
@@ -220,12 +259,14 @@ def rejection_table(spark, d):
     return wide
 
 
-@query("q11_calibration_table")
+TABLE = ("temperature", "val_ece_before", "val_ece_after", "val_nll_before", "val_nll_after", "ece_before", "ece_after", "nll_before", "nll_after")
+
+
+@query("q11_calibration_table", RECORD + " SELECT backbone, count(*) AS seeds, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in TABLE) + ", round(avg(ece_after - ece_before), 6) AS ece_change, round(avg(nll_after - nll_before), 6) AS nll_change FROM rec GROUP BY backbone")
 def calibration_table(spark, d):
-    """Seed means of the calibration record, and the change of the calibration error."""
-    r = calibration_record(spark, d)
-    change = F.round(F.avg(F.col("ece_after") - F.col("ece_before")), 6).alias("ece_change")
-    return r.groupBy("backbone").agg(F.count("*").alias("seeds"), *(F.round(F.avg(c), 6).alias(c) for c in ("temperature", "ece_before", "ece_after")), change)
+    """Seed means of the calibration record, and the changes of calibration error and loss."""
+    change = [F.round(F.avg(F.col(f"{x}_after") - F.col(f"{x}_before")), 6).alias(f"{x}_change") for x in ("ece", "nll")]
+    return _record(spark, d).groupBy("backbone").agg(F.count("*").alias("seeds"), *(F.round(F.avg(c), 6).alias(c) for c in TABLE), *change)
 
 
 @query("fn13_row_profile", "SELECT id, CAST(pos AS INTEGER) AS pos, round(list_avg(r), 6) AS mean, round(sqrt(greatest(0, list_avg(list_transform(r, lambda x: x * x)) - list_avg(r) * list_avg(r))), 6) AS std FROM (SELECT vec_id AS id, unnest(range(8)) AS pos, unnest(list_transform(range(8), lambda i: list_transform(embedding[8 * i + 1 : 8 * i + 8], lambda x: CAST(x AS DOUBLE)))) AS r FROM embeddings)")
