@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RE, BLANKS, Scratch, prepare, table, text_or_empty
+from .common import BLANK_RE, BLANKS, Scratch, prepare, table, text_or_empty, unused
 
 CELLS = 200_000
 DIMS = ("source", "lang", "topic")
@@ -182,11 +182,13 @@ def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mixing")
     cells = scratch.write(describe(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    fitted = fit(cells, targets or {}, budget, scratch).select(*(F.col(d).alias(f"_its_{d}") for d in DIMS), F.col("probability").alias("_its_probability"))
-    told = docs.withColumns({"_source": value("source"), "_lang": value("lang"), "_tokens": n_tokens(text_or_empty())})
-    told = told.withColumn("_topic", topic(text_or_empty(), F.col("_tokens"))).withColumn("_draw", draw(seed))
-    same = [F.col(f"_{d}") == F.col(f"_its_{d}") for d in DIMS]
-    out = told.join(fitted, [*same, F.col("_draw") < F.col("_its_probability")], "left_semi")
+    own = dict(zip((*DIMS, "tokens", "draw"), unused(docs, *(f"_its_{c}" for c in (*DIMS, "tokens", "draw")))))
+    cell = dict(zip((*DIMS, "probability"), unused(docs, *(f"_cell_{c}" for c in (*DIMS, "probability")))))
+    fitted = fit(cells, targets or {}, budget, scratch).select(*(F.col(c).alias(name) for c, name in cell.items()))
+    told = docs.withColumns({own["source"]: value("source"), own["lang"]: value("lang"), own["tokens"]: n_tokens(text_or_empty()), own["draw"]: draw(seed)})
+    told = told.withColumn(own["topic"], topic(text_or_empty(), F.col(own["tokens"])))
+    same = [F.col(own[d]) == F.col(cell[d]) for d in DIMS]
+    out = told.join(fitted, [*same, F.col(own["draw"]) < F.col(cell["probability"])], "left_semi")
     return out.select(*(F.col(c) for c in docs.columns))
 
 

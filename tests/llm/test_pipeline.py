@@ -61,3 +61,26 @@ def test_rows_are_decided_by_themselves_at_any_size(spark, small, monkeypatch):
     want = cp.mixing.mix(both).where("sampled").groupBy("doc_id", "source").count()
     got = cp.source_mixing(spark, both, small).groupBy("doc_id", "source").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, small):
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_edges import CLASHING, DOCS
+
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, " \n\t ", None, "s", 4), (4, "Word", "en", "s", 4), (5, "word " * 40_000, "en", "s", 1), (6, "same text here for all", "de", "s", 2), (7, "same text here for all", "de", "s", 2), (7, "same text here for all", "de", "s", 2), (None, "no id at all", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in (*CLASHING, "_hash", "_id", "_group", "_first", "_source", "_topic", "bits", "blk", "copies", "links", "own", "place"):
+        docs = docs.withColumn(c, F.lit(f"extra {c}"))
+    want = {"quality classifier": {4, 6, 7, None}, "n-gram Jaccard join": {1, 2, 3, 4, 5, 6, None}, "benchmark decontamination": {1, 2, 3, 4, 5, 6, 7, None}}
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), small).collect() == []
+        got = stage(spark, docs, small)
+        ids = [r.doc_id for r in got.collect()]
+        assert set(ids) <= {1, 2, 3, 4, 5, 6, 7, None}
+        if name != "sharding":
+            assert got.columns == docs.columns and all(r[c] == f"extra {c}" for r in got.collect() for c in CLASHING)
+        else:
+            assert len(ids) == len(rows)
+        if name in want:
+            assert set(ids) - {5} == want[name] - {5}
