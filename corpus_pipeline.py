@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import decontamination, mixing, ngram_join, quality, sharding
-from sieveline.llm.common import BLANKS, Scratch, prepare, table, text_or_empty
+from sieveline.llm.common import BLANKS, Scratch, prepare, table, text_or_empty, unused
 
 SHARDS = 16
 #: Keys of rows are broadcast if there are no more than so many (16 MB), else joined by a shuffle.
@@ -30,9 +30,16 @@ def _by_text(docs: DataFrame) -> DataFrame:
     return docs.select(_text_hash(docs).alias("doc_id"), "text")
 
 
-def _without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
-    """docs without the rows that are the same as one of gone, a written table."""
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that a row of gone, a written table (_hash) or (_id, _hash), names."""
+    names = dict(zip(gone.columns, unused(docs, *gone.columns)))
+    gone = gone.withColumnsRenamed(names)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = F.xxhash64("text") == F.col(names["_hash"])
+    if "_id" in names:
+        same = same & F.col("doc_id").cast("long").eqNullSafe(F.col(names["_id"]))
+    return docs.join(gone, same, "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +57,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     first = rows.where("_group IS NOT NULL").groupBy("_group").agg(F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_hash")).alias("_first"))
     others = rows.join(first, "_group").where("NOT (_id <=> _first._id AND _hash = _first._hash)")
     gone = scratch.write(others.select("_id", "_hash").distinct(), "dropped")
-    out = _without(docs, gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (_text_hash(docs) == gone["_hash"]))
+    out = _without(docs, gone)
     if rows.where("_id IS NOT NULL OR _group IS NOT NULL").groupBy("_id", "_hash").count().where("count > 1").isEmpty():
         return out
     blank = F.col("doc_id").isNull() & (F.btrim(text_or_empty(), F.lit(BLANKS)) == "")
-    once = out.where(~blank).withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    (name,) = unused(docs, "_hash")
+    once = out.where(~blank).withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
     return once.unionByName(out.where(blank))
 
 
@@ -63,7 +71,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     scratch = Scratch(spark, "pipeline-decontamination")
     hits = decontamination.contained(_by_text(docs), table(spark, sf_dir, "benchmark"), 5, 80, 100)
     gone = scratch.write(hits.select(F.col("doc_id").alias("_hash")).distinct(), "hits")
-    return _without(docs, gone, _text_hash(docs) == gone["_hash"])
+    return _without(docs, gone)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
