@@ -14,7 +14,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Texts are worked on in runs of about so many bytes, cut between documents and, within huge ones, at blanks.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
