@@ -65,3 +65,8 @@ def shards(*axes: DataFrame, index: int, of: int, order: list[str]) -> DataFrame
     for a in axes[1:]:
         jobs = jobs.crossJoin(F.broadcast(a))
     return jobs.withColumn("job", F.row_number().over(Window.orderBy(*order)) - 1).where(F.pmod("job", F.lit(of)) == index)
+
+
+def ordered_prefix(rows: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """The first rows in that order, the same ones in every run if the order has no ties; all rows without a limit."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)

@@ -3,8 +3,9 @@
     spark.dataSource.register(TarInZip)
     spark.read.format("tarinzip").load("/data/*.zip")
 
-A row is (archive, name, content, sha256, md5, bytes). Members that are not files are left out; a member that can't be
-read is skipped and counted by the reader. Each archive is one partition, read as a stream.
+A row is (archive, name, content, sha256, md5, bytes, error). Members that are not files are left out. A member that can't be
+read has an error and no content, and where the archive itself breaks off, one last row without a name tells so:
+readable() leaves such rows out, and skipped() counts them by archive. Each archive is one partition, read as a stream.
 """
 
 from __future__ import annotations
@@ -20,34 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-class HashingReader:
-    """Passes bytes through and keeps count and hashes of all of them."""
-
-    def __init__(self, raw):
-        self.raw, self.md5, self.sha, self.n = raw, hashlib.md5(), hashlib.sha256(), 0
-
-    def read(self, size: int = -1) -> bytes:
-        data = self.raw.read(size)
-        self.md5.update(data)
-        self.sha.update(data)
-        self.n += len(data)
-        return data
-
-    def drain(self) -> HashingReader:
-        while self.read(1 << 20):
-            pass
-        return self
-
-
-def members(stream) -> Iterator[tuple[str, bytes]]:
-    """Names and contents of the regular files of a tar stream; unreadable ones are left out."""
-    with tarfile.open(fileobj=stream, mode="r|*") as tar:
-        for m in tar:
-            if m.isfile():
-                try:
-                    yield m.name, tar.extractfile(m).read()
-                except (tarfile.TarError, OSError):
-                    continue
+def members(stream) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """Names, contents and errors of the regular files of a tar stream."""
+    try:
+        with tarfile.open(fileobj=stream, mode="r|*") as tar:
+            for m in tar:
+                if m.isfile():
+                    try:
+                        yield m.name, tar.extractfile(m).read(), None
+                    except (tarfile.TarError, OSError) as e:
+                        yield m.name, None, str(e)
+    except (tarfile.TarError, OSError, EOFError) as e:
+        yield None, None, str(e)
 
 
 def archive_rows(path: str) -> Iterator[tuple]:
@@ -59,8 +44,18 @@ def archive_rows(path: str) -> Iterator[tuple]:
         streams = [(path, open(path, "rb"))]
     for name, stream in streams:
         with stream:
-            for member, content in members(stream):
-                yield name, member, content, hashlib.sha256(content).hexdigest(), hashlib.md5(content).hexdigest(), len(content)
+            for member, content, error in members(stream):
+                hashes = (hashlib.sha256(content).hexdigest(), hashlib.md5(content).hexdigest(), len(content)) if content is not None else (None, None, None)
+                yield name, member, content, *hashes, error
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    return rows.where("error IS NULL").drop("error")
+
+
+def skipped(rows: DataFrame) -> DataFrame:
+    """(archive, skipped) of archives with unreadable members."""
+    return rows.where("error IS NOT NULL").groupBy("archive").agg(F.count("*").alias("skipped"))
 
 
 class OneArchive(InputPartition):
@@ -85,7 +80,7 @@ class TarInZip(DataSource):
         return "tarinzip"
 
     def schema(self) -> str:
-        return "archive string, name string, content binary, sha256 string, md5 string, bytes long"
+        return "archive string, name string, content binary, sha256 string, md5 string, bytes long, error string"
 
     def reader(self, schema) -> TarReader:
         return TarReader(self.options["path"])
@@ -93,14 +88,18 @@ class TarInZip(DataSource):
 
 def archive_totals(path: str) -> tuple[int, str, str]:
     """Bytes, MD5 and SHA-256 of a whole file, in one pass."""
+    size, sums = 0, (hashlib.md5(), hashlib.sha256())
     with open(path, "rb") as f:
-        r = HashingReader(f).drain()
-    return r.n, r.md5.hexdigest(), r.sha.hexdigest()
+        for part in iter(lambda: f.read(1 << 20), b""):
+            size += len(part)
+            for h in sums:
+                h.update(part)
+    return size, *(h.hexdigest() for h in sums)
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
     """Every .jpg below a folder, whatever its case: path, base, content, length."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,JPG,Jpg}").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][pP][gG]").load(root)
     return files.withColumn("base", F.element_at(F.split("path", "/"), -1))
 
 

@@ -1,4 +1,5 @@
-"""Readers and writers of manifests, split documents, runs and checksums; every schema is given, none is inferred."""
+"""Readers and writers of manifests, split documents, runs and checksums; schemas are given, but for
+feature files and the reports of archives, which bring their own."""
 
 from __future__ import annotations
 
@@ -88,3 +89,23 @@ def write_predictions(pred: DataFrame, path: str) -> None:
 def summary_json(one_row: DataFrame) -> str:
     """A one-row result as JSON."""
     return one_row.select(F.to_json(F.struct("*")).alias("j")).first().j
+
+
+def feature_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all feature files below a folder, with the file they are in; in order of file names where order counts."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(folder).withColumn("file", F.regexp_extract(F.input_file_name(), "[^/]+$", 0))
+
+
+def archive_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each archive's JSON document."""
+    return spark.read.option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """An archive's features; what is there already stays as it is."""
+    rows.write.mode("ignore").parquet(path)
+
+
+def write_csv(rows: DataFrame, path: str, without: tuple[str, ...] = ()) -> None:
+    """A table of the audit as CSV with a header, some columns left out."""
+    rows.drop(*without).write.mode("overwrite").option("header", "true").csv(path)

@@ -213,3 +213,33 @@ def test_streams(spark, tmp_path):
 def test_markdown(spark):
     t = spark.createDataFrame([("x", 0.5, None)], "a string, b double, c int")
     assert reporting.markdown(t).splitlines()[-1] == "| x | 0.5000 | — |"
+
+
+def test_broken_archives_tell_what_they_skip(spark, tmp_path):
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w") as tar:
+        for name, size in (("a.jpg", 700), ("b.jpg", 5000)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            tar.addfile(info, io.BytesIO(bytes(size)))
+    (tmp_path / "whole.tar").write_bytes(buffer.getvalue())
+    (tmp_path / "cut.tar").write_bytes(buffer.getvalue()[:4000])
+    spark.dataSource.register(archives.TarInZip)
+    rows = spark.read.format("tarinzip").load(str(tmp_path / "*.tar"))
+    assert sorted((r.archive.rsplit("/", 1)[1], r.name, r.bytes) for r in archives.readable(rows).collect()) == [("cut.tar", "a.jpg", 700), ("whole.tar", "a.jpg", 700), ("whole.tar", "b.jpg", 5000)]
+    assert [r.archive.rsplit("/", 1)[1] for r in archives.skipped(rows).collect()] == ["cut.tar"]
+
+
+def test_feature_files_reports_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"n{i}", float(i)) for i in range(5)], "id long, name string, x double")
+    documents.write_features(df, str(tmp_path / "f/one"))
+    documents.write_features(df.where("id > 99"), str(tmp_path / "f/one"))
+    got = documents.feature_files(spark, str(tmp_path / "f"))
+    assert got.count() == 5 and all(r.file.endswith(".parquet") for r in got.collect())
+    documents.write_csv(df, str(tmp_path / "csv"), ("x",))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
+    assert back.columns == ["id", "name"] and back.count() == 5
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/a.json").write_text('{\n "archive": "a",\n "n": 3\n}')
+    assert [(r.archive, r.n) for r in documents.archive_reports(spark, str(tmp_path / "r")).collect()] == [("a", 3)]
+    assert [r.id for r in audit.ordered_prefix(df.orderBy("x", ascending=False), ["id"], 2).collect()] == [0, 1] and audit.ordered_prefix(df, ["id"], None).count() == 5
