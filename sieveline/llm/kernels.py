@@ -15,6 +15,8 @@ BASE = U(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Texts are worked on in runs of about so many bytes, cut between documents and, within huge ones, at blanks.
 PIECE = 1 << 18
+#: Bytes of a text in which words are looked for at once.
+PART = 1 << 20
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -62,27 +64,43 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = PIECE) -> Iterator[pa.
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every blank-separated word, and for each row the index of its first word (one more at the end)."""
-    solid = ~BLANK[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    first, last = solid.copy(), solid.copy()
-    if len(data):
-        first[1:] &= ~solid[:-1] | edge[1:-1]
-        last[:-1] &= ~solid[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts, ends, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(data)
+    for lo in range(0, n, PART):
+        hi = min(n, lo + PART)
+        solid = ~BLANK[data[lo:hi]]
+        edge = np.zeros(hi - lo + 1, dtype=bool)
+        edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
+        before, after = np.r_[lo > 0 and not BLANK[data[lo - 1]], solid[:-1]], np.r_[solid[1:], hi < n and not BLANK[data[min(hi, n - 1)]]]
+        starts.append(np.flatnonzero(solid & (~before | edge[:-1])) + lo)
+        ends.append(np.flatnonzero(solid & (~after | edge[1:])) + lo + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
+def long_sum(data: np.ndarray, signs: np.ndarray | None) -> np.uint64:
+    """The polynomial sum of all the bytes, part by part."""
+    total, scale, up = 0, 1, powers(PIECE)[0]
+    for lo in range(0, len(data), PIECE):
+        part = data[lo : lo + PIECE] if signs is None else signs[data[lo : lo + PIECE]]
+        total += int(((part.astype(U) + U(1)) * up[: len(part)]).sum(dtype=U)) * scale
+        scale = scale * pow(int(BASE), len(part), 1 << 64) % 2**64
+    return U(total % 2**64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, signs: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, or of what signs makes of them; spans are in order and don't overlap."""
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
         lo, hi = int(starts[at]), int(ends[to - 1])
+        if hi - lo > PIECE:  # one huge span
+            out[at] = mix(np.array([long_sum(data[lo:hi], signs)]) + U(hi - lo))[0]
+            at = to
+            continue
         up, down = powers(hi - lo)
         sums = np.zeros(hi - lo + 1, U)
-        np.cumsum((data[lo:hi].astype(U) + U(1)) * up[: hi - lo], out=sums[1:])
+        np.cumsum(((data[lo:hi] if signs is None else signs[data[lo:hi]]).astype(U) + U(1)) * up[: hi - lo], out=sums[1:])
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
         at = to
@@ -93,7 +111,7 @@ def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
     """Hashes of the words of a string column (A-Z as a-z), and for each row the index of its first word (one more at the end)."""
     data, offsets = utf8(col)
     starts, ends, first = word_spans(data, offsets)
-    return span_hashes(LOWER[data] if lower else data, starts, ends), first
+    return span_hashes(data, starts, ends, LOWER if lower else None), first
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -101,8 +119,12 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     m = min(k, len(words))
     if not m:
         return words
-    out = np.zeros(len(words) - m + 1, U)
-    for j in range(m):
-        out = (out ^ words[j : len(words) - m + 1 + j]) * MIX1 + U(j + 1)
-        out ^= out >> U(29)
-    return mix(out + U(m))
+    n = len(words) - m + 1
+    out = np.zeros(n, U)
+    for i in range(0, n, PIECE):
+        part = out[i : i + PIECE]
+        for j in range(m):
+            part = (part ^ words[i + j : i + j + len(part)]) * MIX1 + U(j + 1)
+            part ^= part >> U(29)
+        out[i : i + PIECE] = mix(part + U(m))
+    return out

@@ -27,6 +27,8 @@ U = np.uint64
 SAMPLE = 6000
 BITS = 12
 KEEP_FROM = 0.5
+#: Words of a text that are worked on at once.
+AT_ONCE = 1 << 18
 #: Added to the number of words, so that a few words alone can't make a large share.
 PRIOR_WORDS = 10
 #: Where expectation-maximisation begins: the votes of the good class, those of other labellers on a fault, the shares.
@@ -55,24 +57,38 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def byte_counts(kind: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of a kind each row has."""
+    upto, before = np.zeros(len(offsets), np.int64), 0
+    for lo in range(0, len(data), kn.PART):
+        part = np.r_[0, np.cumsum(kind[data[lo : lo + kn.PART]], dtype=np.int32)]
+        i, j = np.searchsorted(offsets, lo), np.searchsorted(offsets, lo + kn.PART, "right")
+        upto[i:j] = before + part[offsets[i:j] - lo]
+        before += int(part[-1])
+    return np.diff(upto)
+
+
 def measures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Every labeller's share for each text (rows) and the number of words."""
     data, offsets = kn.utf8(col)
     starts, ends, first = kn.word_spans(data, offsets)
-    hashes = kn.span_hashes(kn.LOWER[data], starts, ends)
+    hashes = kn.span_hashes(data, starts, ends, kn.LOWER)
     n = np.diff(first)
     size, count = np.diff(offsets) + 50, n + PRIOR_WORDS
     same = np.r_[False, hashes[1:] == hashes[:-1]]
     same[first[:-1][n > 0]] = False
-    letters = np.r_[0, np.cumsum(LETTER[data] | (data >= 128), dtype=np.int32)]
-    bangs = np.r_[0, np.cumsum(BANG[data], dtype=np.int32)]
-    upper = np.add.reduceat(np.r_[UPPER[data], 0], offsets[:-1], dtype=np.int64) * (offsets[1:] > offsets[:-1])
-    latin = np.add.reduceat(np.r_[LETTER[data], 0], offsets[:-1], dtype=np.int64) * (offsets[1:] > offsets[:-1])
-    signs = np.add.reduceat(np.r_[SYMBOL[data], 0], offsets[:-1], dtype=np.int64) * (offsets[1:] > offsets[:-1])
+    shouts, plain = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    for i in range(0, len(starts), AT_ONCE):
+        s, e = starts[i : i + AT_ONCE], ends[i : i + AT_ONCE]
+        part = data[s[0] : e[-1]]
+        letters, bangs = (np.r_[0, np.cumsum(x, dtype=np.int32)] for x in (LETTER[part] | (part >= 128), BANG[part]))
+        s, e = s - starts[i], e - starts[i]
+        shouts[i : i + AT_ONCE], plain[i : i + AT_ONCE] = bangs[e] - bangs[s] >= 2, letters[e] == letters[s]
+    upper, latin, signs = (byte_counts(x, data, offsets) for x in (UPPER, LETTER, SYMBOL))
     again = same & np.r_[False, same[:-1]]
     shares = [
         upper / (latin + 20), signs / size, sums(same, first) / count, sums((ends - starts == 1) & (data[starts] == ord("|")), first) / count,
-        sums(bangs[ends] - bangs[starts] >= 2, first) / count, sums(JUNK[data[ends - 1]], first) / count, sums(letters[ends] == letters[starts], first) / count, sums(again, first) / count,
+        sums(shouts, first) / count, sums(JUNK[data[ends - 1]], first) / count, sums(plain, first) / count, sums(again, first) / count,
     ]
     return np.stack(shares, axis=1), n
 
@@ -89,19 +105,24 @@ def features(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed shapes of words, pairs of them, and words that repeat the one before: buckets and their weights, by text."""
     data, offsets = kn.utf8(col)
     starts, ends, first = kn.word_spans(data, offsets)
-    words = kn.span_hashes(kn.LOWER[data], starts, ends)
-    shape = SHAPE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[starts] = True
-    keep = edge[:-1] | np.r_[True, shape[1:] != shape[:-1]] if len(data) else np.zeros(0, bool)
-    at = np.r_[0, np.cumsum(keep)]
-    shapes = kn.span_hashes(shape[keep], at[starts], at[ends])
-    out = []
-    for a, b in zip(first[:-1], first[1:]):
-        s, w = shapes[a:b], words[a:b]
-        pairs, same = kn.mix(s[1:] * kn.MIX1 + s[:-1]), np.full(int((w[1:] == w[:-1]).sum()), U(77))
-        bucket, count = np.unique(np.concatenate([s, pairs, kn.mix(same)]) >> U(64 - BITS), return_counts=True)
-        out.append((bucket.astype(np.int64), np.sqrt(count / max(1, b - a))))
+    words, shapes = kn.span_hashes(data, starts, ends, kn.LOWER), np.empty(len(starts), U)
+    for i in range(0, len(starts), AT_ONCE):
+        s, e = starts[i : i + AT_ONCE] - starts[i], ends[i : i + AT_ONCE] - starts[i]
+        shape = SHAPE[data[starts[i] : starts[i] + e[-1]]]
+        keep = np.r_[True, shape[1:] != shape[:-1]]
+        keep[s] = True
+        at = np.r_[0, np.cumsum(keep)]
+        shapes[i : i + AT_ONCE] = kn.span_hashes(shape[keep], at[s], at[e])
+    out, again = [], int(kn.mix(np.full(1, U(77)))[0] >> U(64 - BITS))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        counts = np.zeros(1 << BITS, np.int64)
+        for i in range(a, b, AT_ONCE):
+            s = shapes[i : min(b, i + AT_ONCE + 1)]  # with the one that the last pair ends in
+            pairs = kn.mix(s[1:] * kn.MIX1 + s[:-1])
+            counts += np.bincount((np.concatenate([s[:AT_ONCE], pairs]) >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+            counts[again] += (words[i + 1 : min(b, i + AT_ONCE + 1)] == words[i : min(b - 1, i + AT_ONCE)]).sum()
+        bucket = np.flatnonzero(counts)
+        out.append((bucket, np.sqrt(counts[bucket] / max(1, b - a))))
     return out
 
 

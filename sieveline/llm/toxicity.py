@@ -59,33 +59,50 @@ class Words:
 
     def __init__(self, col: pa.Array):
         self.data, self.offsets = kn.utf8(col)
-        starts, ends, self.first = kn.word_spans(self.data, self.offsets)
-        plain = np.flatnonzero(~SIGN[self.data])
-        self.s, self.e = starts, ends
-        if len(plain):
-            begin = plain[np.minimum(np.searchsorted(plain, starts), len(plain) - 1)]
-            end = plain[np.searchsorted(plain, ends) - 1] + 1
-            some = (begin >= starts) & (begin < ends)
-            self.s, self.e = np.where(some, begin, ends - 1), np.where(some, end, ends)
-        elif len(starts):
-            self.s = ends - 1
-        self.heads = np.flatnonzero((self.data & 0xC0) != 0x80)
-        self.hashes = np.empty(len(starts), U)
-        for i in range(0, len(starts), AT_ONCE):
-            self.hashes[i : i + AT_ONCE] = self.spans(self.s[i : i + AT_ONCE], self.e[i : i + AT_ONCE])
+        self.s, self.e, self.first = kn.word_spans(self.data, self.offsets)
+        for i in range(0, len(self.s), AT_ONCE):
+            self.strip(self.s[i : i + AT_ONCE], self.e[i : i + AT_ONCE])
+        self.hashes = self.spans(self.s, self.e)
+
+    def strip(self, s: np.ndarray, e: np.ndarray) -> None:
+        """Take the signs off both ends of these words, in place."""
+        lo = int(s[0])
+        plain = np.flatnonzero(~SIGN[self.data[lo : e[-1]]]) + lo
+        if not len(plain):
+            s[:] = e - 1
+            return
+        begin = plain[np.minimum(np.searchsorted(plain, s), len(plain) - 1)]
+        end = plain[np.searchsorted(plain, e) - 1] + 1
+        some = (begin >= s) & (begin < e)
+        s[:], e[:] = np.where(some, begin, e - 1), np.where(some, end, e)
 
     def spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        lo, hi = (int(s[0]), int(e[-1])) if len(s) else (0, 0)
-        return kn.span_hashes(kn.LOWER[self.data[lo:hi]], s - lo, e - lo)
+        return kn.span_hashes(self.data, s, e, kn.LOWER)
+
+    def heads(self, lo: int, hi: int) -> np.ndarray:
+        """Where code points begin from byte lo to hi."""
+        return np.flatnonzero((self.data[lo:hi] & 0xC0) != 0x80) + lo
+
+    def points(self, at: np.ndarray) -> np.ndarray:
+        """How many code points begin before each of these bytes."""
+        out, before = np.zeros(len(at), np.int64), 0
+        for lo in range(0, len(self.data), kn.PART):
+            heads = self.heads(lo, min(len(self.data), lo + kn.PART))
+            here = at > lo
+            out[here] = before + np.searchsorted(heads, at[here])
+            before += len(heads)
+        return out
 
     def units(self, i: int, j: int) -> np.ndarray:
         """Hashes of the words i to j and of their beginnings (rows); 0 where a word is no longer than the beginning."""
         s, e = self.s[i:j], self.e[i:j]
-        at, stop = np.searchsorted(self.heads, s), np.searchsorted(self.heads, e)
+        heads = self.heads(int(s[0]), int(e[-1])) if j > i else s
+        at, stop = np.searchsorted(heads, s), np.searchsorted(heads, e)
         out = [kn.mix(self.hashes[i:j])]
         for c in PREFIXES:
             longer = stop - at > c
-            out.append(np.where(longer, kn.mix(self.spans(s, np.where(longer, self.heads[np.minimum(at + c, len(self.heads) - 1)], e)) + U(c)), U(0)))
+            upto = np.where(longer, heads[np.minimum(at + c, len(heads) - 1)], e) if len(heads) else e
+            out.append(np.where(longer, kn.mix(self.spans(s, upto) + U(c)), U(0)))
         return np.stack(out)
 
     def neighbours(self, i: int, j: int) -> np.ndarray:
@@ -157,7 +174,10 @@ class Field:
     def emissions(self, words: Words) -> np.ndarray:
         """The sums of the weights of all words' features."""
         n = len(words.hashes)
-        return np.concatenate([np.zeros(0), *(self.emission(words.features(i, min(n, i + AT_ONCE))) for i in range(0, n, AT_ONCE))])
+        out = np.empty(n)
+        for i in range(0, n, AT_ONCE):
+            out[i : i + AT_ONCE] = self.emission(words.features(i, min(n, i + AT_ONCE)))
+        return out
 
     def ratios(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward ratios of toxic to clean of every word, part by part."""
@@ -188,8 +208,9 @@ class Field:
         """P(toxic) of every word, from the sums of its features' weights."""
         if not len(emission):
             return np.zeros(0)
-        alpha, beta = self.ratios(emission, first)
-        return alpha * beta / (1 + alpha * beta)
+        odds, beta = self.ratios(emission, first)
+        odds *= beta
+        return np.divide(odds, np.add(odds, 1, out=beta), out=beta)
 
     def pairs(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of every word, and P(label before, label) of it, [2, 2, n]."""
@@ -320,9 +341,15 @@ def cutter(marks: np.ndarray):
                         for j in range(0, f.shape[1], WORDS):
                             part, y = f[:, j : j + WORDS], on[j : j + WORDS]
                             rows.append((int(kn.mix(np.bitwise_xor.reduce(kn.mix(part[0] + U(7)), keepdims=True))[0] >> U(1)), bool(y.any()), part.tobytes(), y.astype(np.uint8).tobytes()))
+                        if len(rows) * WORDS >= AT_ONCE:
+                            yield out(rows)
+                            rows = []
                 if rows:
-                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["draw", "labelled", "features", "labels"])
+                    yield out(rows)
+
+    def out(rows):
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["draw", "labelled", "features", "labels"])
 
     return run
 
@@ -414,17 +441,17 @@ def tagger(model: Model):
                 first, s, e, offsets = w.first, w.s, w.e, w.offsets
                 p = field.marginals(field.emissions(w), first)
                 score = 1 / (1 + np.exp(-(model.slope * evidence(p, first) + model.intercept)))
-                point = lambda at: int(np.searchsorted(w.heads, at))
                 spans: list[list] = [[] for _ in range(len(batch))]
                 hot = np.flatnonzero(p >= 0.5)
                 doc = np.searchsorted(first, hot, "right") - 1
+                base = w.points(offsets[doc]) if len(hot) else hot
+                begins, ends = ((w.points(x[hot]) - base).tolist() if len(hot) else [] for x in (s, e))
                 before = -2, -1
-                for i, d in zip(hot.tolist(), doc.tolist()):
-                    base = point(offsets[d])
+                for i, d, begin, end in zip(hot.tolist(), doc.tolist(), begins, ends):
                     if before == (i - 1, d):
-                        spans[d][-1]["end"], spans[d][-1]["p"] = point(e[i]) - base, max(spans[d][-1]["p"], float(p[i]))
+                        spans[d][-1]["end"], spans[d][-1]["p"] = end, max(spans[d][-1]["p"], float(p[i]))
                     else:
-                        spans[d].append({"begin": point(s[i]) - base, "end": point(e[i]) - base, "p": float(p[i])})
+                        spans[d].append({"begin": begin, "end": end, "p": float(p[i])})
                     before = i, d
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(score, 6)), pa.array(spans, SPANS)], names=["doc_id", "score", "spans"])
 

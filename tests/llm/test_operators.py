@@ -592,3 +592,26 @@ def test_quality_scores_follow_from_shapes_by_plain_sums(spark):
             total[x >> 52] = total.get(x >> 52, 0) + 1
         z = b + sum(w[i] * np.sqrt(c / max(1, len(spans))) for i, c in total.items())
         assert abs(got[r.doc_id].quality - 1 / (1 + np.exp(z))) < 2e-6 and got[r.doc_id].keep == (z <= 0)
+
+
+def test_words_shapes_and_measures_do_not_depend_on_parts(monkeypatch):
+    import pyarrow as pa
+
+    from sieveline.llm import kernels as kn
+
+    rng = random.Random(11)
+    texts = [None, "", " \t\n", "!!", "x" * 700 + " Y" * 30] + [" ".join("".join(rng.choices("aB9!é| \n日", k=rng.randint(1, 12))) for _ in range(rng.randint(1, 90))) for _ in range(40)]
+    col = pa.array(texts, pa.string())
+
+    def everything():
+        words, first = kn.word_hashes(col)
+        measures, n = quality.measures(col)
+        return [words, first, measures, n, kn.shingles(words, 3), *(x for pair in quality.features(col) for x in pair)]
+
+    whole = everything()
+    assert [len([w for w in BLANK.split(t or "") if w]) for t in texts] == np.diff(whole[1]).tolist()
+    monkeypatch.setattr(kn, "PART", 37)
+    monkeypatch.setattr(kn, "PIECE", 23)
+    monkeypatch.setattr(quality, "AT_ONCE", 5)
+    for x, y in zip(whole, everything(), strict=True):
+        assert x.dtype == y.dtype and np.array_equal(x, y)
