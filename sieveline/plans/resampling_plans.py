@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as bs
@@ -51,8 +53,8 @@ def _image_reps(spark, d, seed=0, bonus=3.0):
     return bs.seed_mean(bs.replicates(p, ["backbone", "seed"], K, B, seed), ["backbone"], BOTH)
 
 
-def _cluster_reps(spark, d, seed=0):
-    c = _clusters(spark, d).withColumnRenamed("cluster", "unit")
+def _cluster_reps(spark, d, seed=0, clusters=None):
+    c = (clusters or _clusters(spark, d)).withColumnRenamed("cluster", "unit")
     p = st.predictions(spark, d).join(c, "id")
     return bs.seed_mean(bs.replicates(p, ["backbone", "seed"], K, B, seed), ["backbone"], BOTH)
 
@@ -101,8 +103,9 @@ def gap(spark, d):
     """The gap between two sides, here the backbones, with intervals over images and over clusters; sides are drawn apart."""
     s = met.summary(met.cells(st.predictions(spark, d), ["backbone", "seed"]), ["backbone", "seed"], K)
     out = s.agg(*(F.round(F.avg(F.when(F.col("backbone") == 0, F.col(v))) - F.avg(F.when(F.col("backbone") == 1, F.col(v))), 6).alias(v) for v in BOTH))
-    for suffix, reps in (("image", _image_reps), ("cluster", _cluster_reps)):
-        a, b = reps(spark, d, 0).where("backbone = 0"), reps(spark, d, 1).where("backbone = 1")
+    clusters = gr.checkpointed(_clusters(spark, d))  # once for both sides
+    for suffix, reps in (("image", partial(_image_reps, spark, d)), ("cluster", partial(_cluster_reps, spark, d, clusters=clusters))):
+        a, b = reps(seed=0).where("backbone = 0"), reps(seed=1).where("backbone = 1")
         out = out.crossJoin(_renamed(bs.gap(a, b, BOTH).select(*r6(*NAMES)), [], suffix))  # one row each
     return out
 

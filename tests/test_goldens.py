@@ -1,5 +1,6 @@
 """Hand-computed values of metrics, calibration, bands, names and vectors."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import names as nm
 from sieveline.functions import vectors as v
-from sieveline.operators import bands, bootstrap, calibration, metrics
+from sieveline.operators import bands, bootstrap, calibration, draws, metrics
 
 
 def predictions(spark, y, p):
@@ -152,3 +153,23 @@ def test_units_are_numbered_alike_in_parts(spark, monkeypatch):
         monkeypatch.undo()
         units = sorted({r[-3] for r in whole})
         assert by or [r[1] for r in whole] == list(range(len(units)))
+
+
+def test_sums_over_drawn_units_make_no_table_of_draws(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 2, ("a", "b", None)[i % 3], 7 * i % 101, i / 8) for i in range(300)], "s int, y string, unit long, x double")
+    values = {"n": F.lit(1), "x": F.col("x")}
+    for stratum in ([], ["s"]):
+        joined = df.join(bootstrap.draws(df, 12, 3, stratum), [*stratum, "unit"]).groupBy("s", "y", "boot").agg(F.sum("w").alias("n"), F.sum(F.col("x") * F.col("w")).alias("x"))
+        want = sorted(map(str, joined.collect()))
+        monkeypatch.setattr(bootstrap, "draws", None)
+        for held in (bootstrap.HELD, 500):  # in one block, and in some
+            monkeypatch.setattr(bootstrap, "HELD", held)
+            assert sorted(map(str, bootstrap.weighted_sums(df, ["s", "y"], values, 12, 3, stratum).collect())) == want
+        bootstrap.replicates(df.selectExpr("s", "unit", "0 AS y", "s AS p"), ["s"], 2, 3, 0, stratum).collect()
+        monkeypatch.undo()
+
+
+def test_drawn_units_are_those_of_md5():
+    for seed, boot, n in ((0, 1, 1), (1, 37, 1234), (12345, 1000, 20001)):
+        j = [int(hashlib.md5(f"{seed}-{boot}-{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+        assert (draws.counts(seed, boot, n) == np.bincount(j, minlength=n)).all()
