@@ -63,7 +63,11 @@ def ece_bin(conf: Column, bins: int = ECE_BINS) -> Column:
 def ece(pred: DataFrame, by: list[str], conf: str = "conf", ok: str = "ok", bins: int = ECE_BINS, weight: Column | None = None) -> DataFrame:
     """Expected calibration error: bins' shares times |accuracy - confidence|."""
     w = weight if weight is not None else F.lit(1)
-    b = pred.groupBy(*by, ece_bin(F.col(conf), bins).alias("bin")).agg(F.sum(w).alias("n"), F.sum(F.col(ok) * w).alias("hit"), F.sum(F.col(conf) * w).alias("conf"))
+    return ece_of_bins(pred.groupBy(*by, ece_bin(F.col(conf), bins).alias("bin")).agg(F.sum(w).alias("n"), F.sum(F.col(ok) * w).alias("hit"), F.sum(F.col(conf) * w).alias("conf")), by)
+
+
+def ece_of_bins(b: DataFrame, by: list[str]) -> DataFrame:
+    """The error from bins (by, bin, n, hit, conf): rows, right ones and the sum of confidences."""
     return b.groupBy(*by).agg(F.try_divide(F.sum(F.abs(F.col("hit") - F.col("conf"))), F.sum("n")).alias("ece"))
 
 

@@ -209,9 +209,9 @@ EDGES = " + ".join(f"CASE WHEN conf > CAST({i} AS DOUBLE) / 15 THEN 1 ELSE 0 END
 
 @query("bst7_ece_ci", f"WITH {sql.pred()}, un AS (SELECT DISTINCT id AS unit FROM m), {sql.draws('un', B)}, bn AS (SELECT backbone, seed, boot, {EDGES} AS bin, sum(w) AS n, sum(w * ok) AS hit, sum(w * conf) AS c FROM m JOIN dr ON unit = id GROUP BY ALL), e AS (SELECT backbone, seed, boot, sum(abs(hit - c)) / sum(n) AS ece FROM bn GROUP BY backbone, seed, boot), reps AS (SELECT backbone, boot, avg(ece) AS ece FROM e GROUP BY backbone, boot) SELECT backbone, {ci(['ece'])} FROM reps GROUP BY backbone")
 def ece_ci(spark, d):
-    p = st.predictions(spark, d).withColumn("unit", F.col("id"))
-    drawn = p.select("unit", "backbone", "seed", "conf", "ok").join(bs.draws(p, B), "unit")
-    e = met.ece(drawn, ["backbone", "seed", "boot"], weight=F.col("w"))
+    p = st.predictions(spark, d).select("backbone", "seed", F.col("id").alias("unit"), "conf", "ok", met.ece_bin(F.col("conf")).alias("bin"))
+    bins = bs.weighted_sums(p, ["backbone", "seed", "bin"], {"n": F.lit(1), "hit": F.col("ok"), "conf": F.col("conf")}, B)
+    e = met.ece_of_bins(bins, ["backbone", "seed", "boot"])
     return bs.interval(bs.seed_mean(e, ["backbone"], ["ece"]), ["backbone"], ["ece"]).select("backbone", *r6("ece_lo", "ece_hi"))
 
 

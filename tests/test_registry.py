@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sieveline.operators import bootstrap
 from sieveline.plans import catalog
 
 TABLES = "documents embeddings pages labels".split()
@@ -24,6 +25,12 @@ def test_against_sql(spark, small, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["bst7_ece_ci"])
+def test_intervals_against_sql_without_a_row_a_draw(spark, small, name, monkeypatch):
+    monkeypatch.setattr(bootstrap, "draws", None)
+    test_against_sql(spark, small, name)
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and catalog.FLAGSHIP in entry.queries()
 
