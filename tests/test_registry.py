@@ -25,7 +25,7 @@ def test_against_sql(spark, small, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["bst7_ece_ci", "bst7_selective_ci", "bst1_3_image_ci", "bst5_q9_contrasts"])
+@pytest.mark.parametrize("name", ["bst7_ece_ci", "bst7_selective_ci", "bst1_3_image_ci", "bst5_q9_contrasts", "q1_main_table"])
 def test_intervals_against_sql_without_a_row_a_draw(spark, small, name, monkeypatch):
     monkeypatch.setattr(bootstrap, "draws", None)
     test_against_sql(spark, small, name)
