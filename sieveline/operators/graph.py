@@ -14,23 +14,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, cluster) for every node, isolated ones too; the cluster is its least member. edges: (a, b).
+def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
+    """(by, id, cluster) for every node, isolated ones too; the cluster is its least member. edges: (by, a, b). The graphs of
+    all values of by are gone through in the same rounds.
 
     Each round takes the least label of the neighbours and then follows it twice. Isolated nodes take no part.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    by = by or []
+    both = checkpointed(edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = checkpointed(both.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        labels = checkpointed(step.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")))
+        near = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, [*by, "node"]).select(*by, "node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        jump = labels.select(*by, F.col("node").alias("via"), F.col("label").alias("far"))
+        labels = checkpointed(step.join(jump, [*by, "via"]).select(*by, "node", "old", F.least("via", "far").alias("label")))
         if labels.where("label <> old").isEmpty():
             break
-        labels = labels.select("node", "label")
-    ids = nodes.select(F.col(id_col).cast("long").alias("id"))
-    return ids.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("cluster"))
+        labels = labels.select(*by, "node", "label")
+    ids = nodes.select(*by, F.col(id_col).cast("long").alias("id"))
+    return ids.join(labels.select(*by, F.col("node").alias("id"), "label"), [*by, "id"], "left").select(*by, "id", F.coalesce("label", "id").alias("cluster"))
 
 
 def cluster_stats(clusters: DataFrame, by: list[str], cls: str = "y") -> DataFrame:

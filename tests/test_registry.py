@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from sieveline.operators import bootstrap
-from sieveline.plans import catalog
+from sieveline.operators import bootstrap, graph
+from sieveline.plans import catalog, split_plans
 
 TABLES = "documents embeddings pages labels".split()
 
@@ -33,6 +33,14 @@ def test_intervals_against_sql_without_a_row_a_draw(spark, small, name, monkeypa
     test_against_sql(spark, small, name)
 
 
+def test_near_summary_joins_no_vectors_and_finds_clusters_once(spark, small, monkeypatch):
+    rounds, connected = [], graph.connected
+    monkeypatch.setattr(graph, "connected", lambda *a, **k: rounds.append(1) or connected(*a, **k))
+    monkeypatch.setattr(split_plans, "_with_corr", None)
+    test_against_sql(spark, small, "agg9_flt6_near_summary")
+    assert len(rounds) == 1
+
+
 def test_no_floor_of_the_four_leaves_few_pairs(spark, tmp_path):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 64)).astype("float32")
