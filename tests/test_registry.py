@@ -1,5 +1,7 @@
 """Queries run, and what SQL says of them agrees on the smallest tables."""
 
+import json
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -33,6 +35,12 @@ def test_intervals_against_sql_without_a_row_a_draw(spark, small, name, monkeypa
     test_against_sql(spark, small, name)
 
 
+def test_report_holds_the_main_table_without_a_row_a_draw(spark, small, monkeypatch):
+    monkeypatch.setattr(bootstrap, "draws", None)
+    got = json.loads(entry.queries()["q7_report_json"](spark, small).first().report)
+    assert [r["backbone"] for r in got] == [0, 1] and all(r["accuracy_image_lo"] <= r["accuracy_mean"] <= r["accuracy_image_hi"] for r in got)
+
+
 def test_near_summary_joins_no_vectors_and_finds_clusters_once(spark, small, monkeypatch):
     rounds, connected = [], graph.connected
     monkeypatch.setattr(graph, "connected", lambda *a, **k: rounds.append(1) or connected(*a, **k))
