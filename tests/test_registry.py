@@ -35,6 +35,11 @@ def test_intervals_against_sql_without_a_row_a_draw(spark, small, name, monkeypa
     test_against_sql(spark, small, name)
 
 
+def test_intervals_against_sql_without_numbering_units_in_shuffles(spark, small, monkeypatch):
+    monkeypatch.setattr(bootstrap, "numbered", None)
+    test_against_sql(spark, small, "bst1_3_image_ci")
+
+
 def test_report_holds_the_main_table_without_a_row_a_draw(spark, small, monkeypatch):
     monkeypatch.setattr(bootstrap, "draws", None)
     got = json.loads(entry.queries()["q7_report_json"](spark, small).first().report)
