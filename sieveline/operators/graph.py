@@ -21,7 +21,8 @@ def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: list[s
     Each round takes the least label of the neighbours and then follows it twice. Isolated nodes take no part.
     """
     by = by or []
-    both = checkpointed(edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are made once for both
+    both = checkpointed(edges.where("a <> b").select(*by, ways.alias("_e")).select(*by, "_e.a", "_e.b").distinct())
     labels = checkpointed(both.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("near"))

@@ -8,8 +8,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from sieveline.operators import bootstrap, graph
+from sieveline.operators import bootstrap, graph, similarity
 from sieveline.plans import catalog, split_plans
+from sieveline.sources import standins
 
 TABLES = "documents embeddings pages labels".split()
 
@@ -40,6 +41,15 @@ def test_intervals_against_sql_without_numbering_units_in_shuffles(spark, small,
     test_against_sql(spark, small, "bst1_3_image_ci")
 
 
+@pytest.mark.parametrize("name, table", [("q1_main_table", "predictions")])
+def test_intervals_against_sql_by_links_and_with_predictions_made_once(spark, small, name, table, monkeypatch):
+    made, make = [], getattr(standins, table)
+    monkeypatch.setattr(similarity, "cosine_pairs", None)
+    monkeypatch.setattr(standins, table, lambda *a: made.append(1) or make(*a))
+    test_against_sql(spark, small, name)
+    assert len(made) == 1
+
+
 def test_report_holds_the_main_table_without_a_row_a_draw(spark, small, monkeypatch):
     monkeypatch.setattr(bootstrap, "draws", None)
     got = json.loads(entry.queries()["q7_report_json"](spark, small).first().report)

@@ -31,6 +31,18 @@ def test_the_test_part_is_guarded(spark):
     assert splits.get_split(s, "random", ["train"]).count() + splits.get_split(s, "random", ["val"]).count() == 9
 
 
+def test_components_make_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    edges = spark.range(0, 50, 1, 1).selectExpr("id AS a", "id + 1 AS b").mapInArrow(seen, "a long, b long")
+    assert graph.connected(spark.range(51), edges).where("cluster = 0").count() == 51 and made.value == 50
+
+
 def test_group_split_keeps_clusters_whole(spark):
     rng = np.random.default_rng(3)
     cluster = np.repeat(np.arange(300), rng.integers(1, 8, 300))
@@ -80,6 +92,9 @@ def test_pairs_equal_brute_force(spark, monkeypatch, block, group):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
     want = {(i, j) for i, j in itertools.combinations(range(60), 2) if x[i] @ x[j] >= 0.4}
     assert {(r.a, r.b) for r in similarity.cosine_pairs(df, 0.4).collect()} == want
+    links = similarity.cosine_links(df, 0.4).cache()
+    parts = lambda edges: {r.id: r.cluster for r in graph.connected(df, edges).collect()}
+    assert {(r.a, r.b) for r in links.collect()} <= want and parts(links) == parts(spark.createDataFrame(sorted(want), "a long, b long"))
     stats = similarity.cosine_statistics(df, 0.1).cache()
     best = {r.id: r.v for r in similarity.nearest(stats).collect()}
     assert len(best) == 60 and all(abs(best[i] - max(x[i] @ x[j] for j in range(60) if j != i)) < 1e-9 for i in range(60))
