@@ -142,7 +142,7 @@ CON = f"WITH RECURSIVE {sql.PAIRS}, {sql.components(0.4)}, {_region_sql()}, rgc
 @query("bst5_q9_contrasts", CON + " SELECT prs.a, prs.b, round(100 * (x.accuracy - z.accuracy), 6) AS accuracy, round(100 * (x.macro_f1 - z.macro_f1), 6) AS macro_f1, oi.* EXCLUDE (a, b), oc.* EXCLUDE (a, b) FROM prs JOIN pm x ON x.region = prs.a JOIN pm z ON z.region = prs.b JOIN oi ON oi.a = prs.a AND oi.b = prs.b JOIN oc ON oc.a = prs.a AND oc.b = prs.b")
 def contrasts(spark, d):
     """Paired contrasts in percentage points, on the same draws of images and of clusters."""
-    p = st.regions(spark, d)
+    p = gr.checkpointed(st.regions(spark, d))  # once for the point values and both draws
     pair = F.broadcast(spark.createDataFrame(list(rep.CONTRASTS), "a string, b string"))
 
     def differences(values, on):

@@ -41,7 +41,7 @@ def test_intervals_against_sql_without_numbering_units_in_shuffles(spark, small,
     test_against_sql(spark, small, "bst1_3_image_ci")
 
 
-@pytest.mark.parametrize("name, table", [("q1_main_table", "predictions")])
+@pytest.mark.parametrize("name, table", [("q1_main_table", "predictions"), ("bst5_q9_contrasts", "regions")])
 def test_intervals_against_sql_by_links_and_with_predictions_made_once(spark, small, name, table, monkeypatch):
     made, make = [], getattr(standins, table)
     monkeypatch.setattr(similarity, "cosine_pairs", None)
