@@ -50,6 +50,14 @@ def test_intervals_against_sql_by_links_and_with_predictions_made_once(spark, sm
     assert len(made) == 1
 
 
+def test_report_by_links_and_with_predictions_made_once(spark, small, monkeypatch):
+    made, make = [], standins.predictions
+    monkeypatch.setattr(similarity, "cosine_pairs", None)
+    monkeypatch.setattr(standins, "predictions", lambda *a: made.append(1) or make(*a))
+    got = json.loads(entry.queries()["q7_report_json"](spark, small).first().report)
+    assert len(made) == 1 and got == [{k: v for k, v in r.asDict().items()} for r in entry.queries()["q1_main_table"](spark, small).orderBy("backbone").collect()]
+
+
 def test_report_holds_the_main_table_without_a_row_a_draw(spark, small, monkeypatch):
     monkeypatch.setattr(bootstrap, "draws", None)
     got = json.loads(entry.queries()["q7_report_json"](spark, small).first().report)
