@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .similarity import Forest
+
+#: Edges that one task holds at most, about.
+HELD = 4_000_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that the cluster names, or one of our own where it names none."""
@@ -36,6 +43,37 @@ def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: list[s
     return ids.join(labels.select(*by, F.col("node").alias("id"), "label"), [*by, "id"], "left").select(*by, "id", F.coalesce("label", "id").alias("cluster"))
 
 
+def joined(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
+    """connected() where edges, such as those of cosine_links(), are few to a node: tasks make trees of HELD edges each and
+    give back the edges that joined them, until one task holds what is left. Where that doesn't halve, connected() goes on."""
+
+    def trees(batches):
+        held = list(batches)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x.column(i).to_numpy() for x in held)]) for i in (0, 1))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest()
+        forest.room(len(ids))
+        return a, b, ids, forest, forest.grow(at[: len(a)], at[len(a) :])
+
+    def fewer(batches):
+        a, b, _, _, new = trees(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+    def labelled(batches):
+        _, _, ids, forest, _ = trees(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[forest.root])], names=["id", "label"])
+
+    left = checkpointed(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    n = left.count()
+    while n > HELD:
+        left = checkpointed(left.repartition(-(-n // HELD)).mapInArrow(fewer, "a long, b long"))
+        n, before = left.count(), n
+        if n > HELD and 2 * n > before:
+            return connected(nodes, left, id_col)
+    labels = left.repartition(1).mapInArrow(labelled, "id long, label long")
+    return nodes.select(F.col(id_col).cast("long").alias("id")).join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("cluster"))
+
+
 def cluster_stats(clusters: DataFrame, by: list[str], cls: str = "y") -> DataFrame:
     """(by, clusters, singletons, in_groups, largest, p99, mixed, in_mixed)."""
     one = clusters.groupBy(*by, "cluster").agg(F.count("*").alias("size"), F.min(cls).alias("lo"), F.max(cls).alias("hi"))

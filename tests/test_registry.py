@@ -64,6 +64,16 @@ def test_report_holds_the_main_table_without_a_row_a_draw(spark, small, monkeypa
     assert [r["backbone"] for r in got] == [0, 1] and all(r["accuracy_image_lo"] <= r["accuracy_mean"] <= r["accuracy_image_hi"] for r in got)
 
 
+def test_report_draws_once_and_finds_clusters_without_rounds(spark, small, monkeypatch):
+    drawn, sums = [], bootstrap.weighted_sums
+    monkeypatch.setattr(bootstrap, "weighted_sums", lambda *a: drawn.append(1) or sums(*a))
+    monkeypatch.setattr(graph, "connected", None)
+    got = json.loads(entry.queries()["q7_report_json"](spark, small).first().report)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{small}/embeddings.parquet')")
+    assert len(drawn) == 1 and got == con.execute(entry.oracle_sql()["q1_main_table"] + " ORDER BY backbone").df().to_dict("records")
+
+
 def test_near_summary_joins_no_vectors_and_finds_clusters_once(spark, small, monkeypatch):
     rounds, connected = [], graph.connected
     monkeypatch.setattr(graph, "connected", lambda *a, **k: rounds.append(1) or connected(*a, **k))

@@ -82,6 +82,26 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(21)) and got[31] == got[35] == 30 and got[25] == 25 and len(got) == 40
 
 
+@pytest.mark.parametrize("held", [1_000_000, 150, 20])  # one task; several, then one; several, whose trees don't halve
+def test_components_by_trees_equal_those_by_rounds(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in np.r_[rng.integers(0, 90, (400, 2)), rng.integers(100, 180, (40, 2))]] + [(5, 5), (190, 190)]
+    df, nodes = spark.createDataFrame(edges, "a long, b long"), spark.range(200)
+    parts = lambda f, e: sorted(map(tuple, f(nodes, e).collect()))
+    assert parts(graph.joined, df) == parts(graph.connected, df)
+    assert parts(graph.joined, df.where("a < 0")) == [(i, i) for i in range(200)]
+
+
+def test_links_join_trees_that_meet_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    axis = np.eye(4)
+    x = np.r_[np.repeat(axis[:1], 40, axis=0), np.repeat(axis[1:2], 9, axis=0), axis[2:], [(axis[2] + axis[3]) / 2**0.5]]  # a large tree, a small one, and two rows that a third joins
+    df = spark.createDataFrame([(i * 37 % 52, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    found = [sorted((r.id, r.cluster) for r in graph.joined(df, f(df, 0.7)).collect()) for f in (similarity.cosine_links, similarity.cosine_pairs)]
+    assert found[0] == found[1] and len({c for _, c in found[0]}) == 3
+
+
 @pytest.mark.parametrize("block,group", [(1000, 100_000), (7, 20)])
 def test_pairs_equal_brute_force(spark, monkeypatch, block, group):
     monkeypatch.setattr(similarity, "BLOCK", block)
