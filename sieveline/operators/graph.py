@@ -21,12 +21,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: list[str] | None = None, few: bool = False) -> DataFrame:
     """(by, id, cluster) for every node, isolated ones too; the cluster is its least member. edges: (by, a, b). The graphs of
-    all values of by are gone through in the same rounds.
+    all values of by are gone through in the same rounds; with few, by trees, as in joined().
 
     Each round takes the least label of the neighbours and then follows it twice. Isolated nodes take no part.
     """
+    if few:
+        return joined(nodes, edges, id_col, by)
     by = by or []
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are made once for both
     both = checkpointed(edges.where("a <> b").select(*by, ways.alias("_e")).select(*by, "_e.a", "_e.b").distinct())
@@ -43,35 +45,42 @@ def connected(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: list[s
     return ids.join(labels.select(*by, F.col("node").alias("id"), "label"), [*by, "id"], "left").select(*by, "id", F.coalesce("label", "id").alias("cluster"))
 
 
-def joined(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
+def joined(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
     """connected() where edges, such as those of cosine_links(), are few to a node: tasks make trees of HELD edges each and
-    give back the edges that joined them, until one task holds what is left. Where that doesn't halve, connected() goes on."""
+    give back the edges that joined them, until one task holds what is left. Where that doesn't halve, connected() goes on.
+    by: at most one column, of whole numbers, each with a graph of its own."""
+    by = by or []
 
     def trees(batches):
         held = list(batches)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x.column(i).to_numpy() for x in held)]) for i in (0, 1))
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        forest = Forest()
-        forest.room(len(ids))
-        return a, b, ids, forest, forest.grow(at[: len(a)], at[len(a) :])
+        a, b, g = (np.concatenate([np.zeros(0, np.int64), *(x.column(i).to_numpy() for x in held)]) for i in (0, 1, 2))
+        for v in np.unique(g):
+            one, other = a[g == v], b[g == v]
+            ids, at = np.unique(np.concatenate([one, other]), return_inverse=True)
+            forest = Forest()
+            forest.room(len(ids))
+            yield v, one, other, ids, forest, forest.grow(at[: len(one)], at[len(one) :])
 
     def fewer(batches):
-        a, b, _, _, new = trees(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+        for v, a, b, _, _, new in trees(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.full(len(new), v))], names=["a", "b", "g"])
 
     def labelled(batches):
-        _, _, ids, forest, _ = trees(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[forest.root])], names=["id", "label"])
+        for v, _, _, ids, forest, _ in trees(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[forest.root]), pa.array(np.full(len(ids), v))], names=["id", "label", "g"])
 
-    left = checkpointed(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    graph = (F.col(by[0]) if by else F.lit(0)).cast("long").alias("g")
+    left = checkpointed(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), graph))
+    ids = nodes.select(F.col(id_col).cast("long").alias("id"), graph)
+    named = lambda df: df.select(*[F.col("g").cast(nodes.schema[c].dataType).alias(c) for c in by], "id", "cluster")
     n = left.count()
     while n > HELD:
-        left = checkpointed(left.repartition(-(-n // HELD)).mapInArrow(fewer, "a long, b long"))
+        left = checkpointed(left.repartition(-(-n // HELD)).mapInArrow(fewer, "a long, b long, g long"))
         n, before = left.count(), n
         if n > HELD and 2 * n > before:
-            return connected(nodes, left, id_col)
-    labels = left.repartition(1).mapInArrow(labelled, "id long, label long")
-    return nodes.select(F.col(id_col).cast("long").alias("id")).join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("cluster"))
+            return named(connected(ids, left, by=["g"]))
+    labels = left.repartition(1).mapInArrow(labelled, "id long, label long, g long")
+    return named(ids.join(labels, ["g", "id"], "left").select("g", "id", F.coalesce("label", "id").alias("cluster")))
 
 
 def cluster_stats(clusters: DataFrame, by: list[str], cls: str = "y") -> DataFrame:

@@ -82,6 +82,13 @@ def test_near_summary_joins_no_vectors_and_finds_clusters_once(spark, small, mon
     assert len(rounds) == 1
 
 
+def test_near_summary_finds_clusters_without_rounds(spark, small, monkeypatch):
+    made, checkpointed = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: made.append(df.columns) or checkpointed(df))
+    test_against_sql(spark, small, "agg9_flt6_near_summary")
+    assert len(made) == 2  # what cells give back, and its links
+
+
 def test_no_floor_of_the_four_leaves_few_pairs(spark, tmp_path):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 64)).astype("float32")

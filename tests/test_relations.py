@@ -93,6 +93,33 @@ def test_components_by_trees_equal_those_by_rounds(spark, monkeypatch, held):
     assert parts(graph.joined, df.where("a < 0")) == [(i, i) for i in range(200)]
 
 
+@pytest.mark.parametrize("block,part,held", [(1000, 20_000, 1_000_000), (7, 5, 40)])
+def test_near_copies_are_counted_where_they_meet(spark, monkeypatch, block, part, held):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "PART", part)
+    monkeypatch.setattr(graph, "HELD", held)
+    rng = np.random.default_rng(6)
+    x, codes = rng.normal(size=(90, 5)), rng.integers(-(2**63), 2**63, 30)
+    x[60:] = x[:30] + 0.1 * rng.normal(size=(30, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = [int(codes[i % 30]) ^ sum(1 << int(b) for b in rng.choice(63, i % 7, replace=False)) for i in range(90)]
+    y = [None if i % 11 == 0 else i % 3 for i in range(90)]
+    df = spark.createDataFrame([(i * 7 % 90, y[i], codes[i], x[i].tolist()) for i in range(90)], "id long, y int, code long, x array<double>")
+    at = {i * 7 % 90: i for i in range(90)}
+    dist = {(a, b): ((codes[at[a]] ^ codes[at[b]]) & (2**64 - 1)).bit_count() for a, b in itertools.combinations(range(90), 2) if x[at[a]] @ x[at[b]] >= 0.3}
+    got = similarity.alike_statistics(df, (4, 9), 0.3).cache()
+    counts = {r.t: (r.n, r.same, r.cross) for r in got.groupBy("t").agg(F.sum("pairs").alias("n"), F.sum("same").alias("same"), F.sum("cross").alias("cross")).collect()}
+    edges = {t: [p for p, n in dist.items() if n <= t] for t in (4, 9)}
+    kinds = lambda t, f: sum(y[at[a]] is not None and y[at[b]] is not None and f(y[at[a]], y[at[b]]) for a, b in edges[t])
+    assert counts == {t: (len(edges[t]), kinds(t, lambda p, q: p == q), kinds(t, lambda p, q: p != q)) for t in (4, 9)}
+    links = got.where("a IS NOT NULL").select("t", "a", "b")
+    assert {(r.a, r.b) for r in links.where("t = 4").collect()} <= set(edges[4])
+    nodes = spark.range(90).crossJoin(spark.createDataFrame([(4,), (9,)], "t int"))
+    all_edges = spark.createDataFrame([(t, *p) for t in edges for p in edges[t]], "t int, a long, b long")
+    parts = lambda e, few: sorted(map(tuple, graph.connected(nodes, e, by=["t"], few=few).select("t", "id", "cluster").collect()))
+    assert parts(links, True) == parts(all_edges, False)
+
+
 def test_links_join_trees_that_meet_beside_a_large_one(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     axis = np.eye(4)
